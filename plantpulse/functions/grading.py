@@ -49,13 +49,26 @@ def class_name(prediction: Column) -> Column:
     return F.when(prediction == 1, "Failure").otherwise("Normal")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text rounded from the exact binary value, as C and Python print it.
+
+    The fraction is split off first: its own shortest decimal form then shows on
+    which side of a half the value lies.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    part = F.round((size - whole).cast("decimal(38,30)"), digits)
+    text = (whole.cast("decimal(19,0)") + part).cast(f"decimal(38,{digits})").cast("string")
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
+
+
 def money(value: Column) -> Column:
-    return F.format_string("$%.2f", value)
+    return F.concat(F.lit("$"), fixed(value, 2))
 
 
-def percent(value: Column) -> Column:
-    return F.format_string("%.1f%%", value)
+def percent(value: Column, digits: int = 1) -> Column:
+    return F.concat(fixed(value, digits), F.lit("%"))
 
 
 def outdoor_label(temperature: Column) -> Column:
-    return F.format_string("outdoor_%.1fC", temperature)
+    return F.concat(F.lit("outdoor_"), fixed(temperature, 1), F.lit("C"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.functions.grading import money, outdoor_label
+from plantpulse.functions.grading import money, outdoor_label, percent
 from plantpulse.operators.profile import daily_profile, energy_kpis, hourly_profile, monthly_profile
 
 DAYS = 365
@@ -109,8 +109,8 @@ def optimization_report(df: DataFrame, ts="ts", power="Power", energy="Energy")
     return out.withColumn("recommendations", F.array(
         F.concat(F.lit("Shift high-power operations to off-peak hours: "), hours),
         F.concat(F.lit("Potential annual savings: "), money(F.col("estimated_savings.annual_savings_cost"))),
-        F.format_string("Reduce duty cycle by optimizing setpoints during %.1f%% idle time",
-                        F.col("consumption_profile.duty_cycle_percent"))))
+        F.concat(F.lit("Reduce duty cycle by optimizing setpoints during "),
+                 percent(F.col("consumption_profile.duty_cycle_percent")), F.lit(" idle time"))))
 
 
 def simple_regression(df: DataFrame, feature: str, target: str) -> DataFrame:

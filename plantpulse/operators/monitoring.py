@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.functions.grading import percent
 from plantpulse.operators.alerts import alert_summary
 from plantpulse.operators.profile import long_stats
 from plantpulse.schema import numeric_columns
@@ -62,7 +63,7 @@ def degradation_check(log: DataFrame, prediction="prediction", actual="actual")
         .otherwise("healthy").alias("status"),
         "accuracy", F.lit(ACCURACY_LIMIT).alias("threshold"),
         F.when(accuracy.isNull(), "No data").otherwise(
-            F.format_string("Model accuracy: %.2f%%", accuracy * 100)).alias("message"))
+            F.concat(F.lit("Model accuracy: "), percent(accuracy * 100, 2))).alias("message"))
 
 
 def performance_report(log: DataFrame, prediction="prediction", actual="actual",

@@ -30,7 +30,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.mode("overwrite").options(sep=sep, header=True).csv(path)
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.mode("overwrite").options(
+        sep=sep, header=True, timestampNTZFormat=exact, timestampFormat=exact + "XXX").csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
