@@ -57,7 +57,7 @@ def fixed(value: Column, digits: int) -> Column:
     """
     size = F.abs(value)
     whole = F.floor(size)
-    part = F.round((size - whole).cast("decimal(38,30)"), digits)
+    part = F.bround((size - whole).cast("decimal(38,30)"), digits)
     text = (whole.cast("decimal(19,0)") + part).cast(f"decimal(38,{digits})").cast("string")
     return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
 

@@ -30,4 +30,4 @@ def sf():
 @pytest.fixture(scope="session")
 def readings(spark, sf):
     from plantpulse.plans.fixtures import sensor_readings
-    return sensor_readings(spark, sf).cache()
+    return sensor_readings(spark, sf)
