@@ -49,24 +49,23 @@ def exits(values: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return values[ends], leave[ends]
 
 
-def greedy_gap(df: DataFrame, value: Column, gap: int, spec: SeriesSpec) -> DataFrame:
+def greedy_gap(series: Series, value: Column, gap: int) -> DataFrame:
     """Rows kept when each must lie at least `gap` after the last kept row of its key.
 
     Only the key, the value and the row position reach Python. A key above the
     row limit is cut into blocks: every block first reports its step function,
     the steps are followed once per key, then all blocks run side by side.
     """
-    series = lay_out(df.withColumn("__v", value), spec)
-    series = with_row_number(series, "__i")
+    spec, columns = series.spec, [c for c in series.df.columns if c != POS]
+    series = with_row_number(series.put(series.df.withColumn("__v", value)), "__i")
     if not series.blocked:
         narrow = series.df.select(*spec.keys, "__i", "__v")
-        kept = _run(narrow, list(spec.keys), gap)
-        return _keep(series.df, kept, spec).drop("__i", "__v")
+        return _keep(series.df, _run(narrow, list(spec.keys), gap), spec).select(*columns)
     cut = series.df.withColumn(BLOCK, F.floor(F.col("__i") / series.limit))
     narrow = cut.select(*spec.keys, BLOCK, "__i", "__v")
     kept = _run(narrow.join(_block_entries(narrow, gap, spec), [*spec.keys, BLOCK], "left"),
                 [*spec.keys, BLOCK], gap)
-    return _keep(series.df, kept, spec).drop("__i", "__v", POS)
+    return _keep(series.df, kept, spec).select(*columns)
 
 
 def _fields(df: DataFrame, *names: str) -> T.StructType:
@@ -122,7 +121,7 @@ def _keep(df: DataFrame, kept: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def alert_cooldown(df: DataFrame, cooldown_micros: int = HOUR, spec: SeriesSpec = ALERTS) -> DataFrame:
     """Alerts not suppressed by an emitted one of the same key within the cooldown."""
-    return greedy_gap(df, micros(spec.order), cooldown_micros, spec)
+    return greedy_gap(lay_out(df, spec, heavy=True), micros(spec.order), cooldown_micros)
 
 
 def filter_alerts(df: DataFrame, min_severity: str = "low", cooldown: int | None = None,
@@ -136,8 +135,9 @@ def filter_alerts(df: DataFrame, min_severity: str = "low", cooldown: int | None
     wanted = F.col("severity_level") >= level
     if cooldown is None:
         return graded.filter(wanted)
-    placed = with_position(graded, spec, "__row").filter(wanted)
-    return greedy_gap(placed, F.col("__row").cast("long"), cooldown, spec).drop("__row")
+    series = with_row_number(lay_out(graded, spec, heavy=True), "__row")
+    series = series.put(series.df.filter(wanted))
+    return greedy_gap(series, F.col("__row").cast("long"), cooldown).drop("__row")
 
 
 def alert_log(df: DataFrame, cooldown_micros: int = HOUR, spec: SeriesSpec = ALERTS) -> DataFrame:

@@ -36,6 +36,9 @@ def calendar_spine(df: DataFrame, step: str, keys: tuple[str, ...] = ("unit_id",
     stride = F.expr(f"interval {step}")
     wide = F.expr(f"interval {step} * {STEPS_PER_ROW}")
     spine = spans.select("*", F.explode(F.sequence("__from", "__to", wide)).alias("__at"))
+    # each of these rows unfolds into many, so they are spread by number, not by their small size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spine = spine.repartition(tasks, *keys, "__at")
     last = F.least(F.col("__to"), F.col("__at") + wide - stride)
     spine = spine.select(*keys, F.explode(F.sequence("__at", last, stride)).alias(ts))
     joined = spine.join(df, [*keys, ts], "left")

@@ -94,37 +94,48 @@ def isolation_forest_fit(
         rows = grow(int(pdf["tree"].iloc[0]), pdf[names].to_numpy(), seed)
         return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
 
-    nodes = drawn.select("tree", "__order", *names).groupBy("tree").applyInPandas(build, NODE).toPandas()
+    # at most trees * sample rows are left; a fixed number of tasks keeps the trees apart
+    drawn = drawn.select("tree", "__order", *names).repartition(trees, "tree")
+    nodes = drawn.groupBy("tree").applyInPandas(build, NODE).toPandas()
     forest = IsolationForest(columns, center, scale, nodes, size)
     scored = isolation_forest_score(df.select(*columns), forest).select("if_score")
     offset = quantile_values(scored, ["if_score"], [contamination])["if_score"][0]
     return IsolationForest(columns, center, scale, nodes, size, offset or 0.0)
 
 
+def _flat(nodes: pd.DataFrame) -> tuple:
+    """All trees as one set of arrays; a leaf leads to itself, so every walk has equal length."""
+    t = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+    first = t.groupby("tree")["node"].transform("size").groupby(t["tree"]).first().cumsum().shift(fill_value=0)
+    base, own = t["tree"].map(first).to_numpy(), t.index.to_numpy()
+    leaf = t["feature"].to_numpy() < 0
+    left = np.where(leaf, own, base + t["left"].to_numpy())
+    right = np.where(leaf, own, base + t["right"].to_numpy())
+    level = np.zeros(len(t), dtype=int)
+    for i in np.flatnonzero(~leaf):  # parents come before children
+        level[left[i]] = level[right[i]] = level[i] + 1
+    return (first.to_numpy(), np.where(leaf, 0, t["feature"].to_numpy()), t["threshold"].to_numpy(),
+            left, right, t["depth"].to_numpy(), int(level.max()))
+
+
 def isolation_forest_score(df: DataFrame, forest: IsolationForest) -> DataFrame:
     """`if_score` = decision value (high = normal), `if_anomaly` = decision below zero."""
-    tables = []
-    for _, t in forest.nodes.groupby("tree"):
-        t = t.sort_values("node")
-        tables.append(tuple(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth")))
-    shared = df.sparkSession.sparkContext.broadcast(tables)
+    shared = df.sparkSession.sparkContext.broadcast(_flat(forest.nodes))
     norm, offset = float(average_path(forest.sample)) or 1.0, forest.offset
 
     @F.pandas_udf("double")
     def decide(x: pd.DataFrame) -> pd.Series:
+        roots, feature, cut, left, right, depth, steps = shared.value
         data = x.to_numpy()
-        rows, total = np.arange(len(data)), np.zeros(len(data))
-        for feature, cut, left, right, depth in shared.value:
-            node = np.zeros(len(data), dtype=int)
-            while True:
-                inner = feature[node] >= 0
-                if not inner.any():
-                    break
-                at = node[inner]
-                goes_left = data[rows[inner], feature[at]] <= cut[at]
-                node[inner] = np.where(goes_left, left[at], right[at])
-            total += depth[node]
-        return pd.Series(-np.power(2.0, -total / len(shared.value) / norm) - offset)
+        out = np.empty(len(data))
+        for at in range(0, len(data), 1024):  # rows x trees stay in cache
+            part = data[at:at + 1024]
+            rows = np.arange(len(part))[:, None]
+            node = np.broadcast_to(roots, (len(part), len(roots)))
+            for _ in range(steps):
+                node = np.where(part[rows, feature[node]] <= cut[node], left[node], right[node])
+            out[at:at + 1024] = depth[node].mean(axis=1)
+        return pd.Series(-np.power(2.0, -out / norm) - offset)
 
     inputs = F.struct(*_scaled(forest.columns, forest.center, forest.scale))
     out = df.withColumn("if_score", decide(inputs))

@@ -41,7 +41,7 @@ def time_split(df: DataFrame, features: list[str], label: str = LABEL, test_size
 
 def undersample(df: DataFrame, label: str, key: str) -> DataFrame:
     """All rows of the smaller class and as many of the other, drawn by md5 of the row key."""
-    sizes = {r[label]: r.n for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r[label]: r.n for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
     if len(sizes) != 2:
         raise ValueError(f"two classes needed, found {sorted(sizes)}")
     least = min(sizes.values())
@@ -75,7 +75,7 @@ def with_class_weight(df: DataFrame, label: str, scheme: str = "balanced", name:
         value = F.col("balanced_weight")
     else:
         value = F.when(F.col(label) == 1, F.col("scale_pos_weight")).otherwise(1.0)
-    return df.join(F.broadcast(w.select(label, value.alias(name))), label)
+    return df.join(w.select(label, value.alias(name)), label)
 
 
 def fold_ids(df: DataFrame, n_splits: int = 5, spec: SeriesSpec = READINGS) -> DataFrame:

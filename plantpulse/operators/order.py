@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from plantpulse import session
 
 POS, BLOCK, OWN = "__pos", "__block", "__own"
+BROADCAST_ROWS = 100_000
 FIRST, BEFORE, HERE, LAST = Window.unboundedPreceding, -1, Window.currentRow, Window.unboundedFollowing
 
 
@@ -57,36 +58,48 @@ class Series:
         return self.df.drop(POS) if self.blocked else self.df
 
 
-def lay_out(df: DataFrame, spec: SeriesSpec) -> Series:
-    """Count rows per key (key columns only) and index just the keys above the limit."""
+def lay_out(df: DataFrame, spec: SeriesSpec, heavy: bool = False) -> Series:
+    """Count rows per key (key columns only) and index just the keys above the limit.
+
+    `heavy` spreads the keys over a fixed number of tasks, for work whose cost
+    the size of the shuffled rows does not show.
+    """
     limit = spec.max_rows or session.max_rows_per_task(df.sparkSession)
     sizes = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.filter(F.col("n") > limit)
     size = sizes.agg(
         F.max("n").alias("longest"), F.sum(F.when(F.col("n") > limit, F.col("n"))).alias("rows"),
+        F.sum("n").alias("total"), F.count_if(F.col("n") > limit).alias("keys"),
     ).first()
     if not size.rows:
+        if heavy and spec.keys:
+            df = df.repartition(_tasks(df, size.total or 0, limit), *spec.keys)
         return Series(df, spec, limit, size.longest or 0, False)
     if not spec.keys:
-        return Series(_positions(df, spec, size.rows, limit), spec, limit, size.longest, True)
-    # each hot key owns more than `limit` rows, so this list is at most rows/limit long
+        return Series(_positions(df, spec, size.rows, 1, limit), spec, limit, size.longest, True)
     marks = hot.select(*[F.col(k).alias(f"__h_{k}") for k in spec.keys], F.lit(True).alias("__hot"))
+    if size.keys <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
     marked = df.join(
-        F.broadcast(marks), [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in spec.keys], "left")
+        marks, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in spec.keys], "left")
     cold = marked.filter(F.col("__hot").isNull()).select(*df.columns, F.lit(None).cast("long").alias(POS))
-    warm = _positions(marked.filter(F.col("__hot")).select(*df.columns), spec, size.rows, limit)
+    warm = _positions(marked.filter(F.col("__hot")).select(*df.columns), spec, size.rows, size.keys, limit)
     return Series(cold.unionByName(warm), spec, limit, size.longest, True)
 
 
-def _positions(df: DataFrame, spec: SeriesSpec, rows: int, limit: int) -> DataFrame:
+def _tasks(df: DataFrame, rows: int, limit: int) -> int:
+    """The configured number of shuffle tasks, or more when they would hold too many rows each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // (8 * limit) + 1)
+
+
+def _positions(df: DataFrame, spec: SeriesSpec, rows: int, keys: int, limit: int) -> DataFrame:
     """Exact 0-based position within each key, from a range sort over many tasks.
 
     A range sort on (keys, order, tiebreak) spreads one key over many partitions.
     The sorted rows are written once, so partition numbers cannot change between
     the counting pass and the use, nor when an executor is lost.
     """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * rows // limit))
+    parts = _tasks(df, rows, limit)
     by = [*spec.keys, *spec.sort]
     laid = session.staged(
         df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
@@ -97,14 +110,16 @@ def _positions(df: DataFrame, spec: SeriesSpec, rows: int, limit: int) -> DataFr
     })
     runs = laid.groupBy(*spec.keys, "__part").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__local").alias("__start"))
-    # one row per partition and key, i.e. at most partitions + hot keys rows
+    # one row per partition and key: at most partitions + hot keys rows
     before = Window.partitionBy(*([*spec.keys] or [F.lit(0)])).orderBy("__part").rowsBetween(FIRST, BEFORE)
     runs = runs.select(
         *[F.col(k).alias(f"__r_{k}") for k in spec.keys], F.col("__part").alias("__r_part"),
         (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__start")).alias("__shift"))
     same = [F.col("__part") == F.col("__r_part")]
     same += [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in spec.keys]
-    return laid.join(F.broadcast(runs), same).select(
+    if parts + keys <= BROADCAST_ROWS:
+        runs = F.broadcast(runs)
+    return laid.join(runs, same).select(
         *df.columns, (F.col("__local") + F.col("__shift")).alias(POS))
 
 
@@ -113,7 +128,7 @@ def over_rows(
 ) -> Series:
     """Add window columns whose frames reach at most `back` rows back and `ahead` rows on."""
     if not series.blocked:
-        return series.put(series.df.withColumns(build(series.window())))
+        return series.put(_in_groups(series.df, build(series.window())))
     size = max(series.limit, 4 * (back + ahead), 1)
     block = F.floor(F.col(POS) / size)
     offset = F.col(POS) - block * size
@@ -124,10 +139,22 @@ def over_rows(
     if ahead:
         copies.append(F.when(offset < ahead, F.struct((home - 1).alias(BLOCK), F.lit(False).alias(OWN))))
     spread = series.df.select("*", F.inline(F.array_compact(F.array(*copies))))
-    done = spread.withColumns(build(series.window(BLOCK)))
+    done = _in_groups(spread, build(series.window(BLOCK)))
     return series.put(done.filter(OWN).drop(BLOCK, OWN))
 
 
+# more functions than this in one window make its generated code too long to be compiled
+GROUP = 72
+
+
+def _in_groups(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add window columns in groups; same window, so no further shuffle or sort."""
+    items = list(columns.items())
+    for i in range(0, len(items), GROUP):
+        df = df.withColumns(dict(items[i:i + GROUP]))
+    return df
+
+
 def with_row_number(series: Series, name: str) -> Series:
     """0-based position within the series."""
     if not series.blocked:

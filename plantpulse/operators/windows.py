@@ -17,21 +17,23 @@ WINDOWS, LAGS, SPANS, PERIODS = (4, 24, 96), (4, 24, 96), (12, 24, 48), (4, 24)
 
 def rolling_exprs(columns, windows=WINDOWS, prefix="roll"):
     stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return lambda w: {
-        f"{prefix}_{c}_{s}_{n}": fn(c).over(w.rowsBetween(1 - n, HERE))
-        for c in columns for n in windows for s, fn in stats.items()
-    }
+
+    def build(w):
+        frames = {n: w.rowsBetween(1 - n, HERE) for n in windows}
+        return {f"{prefix}_{c}_{s}_{n}": agg.over(frames[n])
+                for c in columns for s, agg in ((s, fn(c)) for s, fn in stats.items()) for n in windows}
+    return build
 
 
 def lag_exprs(columns, lags=LAGS, prefix="lag"):
-    return lambda w: {
-        name: expr
-        for c in columns for n in lags
-        for name, expr in (
-            (f"{prefix}_{c}_{n}", F.lag(c, n).over(w)),
-            (f"{prefix}_{c}_diff_{n}", F.col(c) - F.lag(c, n).over(w)),
-        )
-    }
+    def build(w):
+        out = {}
+        for c in columns:
+            for n in lags:
+                then = F.lag(c, n).over(w)
+                out |= {f"{prefix}_{c}_{n}": then, f"{prefix}_{c}_diff_{n}": F.col(c) - then}
+        return out
+    return build
 
 
 def crossover_exprs(column, short=4, long=24, prefix="ma"):
@@ -51,7 +53,7 @@ def add_rolling_features(
 ) -> DataFrame:
     """Trailing mean, std, min and max; missing readings are skipped."""
     build = rolling_exprs(columns, windows, prefix)
-    return over_rows(lay_out(df, spec), build, back=max(windows) - 1).frame()
+    return over_rows(lay_out(df, spec, heavy=True), build, back=max(windows) - 1).frame()
 
 
 def add_lag_features(
@@ -273,40 +275,41 @@ def ema(series: Series, columns, spans=SPANS, prefix="ema") -> Series:
     df = series.df.withColumn("__chunk", F.floor(F.col("__i") / chunk_rows))
     decay, gain = {}, {}
     for j, ((c, s), alpha) in enumerate(alphas.items()):
-        seen, first = F.col(c).isNotNull(), F.col(f"__p_{c}").isNull()
         # a weight below exp(-150) is lost in double precision anyway
-        gap = F.least(F.col("__i") - F.col(f"__p_{c}"), F.lit(math.ceil(150 / -math.log(1.0 - alpha))))
-        kept = F.pow(F.lit(1.0 - alpha), gap)
-        decay[f"__d{j}"] = F.when(seen & ~first, F.log(kept / (kept + alpha))).otherwise(0.0)
-        gain[f"__g{j}"] = F.when(seen & first, F.col(c).cast("double")).when(
-            seen, F.col(c) * alpha / (kept + alpha)).otherwise(0.0)
+        longest_gap = math.ceil(150 / -math.log(1.0 - alpha))
+        kept = f"pow({1.0 - alpha!r}D, least(__i - `__p_{c}`, {longest_gap}))"
+        decay[f"__d{j}"] = F.expr(
+            f"case when `{c}` is not null and `__p_{c}` is not null then ln({kept} / ({kept} + {alpha!r}D)) "
+            "else 0D end")
+        gain[f"__g{j}"] = F.expr(
+            f"case when `{c}` is null then 0D when `__p_{c}` is null then double(`{c}`) "
+            f"else `{c}` * {alpha!r}D / ({kept} + {alpha!r}D) end")
     keys = [*series.spec.keys, "__chunk"]
     w = Window.partitionBy(*keys).orderBy(*series.spec.sort).rowsBetween(Window.unboundedPreceding, HERE)
+    every = range(len(names))
     df = df.withColumns(decay | gain)
-    df = df.withColumns({f"__l{j}": F.sum(f"__d{j}").over(w) for j in range(len(names))})
-    df = df.withColumns({f"__s{j}": F.sum(F.col(f"__g{j}") * F.exp(-F.col(f"__l{j}"))).over(w)
-                         for j in range(len(names))})
+    df = df.withColumns({f"__l{j}": F.sum(f"__d{j}").over(w) for j in every})
+    df = df.withColumns({f"__s{j}": F.sum(F.expr(f"__g{j} * exp(-__l{j})")).over(w) for j in every})
     carried = {}
     if series.longest > chunk_rows:
-        ends = df.groupBy(*keys).agg(F.max_by(F.struct(
-            F.array(*[F.exp(f"__l{j}") for j in range(len(names))]).alias("a"),
-            F.array(*[F.exp(f"__l{j}") * F.col(f"__s{j}") for j in range(len(names))]).alias("b")),
-            F.col("__i")).alias("m"))
+        totals = (f"array({', '.join(f'exp(__l{j})' for j in every)}) as a",
+                  f"array({', '.join(f'exp(__l{j}) * __s{j}' for j in every)}) as b")
+        ends = df.selectExpr(*[f"`{k}`" for k in keys], "__i", *totals).groupBy(*keys).agg(
+            F.max_by(F.struct("a", "b"), F.col("__i")).alias("m"))
         ends = ends.select(*series.spec.keys, F.col("__chunk").alias("c"), "m.a", "m.b")
         entry = _entries(ends, series.spec.keys, -(-series.longest // chunk_rows))
         entry = entry.select(*[F.col(k).alias(f"__e_{k}") for k in series.spec.keys],
                              F.col("c").alias("__e_c"), F.col("b").alias("__entry"))
         df = df.join(entry, [F.col("__chunk") == F.col("__e_c")] + [
             F.col(k).eqNullSafe(F.col(f"__e_{k}")) for k in series.spec.keys], "left")
-        carried = {j: F.coalesce(F.col("__entry")[j], F.lit(0.0)) for j in range(len(names))}
-    value = {}
-    for j, (key, name) in enumerate(names.items()):
-        started = F.coalesce(F.col(f"__p_{key[0]}"), F.when(F.col(key[0]).isNotNull(), F.col("__i"))).isNotNull()
-        value[name] = F.when(started, F.exp(f"__l{j}") * (F.col(f"__s{j}") + carried.get(j, F.lit(0.0))))
-    kept_columns = [*series.df.columns]
-    df = df.withColumns(value).select(
-        *[c for c in kept_columns if c != "__i" and not c.startswith("__p_")], *names.values())
-    return series.put(df)
+        carried = {j: f" + coalesce(__entry[{j}], 0D)" for j in every}
+    value = {
+        name: F.expr(f"case when coalesce(`__p_{c}`, if(`{c}` is null, null, __i)) is not null "
+                     f"then exp(__l{j}) * (__s{j}{carried.get(j, '')}) end")
+        for j, ((c, _), name) in enumerate(names.items())
+    }
+    rest = [c for c in series.df.columns if c != "__i" and not c.startswith("__p_")]
+    return series.put(df.withColumns(value).select(*rest, *names.values()))
 
 
 def _entries(maps: DataFrame, keys: tuple[str, ...], longest: int) -> DataFrame:
@@ -348,4 +351,4 @@ def add_ema_features(
     df: DataFrame, columns: list[str], spans=SPANS, prefix="ema", spec: SeriesSpec = READINGS,
 ) -> DataFrame:
     """y = (1-a)y + ax with a = 2/(span+1); a gap of g rows weighs the old value by (1-a)^g."""
-    return ema(lay_out(df, spec), columns, spans, prefix).frame()
+    return ema(lay_out(df, spec, heavy=True), columns, spans, prefix).frame()

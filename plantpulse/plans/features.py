@@ -31,7 +31,7 @@ def engineer_features(
     bounded += [crossover_exprs(c) for c in crossed]
     if "Energy" in timed.columns:
         bounded.append(counter_exprs())
-    series = ema(lay_out(timed, spec), names, spans)
+    series = ema(lay_out(timed, spec, heavy=True), names, spans)
     series = rate_of_change(series, names, periods)
     if "Power" in timed.columns:
         series = run_lengths(series)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_MAX_ROWS_PER_TASK = 4_000_000
+DEFAULT_MAX_ROWS_PER_TASK = 1_000_000
 MAX_ROWS_CONF = "plantpulse.maxRowsPerTask"
 
 

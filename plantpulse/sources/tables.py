@@ -45,8 +45,8 @@ def write_parquet(df: DataFrame, path: str, ts: str | None = None, mode: str = "
     if ts is None:
         df.write.mode(mode).parquet(path)
         return
-    # sorting by day keeps one open file per task and day
-    (df.withColumn("day", F.to_date(ts)).sortWithinPartitions("day")
+    # a range by time gives each task few days, and a full day several tasks
+    (df.withColumn("day", F.to_date(ts)).repartitionByRange("day", ts).sortWithinPartitions("day")
      .write.mode(mode).partitionBy("day").parquet(path))
 
 
