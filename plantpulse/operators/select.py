@@ -109,7 +109,7 @@ def preview(df: DataFrame, n: int = 100, spec: SeriesSpec = READINGS) -> DataFra
 
 def random_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """A repeatable sample of at most n rows: the n smallest hashes of the row key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def index_union(left: DataFrame, right: DataFrame) -> DataFrame:

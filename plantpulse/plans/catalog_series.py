@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plantpulse.functions.calendar import add_time_features
 from plantpulse.functions.grading import classify_alert_severity
 from plantpulse.operators import alerts, anomaly, cleaning, forest, monitoring, windows
 from plantpulse.plans import fixtures as fx
@@ -271,6 +272,48 @@ def engineered_table(spark, sf):
     return engineer_features(fx.sensor_readings(spark, sf))
 
 
+def _sensor_features_sql() -> str:
+    """Every engineered column over the ten sensors, from one ordered table."""
+    out = ["o.reading_id"]
+    for c in SENSORS:
+        out += [x.replace(f"({c})", f"(o.{c})").replace(W, "partition by o.unit_id order by o.rn") for x in _rolling(c)]
+        lags = [(n, f"lag(o.{c}, {n}) over w") for n in (4, 24, 96)]
+        out += [r(e, f"lag_{c}_{n}") for n, e in lags] + [r(f"o.{c} - {e}", f"lag_{c}_diff_{n}") for n, e in lags]
+        out += [r(f"y.{c}_{s}", f"ema_{c}_{s}", 5) for s in (12, 24, 48)]
+        out += [_roc(c, n).replace(W, "partition by o.unit_id order by o.rn").replace(f"lag({c},", f"lag(f.{c},")
+                .replace(f"when {c} ", f"when f.{c} ").replace(f"round({c} /", f"round(f.{c} /") for n in (4, 24)]
+    for c in SENSORS[:3]:
+        short, long = (f"avg(o.{c}) over (partition by o.unit_id order by o.rn rows between {n - 1} preceding and current row)"
+                       for n in (4, 24))
+        out += [r(short, f"ma_{c}_short_4", 10), r(long, f"ma_{c}_long_24", 10),
+                r(f"{short} - {long}", f"ma_{c}_crossover_4_24", 9)]
+    out += [r("greatest(coalesce(o.Energy - lag(o.Energy) over w, 0), 0)", "energy_rate"),
+            r("o.T_Return - o.T_Supply", "temp_difference"), r("o.T_Supply / nullif(o.T_Return, 0)", "temp_efficiency", 9),
+            r("o.T_Supply - o.T_Outdoor", "temp_lift"), r("o.RH_Return - o.RH_Supply", "rh_difference"),
+            r("o.T_Saturation - o.T_Supply", "saturation_margin"), r("o.T_Return - o.SP_Return", "setpoint_deviation")]
+    filled = "filled as (select reading_id, " + ", ".join(
+        f"last_value({c} ignore nulls) over ({W} rows unbounded preceding) as {c}" for c in SENSORS) + " from sensor_readings)"
+    averages = "averages as (select reading_id, " + ", ".join(
+        f"e_{c}.y{s} as {c}_{s}" for c in SENSORS for s in (12, 24, 48)) + " from " + " join ".join(
+        f"ema_{c} e_{c}" + (" using (reading_id)" if i else "") for i, c in enumerate(SENSORS)) + ")"
+    body = (f"select {', '.join(out)} from ordered o join filled f using (reading_id) "
+            "join averages y using (reading_id) window w as (partition by o.unit_id order by o.rn)")
+    return sql(body, ORDERED_SQL, filled, *[_ema_sql(c) for c in SENSORS], averages, recursive=True)
+
+
+@query("engineered_sensors", _sensor_features_sql())
+def engineered_sensors(spark, sf):
+    """The engineered table over the ten sensors only, without calendar columns and run lengths."""
+    df = fx.sensor_readings(spark, sf)
+    out = engineer_features(df, SENSORS)
+    calendar = set(add_time_features(df).columns) | {"power_state", "power_on_duration"}
+    out = out.select("reading_id", *[c for c in out.columns if c not in calendar])
+    digits = {c: 10 for c in out.columns if "_mean_" in c or c.startswith("ma_") and "crossover" not in c}
+    digits |= {c: 9 for c in out.columns if "crossover" in c or c == "temp_efficiency"}
+    digits |= {c: 8 for c in out.columns if c.startswith("roc_")} | {c: 5 for c in out.columns if c.startswith("ema_")}
+    return rounded(out, **digits)
+
+
 # --- I: cleaning and anomalies --------------------------------------------------
 
 def _chain(source: str) -> tuple[list[str], str]:

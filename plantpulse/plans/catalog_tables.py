@@ -301,7 +301,8 @@ def active_alerts_(spark, sf):
     return active_alerts(open_, "medium", 50).select("alert_id", "type", "ts", "severity")
 
 
-@query("random_sample")
+@query("random_sample", sql(f"""select reading_id, {r('T_Outdoor', 'T_Outdoor')}, {r('Power', 'Power')},
+  {r('T_Supply', 'T_Supply')} from sensor_readings order by md5(reading_id::varchar || ':42'), reading_id limit 1000"""))
 def random_sample(spark, sf):
     df = fx.sensor_readings(spark, sf).select("reading_id", "T_Outdoor", "Power", "T_Supply")
     return rounded(select.random_sample(df, 1000, "reading_id"))

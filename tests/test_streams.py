@@ -59,8 +59,11 @@ def test_late_rows_are_dropped(spark, sf, drops, tmp_path):
     late = events.limit(3).withColumn("value", F.lit(1e6)).withColumn("event_type", F.lit("late"))
     folder = tmp_path / "in"
     folder.mkdir()
-    append(events, folder, 1_700_000_000)
-    append(late, folder, 1_700_000_060)
+    # a trigger judges lateness by the watermark the trigger before it started from
+    half = events.count() // 2
+    append(events.filter(F.col("event_id") < half), folder, 1_700_000_000)
+    append(events.filter(F.col("event_id") >= half), folder, 1_700_000_060)
+    append(late, folder, 1_700_000_120)
     source = jobs.read_stream(spark, str(folder), events.schema, pattern="*.parquet", files_per_trigger=1)
     out = jobs.run_available(jobs.stream_profile(fx.readings_of(source)), str(tmp_path / "out"), str(tmp_path / "check"))
     assert out.agg(F.max("peak_power")).first()[0] < 1e3
