@@ -188,7 +188,7 @@ def shiftable_load(spark, sf):
     return rounded(energy.optimize_schedule(fx.sensor_readings(spark, sf)).select("shiftable_load_percent"))
 
 
-@query("savings", sql(f"""select unit_id, {r('b', 'baseline_power', 9)}, {r('b * 0.85e0', 'optimized_power', 9)},
+@query("savings", sql(f"""select unit_id, {r('b', 'baseline_power', 12)}, {r('b * 0.85e0', 'optimized_power', 12)},
   {r('(b - b * 0.85e0) * 24', 'daily_savings_kwh')}, {r('(b - b * 0.85e0) * 24 * 365', 'annual_savings_kwh')},
   {r('(b * 24 * 0.12e0 - b * 0.85e0 * 24 * 0.12e0)', 'daily_savings_cost')},
   {r('(b * 24 * 0.12e0 - b * 0.85e0 * 24 * 0.12e0) * 365', 'annual_savings_cost')},
@@ -196,7 +196,7 @@ def shiftable_load(spark, sf):
   from (select unit_id, avg(Power) as b from sensor_readings group by 1)"""))
 def savings(spark, sf):
     return rounded(energy.estimate_savings(fx.sensor_readings(spark, sf), ("unit_id",)),
-                   baseline_power=9, optimized_power=9)
+                   baseline_power=12, optimized_power=12)
 
 
 @query("tou_savings", sql(f"""select {r('p', 'mean_peak')}, {r('o', 'mean_off_peak')},

@@ -31,7 +31,7 @@ def _rolling(c: str) -> list[str]:
     out = []
     for n in (4, 24, 96):
         frame = f"over ({W} rows between {n - 1} preceding and current row)"
-        out += [r(f"avg({c}) {frame}", f"roll_{c}_mean_{n}", 10), r(f"stddev_samp({c}) {frame}", f"roll_{c}_std_{n}"),
+        out += [r(f"avg({c}) {frame}", f"roll_{c}_mean_{n}", 8 if c == "Energy" else 10), r(f"stddev_samp({c}) {frame}", f"roll_{c}_std_{n}"),
                 r(f"min({c}) {frame}", f"roll_{c}_min_{n}"), r(f"max({c}) {frame}", f"roll_{c}_max_{n}")]
     return out
 
@@ -309,6 +309,7 @@ def engineered_sensors(spark, sf):
     calendar = set(add_time_features(df).columns) | {"power_state", "power_on_duration"}
     out = out.select("reading_id", *[c for c in out.columns if c not in calendar])
     digits = {c: 10 for c in out.columns if "_mean_" in c or c.startswith("ma_") and "crossover" not in c}
+    digits |= {c: 8 for c in out.columns if c.startswith("roll_Energy_mean")}
     digits |= {c: 9 for c in out.columns if "crossover" in c or c == "temp_efficiency"}
     digits |= {c: 8 for c in out.columns if c.startswith("roc_")} | {c: 5 for c in out.columns if c.startswith("ema_")}
     return rounded(out, **digits)

@@ -157,9 +157,9 @@ def drop_missing(spark, sf):
 
 @query("impute_zero", sql(f"""select reading_id,
   {r("coalesce(last_value(T_Supply ignore nulls) over w, 0)", "t_supply_filled")},
-  {r("case when isinf(coalesce(last_value(ratio ignore nulls) over w, 0)) then 0 else coalesce(last_value(ratio ignore nulls) over w, 0) end", "ratio_filled")},
+  {r("case when isinf(coalesce(last_value(ratio ignore nulls) over w, 0)) then 0 else coalesce(last_value(ratio ignore nulls) over w, 0) end", "ratio_filled", None)},
   {r("coalesce(T_Supply, 0)", "t_supply_zero")},
-  {r("case when ratio is null or isinf(ratio) then 0 else ratio end", "ratio_zero")},
+  {r("case when ratio is null or isinf(ratio) then 0 else ratio end", "ratio_zero", None)},
   {r("coalesce(RH_Return, 0)", "rh_return_zero")}
   from (select *, case when T_Return = 0 and Power = 0 then null when T_Return = 0 then cast('inf' as double)
                else Power / T_Return end as ratio from sensor_readings)
@@ -174,7 +174,7 @@ def impute_zero(spark, sf):
     df = windows.impute_zero(df, ["t_supply_filled", "ratio_filled"], fill_first=True)
     df = windows.impute_zero(df, ["t_supply_zero", "ratio_zero"])
     df = windows.impute_zero(df, ["rh_return_zero"], drop_infinite=False)
-    return rounded(df.drop("unit_id", "ts"))
+    return rounded(df.drop("unit_id", "ts"), ratio_filled=None, ratio_zero=None)
 
 
 HOURS_SQL = """hourly as (select cast(hour(ts) as int) as hour, avg(Power) as mean, sum(Power) as total
@@ -369,13 +369,13 @@ def thermal_domain(spark, sf):
     return rounded(df.select("reading_id", *[e.alias(n) for n, e in thermal.thermal_domain(df.columns).items()]))
 
 
-@query("efficiency_metrics", sql(f"""select reading_id, {r('lift', 'temp_lift')}, {r('Power / abs(lift)', 'power_per_degree', 10)},
-  {r('abs(lift) / (Power + 0.001e0)', 'efficiency_ratio', 8)} from (select *, case when T_Supply - T_Outdoor = 0 then 0.001e0
+@query("efficiency_metrics", sql(f"""select reading_id, {r('lift', 'temp_lift')}, {r('Power / abs(lift)', 'power_per_degree', None)},
+  {r('abs(lift) / (Power + 0.001e0)', 'efficiency_ratio', None)} from (select *, case when T_Supply - T_Outdoor = 0 then 0.001e0
   else T_Supply - T_Outdoor end as lift from sensor_readings)"""))
 def efficiency_metrics(spark, sf):
     df = thermal.calculate_efficiency_metrics(fx.sensor_readings(spark, sf))
     return rounded(df.select("reading_id", "temp_lift", "power_per_degree", "efficiency_ratio"),
-                   power_per_degree=10, efficiency_ratio=8)
+                   power_per_degree=None, efficiency_ratio=None)
 
 
 @query("severity_ensemble", sql("""select reading_id, case when s > 0.7 then 'high' when s > 0.4 then 'medium'

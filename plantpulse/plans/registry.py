@@ -29,19 +29,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Round every floating column, so that summation order cannot show."""
+def rounded(df: DataFrame, digits: int = 6, **special: int | None) -> DataFrame:
+    """Round every floating column, so that summation order cannot show; None leaves one as it is."""
     def cell(f: T.StructField) -> Column:
         if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             return F.col(f.name)
-        return F.round(F.col(f.name), special.get(f.name, digits)).alias(f.name)
+        places = special.get(f.name, digits)
+        return F.col(f.name) if places is None else F.round(F.col(f.name), places).alias(f.name)
     return df.select(*[cell(f) for f in df.schema.fields])
 
 
 # --- SQL building blocks --------------------------------------------------------
 
-def r(expr: str, name: str, digits: int = 6) -> str:
+def r(expr: str, name: str, digits: int | None = 6) -> str:
     """Rounded SQL column; adding 0 turns a negative zero into zero."""
+    if digits is None:
+        return f"({expr}) + 0e0 as {name}"
     return f"round({expr}, {digits}) + 0e0 as {name}"
 
 
