@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions.grading import percent
 from plantpulse.operators.alerts import alert_summary
-from plantpulse.operators.profile import long_stats
+from plantpulse.operators.profile import long_stats, unfolded
 from plantpulse.schema import numeric_columns
 
 Z_LIMIT = 3.0
 ACCURACY_LIMIT = 0.8
 RUNS_LIMIT = 0.9
+WIDE = 40
 
 
 def drift_fit(reference: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Mean, std, min and max per numeric column."""
-    return long_stats(reference, columns or numeric_columns(reference), {
+    names = columns or numeric_columns(reference)
+    if len(names) > WIDE:
+        return unfolded(reference, names, set(names)).groupBy("feature").agg(
+            F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"))
+    return long_stats(reference, names, {
         "mean": F.avg, "std": F.stddev_samp,
         "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")})
 

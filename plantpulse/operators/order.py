@@ -128,7 +128,7 @@ def over_rows(
 ) -> Series:
     """Add window columns whose frames reach at most `back` rows back and `ahead` rows on."""
     if not series.blocked:
-        return series.put(_in_groups(series.df, build(series.window())))
+        return series.put(in_groups(series.df, build(series.window())))
     size = max(series.limit, 4 * (back + ahead), 1)
     block = F.floor(F.col(POS) / size)
     offset = F.col(POS) - block * size
@@ -139,7 +139,7 @@ def over_rows(
     if ahead:
         copies.append(F.when(offset < ahead, F.struct((home - 1).alias(BLOCK), F.lit(False).alias(OWN))))
     spread = series.df.select("*", F.inline(F.array_compact(F.array(*copies))))
-    done = _in_groups(spread, build(series.window(BLOCK)))
+    done = in_groups(spread, build(series.window(BLOCK)))
     return series.put(done.filter(OWN).drop(BLOCK, OWN))
 
 
@@ -147,7 +147,7 @@ def over_rows(
 GROUP = 72
 
 
-def _in_groups(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def in_groups(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add window columns in groups; same window, so no further shuffle or sort."""
     items = list(columns.items())
     for i in range(0, len(items), GROUP):
@@ -176,7 +176,7 @@ def _seen(series: Series, values: dict[str, Column], start: int, end: int, forwa
     pick = F.last if forward else F.first
     if not series.blocked:
         w = series.window().rowsBetween(start, end)
-        return series.put(series.df.withColumns({n: pick(v, True).over(w) for n, v in values.items()}))
+        return series.put(in_groups(series.df, {n: pick(v, True).over(w) for n, v in values.items()}))
     raw = {f"__v{i}": v for i, v in enumerate(values.values())}
     carry = {v: f"__c{i}" for i, v in enumerate(raw)}
     df = series.df.withColumns(raw).withColumn(

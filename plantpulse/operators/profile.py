@@ -208,15 +208,26 @@ def outlier_counts(df: DataFrame, columns: list[str], threshold: float = 1.5) ->
     }, "column")
 
 
+def unfolded(df: DataFrame, columns: list[str], numeric: set[str]) -> DataFrame:
+    """One (feature, missing, value) row per cell, to aggregate wide tables by column.
+
+    The cells are combined before the shuffle, so hundreds of columns need one
+    small aggregate and one scan.
+    """
+    nothing = F.lit(None).cast("double")
+    cells = [F.struct(
+        F.lit(c).alias("feature"), is_missing(c).alias("missing"),
+        (F.col(c).cast("double") if c in numeric else nothing).alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*cells)))
+
+
 def feature_summary(df: DataFrame, target_col: str) -> DataFrame:
     """Per feature: missing count, variance of floating columns, and the feature total."""
     names = [c for c in df.columns if c != target_col]
-    types = dict(df.dtypes)
-    return long_stats(df, names, {
-        "missing_count": lambda c: F.count_if(is_missing(c)),
-        "variance": lambda c: F.var_samp(c) if types[c] == "double" else F.lit(None).cast("double"),
-        "total_features": lambda c: F.lit(len(names)),
-    })
+    cells = unfolded(df, names, {c for c, t in df.dtypes if t == "double"})
+    return cells.groupBy("feature").agg(
+        F.count_if("missing").alias("missing_count"), F.var_samp("value").alias("variance"),
+        F.lit(len(names)).alias("total_features"))
 
 
 def data_info(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.operators.order import (
-    HERE, READINGS, Series, SeriesSpec, last_seen, lay_out, next_seen, over_rows, with_row_number,
+    HERE, READINGS, Series, SeriesSpec, in_groups, last_seen, lay_out, next_seen, over_rows, with_row_number,
 )
 from plantpulse.schema import flag
 
@@ -288,8 +288,8 @@ def ema(series: Series, columns, spans=SPANS, prefix="ema") -> Series:
     w = Window.partitionBy(*keys).orderBy(*series.spec.sort).rowsBetween(Window.unboundedPreceding, HERE)
     every = range(len(names))
     df = df.withColumns(decay | gain)
-    df = df.withColumns({f"__l{j}": F.sum(f"__d{j}").over(w) for j in every})
-    df = df.withColumns({f"__s{j}": F.sum(F.expr(f"__g{j} * exp(-__l{j})")).over(w) for j in every})
+    df = in_groups(df, {f"__l{j}": F.sum(f"__d{j}").over(w) for j in every})
+    df = in_groups(df, {f"__s{j}": F.sum(F.expr(f"__g{j} * exp(-__l{j})")).over(w) for j in every})
     carried = {}
     if series.longest > chunk_rows:
         totals = (f"array({', '.join(f'exp(__l{j})' for j in every)}) as a",

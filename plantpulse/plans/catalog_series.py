@@ -279,7 +279,7 @@ def _sensor_features_sql() -> str:
         out += [x.replace(f"({c})", f"(o.{c})").replace(W, "partition by o.unit_id order by o.rn") for x in _rolling(c)]
         lags = [(n, f"lag(o.{c}, {n}) over w") for n in (4, 24, 96)]
         out += [r(e, f"lag_{c}_{n}") for n, e in lags] + [r(f"o.{c} - {e}", f"lag_{c}_diff_{n}") for n, e in lags]
-        out += [r(f"y.{c}_{s}", f"ema_{c}_{s}", 5) for s in (12, 24, 48)]
+        out += [r(f"y.{c}_{s}", f"ema_{c}_{s}", 4) for s in (12, 24, 48)]
         out += [_roc(c, n).replace(W, "partition by o.unit_id order by o.rn").replace(f"lag({c},", f"lag(f.{c},")
                 .replace(f"when {c} ", f"when f.{c} ").replace(f"round({c} /", f"round(f.{c} /") for n in (4, 24)]
     for c in SENSORS[:3]:
@@ -311,7 +311,7 @@ def engineered_sensors(spark, sf):
     digits = {c: 10 for c in out.columns if "_mean_" in c or c.startswith("ma_") and "crossover" not in c}
     digits |= {c: 8 for c in out.columns if c.startswith("roll_Energy_mean")}
     digits |= {c: 9 for c in out.columns if "crossover" in c or c == "temp_efficiency"}
-    digits |= {c: 8 for c in out.columns if c.startswith("roc_")} | {c: 5 for c in out.columns if c.startswith("ema_")}
+    digits |= {c: 8 for c in out.columns if c.startswith("roc_")} | {c: 4 for c in out.columns if c.startswith("ema_")}
     return rounded(out, **digits)
 
 

@@ -87,6 +87,13 @@ def test_no_cross_joins_in_any_query_source():
             assert "crossJoin" not in text and "localCheckpoint" not in text
 
 
+def test_stages_go_to_the_named_folder(spark):
+    from plantpulse import session
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert session.shared_folder(spark) == folder
+    assert any(folder in f for f in session.staged(spark.range(3)).inputFiles())
+
+
 def test_worker_functions_travel_by_value():
     from pyspark import cloudpickle
 

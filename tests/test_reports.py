@@ -46,6 +46,25 @@ def test_engineered_table_has_667_columns(spark, readings):
     assert "SinglePartition" not in plan
 
 
+def test_summary_and_drift_of_a_wide_table(spark, readings):
+    from plantpulse.operators import monitoring, profile
+    from plantpulse.schema import numeric_columns
+    wide = engineer_features(readings, ["T_Supply", "Power"]).drop("unit_id", "reading_id")
+    names = numeric_columns(wide)
+    assert len(names) > monitoring.WIDE
+    summary = {r.feature: r for r in profile.feature_summary(wide, "Power").collect()}
+    stats = {r.feature: r for r in monitoring.drift_fit(wide, names).collect()}
+    data = wide.toPandas()
+    assert len(summary) == len(data.columns) - 1 == summary["ts"].total_features and len(stats) == len(names)
+    for c in names:
+        x = data[c].astype(float).replace([np.inf, -np.inf], np.nan)
+        if c != "Power":
+            assert summary[c].missing_count == data[c].isna().sum()
+        if x.count() > 1 and x.count() == data[c].count():
+            assert stats[c].mean == pytest.approx(x.mean()) and stats[c].std == pytest.approx(x.std())
+    assert summary["roll_Power_std_4"].variance == pytest.approx(data.roll_Power_std_4.var())
+
+
 def test_engineered_columns_equal_single_operators(spark, readings):
     names = ["T_Supply", "Power"]
     wide = engineer_features(readings, names)
