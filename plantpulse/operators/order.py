@@ -19,6 +19,7 @@ from plantpulse import session
 
 POS, BLOCK, OWN = "__pos", "__block", "__own"
 BROADCAST_ROWS = 100_000
+ROWS_WORTH_A_TASK = 5_000
 FIRST, BEFORE, HERE, LAST = Window.unboundedPreceding, -1, Window.currentRow, Window.unboundedFollowing
 
 
@@ -88,8 +89,11 @@ def lay_out(df: DataFrame, spec: SeriesSpec, heavy: bool = False) -> Series:
 
 
 def _tasks(df: DataFrame, rows: int, limit: int) -> int:
-    """The configured number of shuffle tasks, or more when they would hold too many rows each."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // (8 * limit) + 1)
+    """The configured number of shuffle tasks; fewer for few rows, more when they would hold too many."""
+    spark = df.sparkSession
+    useful = max(spark.sparkContext.defaultParallelism, rows // ROWS_WORTH_A_TASK)
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(configured, useful), rows // (8 * limit) + 1)
 
 
 def _positions(df: DataFrame, spec: SeriesSpec, rows: int, keys: int, limit: int) -> DataFrame:
