@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -19,7 +18,7 @@ from plantpulse.functions.grading import class_name, recommendations, severity_o
 from plantpulse.operators.order import (
     READINGS, SeriesSpec, before, lay_out, rows_at, running_sums, with_row_number,
 )
-from plantpulse.operators.select import align_schema, feature_columns, tail_n
+from plantpulse.operators.select import align_schema, tail_n
 
 LABEL = "failure_imminent"
 

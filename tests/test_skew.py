@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.operators import alerts, learning, quantiles, windows
 from plantpulse.operators.order import (
-    READINGS, SeriesSpec, before, lay_out, rows_at, running_sums, with_position,
+    READINGS, before, lay_out, rows_at, running_sums, with_position,
 )
 from plantpulse.plans.features import engineer_features
 from plantpulse.plans.fixtures import alerts as fixture_alerts
