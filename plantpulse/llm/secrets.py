@@ -131,8 +131,8 @@ def candidates(docs: DataFrame, rules: list[Rule], segment_docs: int = SEGMENT_D
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for clause in q for alternative in clause for g in alternative})
     segments = docs.count() // segment_docs + 1
-    low = F.lower("text")
-    present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
+    present = _bind(F.lower("text"), lambda low: F.array_compact(F.array(
+        *[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)])))
     keyed = docs.select(row_key().alias("__key"), present.alias("__grams"))
     postings = keyed.select(
         "__key", F.pmod("__key", F.lit(segments)).alias("__segment"), F.explode("__grams").alias("__gram"))
@@ -177,31 +177,37 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _to_scan(number: int, rule: Rule) -> Column:
-    if not trigram_query(rule.pattern):
-        return F.lit(True)
-    return F.coalesce(F.array_contains("__rules", F.lit(number)), F.lit(False))
-
-
-def _pieces(text: Column, rule: Rule) -> Column:
-    """Text between the matches and the matches themselves: array of (gap, hit, good)."""
-    pattern = F.lit(rule.pattern)
-    gaps = F.split(text, rule.pattern, -1)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    wanted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
+def _to_verify(rules: list[Rule]) -> Column:
+    """The rules that a row's text matches: its candidates, and those that must scan every text."""
+    text, found = F.col("text"), []
+    for i, rule in enumerate(rules):
+        test = text.rlike(rule.pattern)
+        if trigram_query(rule.pattern):
+            test = F.array_contains("__rules", F.lit(i)) & test
+        found.append(F.when(test, F.struct(
+            F.lit(i).alias("rank"), F.lit(rule.pattern).alias("pattern"), F.lit(rule.group).alias("group"),
+            F.lit(rule.least).alias("least"))))
+    return F.array_compact(F.array(*found))
+
+
+def _pieces(text: Column, rule: Column) -> Column:
+    """A text cut at a rule's matches: array of (gap, hit, good); the last gap has no hit."""
+    gaps = F.split(text, rule["pattern"], -1)
+    hits = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+    wanted = F.regexp_extract_all(text, rule["pattern"], rule["group"])
     return F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), wanted.alias("want")), lambda p: F.struct(
         p["gap"].alias("gap"), p["hit"].alias("hit"),
-        (F.char_length(p["want"]) >= rule.least).alias("good")))
+        (F.char_length(p["want"]) >= rule["least"]).alias("good")))
 
 
-def _spans(pieces: Column, number: int) -> Column:
+def _spans(text: Column, rule: Column) -> Column:
     """Spans of the good matches, in code points; running lengths are summed block by block."""
     nothing = F.array().cast(SPAN)
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.char_length(p["gap"])
         end = start + F.coalesce(F.char_length(p["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(number).alias("rank"), end.alias("end"))
+        span = F.struct(start.alias("start"), rule["rank"].alias("rank"), end.alias("end"))
         found = F.when(F.coalesce(p["good"], F.lit(False)), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
@@ -217,7 +223,7 @@ def _spans(pieces: Column, number: int) -> Column:
         return F.flatten(F.aggregate(
             F.sequence(F.lit(0), last), zero, lambda acc, number: block(pieces, acc, number))["found"])
 
-    return _bind(pieces, all_blocks)
+    return _bind(_pieces(text, rule), all_blocks)
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -228,14 +234,11 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     columns are not read, an empty table gives no rows.
     """
     marked = with_candidates(docs.select("doc_id", "text"), rules)
-    text, nothing = F.col("text"), F.array().cast(SPAN)
-    found = {f"__s{i}": F.when(_to_scan(i, r) & text.rlike(r.pattern), _spans(_pieces(text, r), i)).otherwise(nothing)
-             for i, r in enumerate(rules)}
-    spans = marked.select("doc_id", *[c.alias(n) for n, c in found.items()])
+    verify = F.coalesce(_to_verify(rules), F.array())
+    found = F.array_sort(F.flatten(F.transform(verify, lambda rule: _spans(F.col("text"), rule))))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    ordered = F.transform(F.array_sort(F.concat(*[F.col(n) for n in found])), lambda s: F.struct(
-        F.element_at(kinds, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return spans.select("doc_id", ordered.alias("spans"))
+    return marked.select("doc_id", F.transform(found, lambda s: F.struct(
+        F.element_at(kinds, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -258,15 +261,15 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rules: list[Rule] = RULES, placeholder: str = PLACEHOLDER) -> DataFrame:
     """`docs` with every secret replaced by a placeholder; all columns and rows stay.
 
-    Rules apply in their order, each to what the ones before have left.
+    The rules that a text matches apply in their order, each to what the ones before have left.
     """
-    out = with_candidates(docs, rules)
-    for i, rule in enumerate(rules):
-        cleaned = F.array_join(F.transform(_pieces(F.col("text"), rule), lambda p: F.concat(
+    def cleaned(text: Column, rule: Column) -> Column:
+        return F.array_join(F.transform(_pieces(text, rule), lambda p: F.concat(
             p["gap"], F.when(p["hit"].isNull(), "").when(p["good"], placeholder).otherwise(p["hit"]))), "")
-        out = out.withColumn("text", F.when(_to_scan(i, rule) & F.col("text").rlike(rule.pattern), cleaned)
-                             .otherwise(F.col("text")))
-    return out.select(*docs.columns)
+
+    out = with_candidates(docs, rules)
+    text = F.aggregate(_to_verify(rules), F.col("text"), cleaned)
+    return out.withColumn("text", F.coalesce(text, F.col("text"))).select(*docs.columns)
 
 
 def _oracle() -> str:
