@@ -114,15 +114,17 @@ def known_sentences() -> dict[str, str]:
     for name, spdx in NAMES.items():
         for notice in NOTICES:
             found.setdefault(notice.format(name), f"notice-{spdx}")
+    found["spdx license identifier"] = "spdx-tag"
     for spdx in sorted(set(NAMES.values())):
-        found[f"spdx license identifier {re.sub(NOT_PLAIN, ' ', spdx.lower())}"] = f"notice-{spdx}"
+        found[re.sub(NOT_PLAIN, " ", spdx.lower())] = f"spdx-{spdx}"
     return found
 
 
 def license_rules() -> list[Rule]:
     """Ordered rules; where one's sequence lies within another's, the longer stands first."""
     rules = [Rule(name, license, tuple(ids)) for name, (license, ids) in SEQUENCES.items()]
-    rules += [Rule(f"notice-{s}", s, (f"notice-{s}",)) for s in sorted(set(NAMES.values()))]
+    for spdx in sorted(set(NAMES.values())):
+        rules += [Rule(f"notice-{spdx}", spdx, (f"notice-{spdx}",)), Rule(f"tag-{spdx}", spdx, ("spdx-tag", f"spdx-{spdx}"))]
     return sorted(rules, key=lambda r: (-len(r.sentences), r.name))
 
 

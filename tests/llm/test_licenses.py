@@ -15,7 +15,7 @@ def test_notices(spark):
                  "This work is licensed under the GNU General Public License, version 3.", "we like the MIT License.",
                  "SPDX-License-Identifier: BSD-2-Clause") == [
         (["notice-CC-BY-NC-4.0"], ["CC-BY-NC-4.0"]), (["notice-MIT"], ["MIT"]), (["notice-GPL-3.0-only"], ["GPL-3.0-only"]),
-        ([], []), (["notice-BSD-2-Clause"], ["BSD-2-Clause"])]
+        ([], []), (["tag-BSD-2-Clause"], ["BSD-2-Clause"])]
 
 
 def test_ordered_sentences(spark):
