@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantpulse.functions.grading import SEVERITY_LEVELS, severity_level
-from plantpulse.operators.order import BLOCK, POS, Series, SeriesSpec, lay_out, with_position, with_row_number
+from plantpulse.operators.order import (
+    BLOCK, POS, Series, SeriesSpec, joined_on, lay_out, with_position, with_row_number,
+)
 
 HOUR = 3_600_000_000
 ALERTS = SeriesSpec(keys=("type",), order="ts", tiebreak=("alert_id",))
@@ -63,8 +65,8 @@ def greedy_gap(series: Series, value: Column, gap: int) -> DataFrame:
         return _keep(series.df, _run(narrow, list(spec.keys), gap), spec).select(*columns)
     cut = series.df.withColumn(BLOCK, F.floor(F.col("__i") / series.limit))
     narrow = cut.select(*spec.keys, BLOCK, "__i", "__v")
-    kept = _run(narrow.join(_block_entries(narrow, gap, spec), [*spec.keys, BLOCK], "left"),
-                [*spec.keys, BLOCK], gap)
+    entries = _block_entries(narrow, gap, spec)
+    kept = _run(joined_on(narrow, entries, [*spec.keys, BLOCK], "left"), [*spec.keys, BLOCK], gap)
     return _keep(series.df, kept, spec).select(*columns)
 
 
@@ -116,7 +118,7 @@ def _block_entries(narrow: DataFrame, gap: int, spec: SeriesSpec) -> DataFrame:
 
 
 def _keep(df: DataFrame, kept: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return df.join(kept.select(*spec.keys, "__i"), [*spec.keys, "__i"], "left_semi").select(*df.columns)
+    return joined_on(df, kept, [*spec.keys, "__i"], "left_semi")
 
 
 def alert_cooldown(df: DataFrame, cooldown_micros: int = HOUR, spec: SeriesSpec = ALERTS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse import session
-from plantpulse.operators.order import READINGS, SeriesSpec
+from plantpulse.operators.order import READINGS, SeriesSpec, joined_on
 from plantpulse.operators.profile import long_stats
 from plantpulse.operators.quantiles import fits_one_task, quantiles
 from plantpulse.operators.windows import handle_missing_values
@@ -41,8 +41,7 @@ def calendar_spine(df: DataFrame, step: str, keys: tuple[str, ...] = ("unit_id",
     spine = spine.repartition(tasks, *keys, "__at")
     last = F.least(F.col("__to"), F.col("__at") + wide - stride)
     spine = spine.select(*keys, F.explode(F.sequence("__at", last, stride)).alias(ts))
-    joined = spine.join(df, [*keys, ts], "left")
-    return joined.select(*df.columns)
+    return joined_on(spine, df, [*keys, ts], "left").select(*df.columns)
 
 
 def remove_duplicates(df: DataFrame, subset: list[str] | None = None,

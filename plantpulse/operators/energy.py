@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantpulse.functions.grading import money, outdoor_label, percent
-from plantpulse.operators.profile import daily_profile, energy_kpis, hourly_profile, monthly_profile
+from plantpulse.session import staged
 
 DAYS = 365
 PRICE = 0.12
@@ -76,20 +76,47 @@ def tou_savings(df: DataFrame, peak: list[int], off_peak: list[int], ts="ts", po
         "savings", (F.col("mean_peak") - F.col("mean_off_peak")) * len(off_peak) * DAYS * PRICE)
 
 
+def power_cells(df: DataFrame, ts="ts", power="Power", energy="Energy") -> DataFrame:
+    """Counts, moments and maxima per hour, weekday and month: at most 2016 rows, one scan, staged."""
+    on = F.count_if(F.col(power) > 0)
+    return staged(df.groupBy(
+        F.hour(ts).alias("hour"), F.weekday(ts).alias("day_of_week"), F.month(ts).alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(power).alias("n"), F.avg(power).alias("mean"),
+        F.var_pop(power).alias("var"), F.sum(power).alias("sum"), F.max(power).alias("peak"), on.alias("on"),
+        F.max(energy).alias("energy")), "cells")
+
+
+def rolled_up(cells: DataFrame, key: str, std: bool = False) -> DataFrame:
+    """The profile by one part of the time, from the cells: mean, sum and sample deviation."""
+    w = Window.partitionBy(key)
+    total = F.sum(F.col("n") * F.col("mean"))
+    away = F.col("mean") - F.try_divide(total.over(w), F.sum("n").over(w))
+    spread = F.sum(F.col("n") * (F.col("var") + F.col("__away") * F.col("__away")))
+    more = [F.sqrt(F.try_divide(spread, F.sum("n") - 1)).alias("std")] if std else []
+    return cells.withColumn("__away", away).groupBy(key).agg(
+        F.try_divide(total, F.sum("n")).alias("mean"), F.coalesce(F.sum("sum"), F.lit(0.0)).alias("sum"), *more)
+
+
 def optimization_report(df: DataFrame, ts="ts", power="Power", energy="Energy") -> DataFrame:
     """The whole energy report as one nested row.
 
-    Every part but the duty cycle follows from sums, counts and maxima per hour,
-    weekday and month, so the readings are scanned once per grouping and only
-    small tables meet.
+    Every part follows from counts, moments and maxima per hour, weekday and month, so the readings
+    are scanned once and only small tables meet.
     """
+    cells = power_cells(df, ts, power, energy)
+
     def profile(table: DataFrame, key: str) -> Column:
         stats = [c for c in table.columns if c != key]
         maps = [F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, s)))).alias(s) for s in stats]
         return table.agg(F.struct(*maps).alias("m")).scalar()
 
-    hourly = hourly_profile(df, ts, power)
-    kpis = energy_kpis(df, power, energy)
+    hourly = rolled_up(cells, "hour", std=True)
+    rows = F.coalesce(F.sum("rows"), F.lit(0))
+    kpis = cells.agg(
+        (F.try_divide(F.coalesce(F.sum("on"), F.lit(0)), rows) * 100).alias("duty_cycle_percent"),
+        F.coalesce(F.sum("sum"), F.lit(0.0)).alias("power_sum"),
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("average_power"),
+        F.max("peak").alias("peak_power"))
     plan = schedule_hours(hourly).select(F.struct(
         "peak_hours", "off_peak_hours",
         shiftable(F.col("__peak"), F.col("__all")).alias("shiftable_load_percent")).alias("s")).scalar()
@@ -97,8 +124,8 @@ def optimization_report(df: DataFrame, ts="ts", power="Power", energy="Energy")
     out = kpis.select(
         F.struct(
             profile(hourly, "hour").alias("hourly_profile"),
-            profile(daily_profile(df, ts, power), "day_of_week").alias("daily_profile"),
-            profile(monthly_profile(df, ts, power), "month").alias("monthly_profile"),
+            profile(rolled_up(cells, "day_of_week"), "day_of_week").alias("daily_profile"),
+            profile(rolled_up(cells, "month"), "month").alias("monthly_profile"),
             "duty_cycle_percent", F.col("power_sum").alias("total_energy"), "average_power", "peak_power",
         ).alias("consumption_profile"),
         plan.alias("schedule_optimization"),

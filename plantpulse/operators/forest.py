@@ -63,6 +63,18 @@ def _scaled(forest_columns, center, scale):
             for i, (c, m, s) in enumerate(zip(forest_columns, center, scale))]
 
 
+def draw_plan(rows: int, trees: int, size: int) -> tuple[int, int]:
+    """Draws for each row, and the largest 64-bit hash that wins one.
+
+    Four times the rows that the trees need are drawn on average, and some more where these are few,
+    so that no tree stays below its size.
+    """
+    wanted = trees * (4 * size + 60)
+    draws = max(1, math.ceil(wanted / max(rows, 1)))
+    share = min(1.0, wanted / max(rows * draws, 1))
+    return draws, min(int(share * 2.0 ** 64) - (1 << 63), (1 << 63) - 1)
+
+
 def isolation_forest_fit(
     df: DataFrame, columns: list[str], key: str, contamination: float = 0.1, trees: int = 100,
     sample: int = 256, seed: int = 42,
@@ -73,22 +85,22 @@ def isolation_forest_fit(
                  *[F.stddev_pop(e).alias(f"s_{c}") for c, e in filled.items()]).first()
     center, scale = [row[f"m_{c}"] for c in columns], [row[f"s_{c}"] or 1.0 for c in columns]
     size = min(sample, max(row.n, 1))
-    # each row gets a few draws (tree, order); enough draws that every tree fills its sample
-    draws = max(1, math.ceil(4 * trees * size / max(row.n, 1)))
-    share = min(1.0, 4 * trees * size / max(row.n * draws, 1))
+    draws, bound = draw_plan(row.n, trees, size)
     names = [f"__x{i}" for i in range(len(columns))]
     dice = df.select(F.col(key).alias("__key"), *_scaled(columns, center, scale)).select(
         "*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__draw"))
     roll = F.xxhash64("__key", "__draw", F.lit(seed))
-    dice = dice.withColumn("__roll", roll).filter(F.pmod("__roll", F.lit(1 << 20)) < int(share * (1 << 20)))
+    dice = dice.withColumn("__roll", roll).filter(F.col("__roll") <= F.lit(bound))
     dice = dice.withColumns({
-        "tree": F.pmod(F.shiftright("__roll", 20), F.lit(trees)).cast("int"),
+        "tree": F.pmod(F.xxhash64("__roll", F.lit(1)), F.lit(trees)).cast("int"),
         "__order": F.xxhash64("__roll", "__key")})
     # the row limit per tree is applied before the shuffle as well as after it
     pick = Window.partitionBy("tree").orderBy("__order")
     drawn = dice.withColumn("__rn", F.row_number().over(pick)).filter(F.col("__rn") <= size)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < size:
+            raise ValueError(f"a tree has {len(pdf)} of {size} rows")
         # a fixed row order makes the tree repeatable whatever order the shuffle gave
         pdf = pdf.sort_values("__order")
         rows = grow(int(pdf["tree"].iloc[0]), pdf[names].to_numpy(), seed)
@@ -97,6 +109,8 @@ def isolation_forest_fit(
     # at most trees * sample rows are left; a fixed number of tasks keeps the trees apart
     drawn = drawn.select("tree", "__order", *names).repartition(trees, "tree")
     nodes = drawn.groupBy("tree").applyInPandas(build, NODE).toPandas()
+    if row.n and nodes["tree"].nunique() < trees:
+        raise ValueError(f"{nodes['tree'].nunique()} of {trees} trees have rows")
     forest = IsolationForest(columns, center, scale, nodes, size)
     scored = isolation_forest_score(df.select(*columns), forest).select("if_score")
     offset = quantile_values(scored, ["if_score"], [contamination])["if_score"][0]

@@ -33,9 +33,8 @@ def time_split(df: DataFrame, features: list[str], label: str = LABEL, test_size
     """
     clean = df.na.drop(subset=[*features, label])
     cut = int(clean.count() * (1 - test_size))
-    bound = rows_at(clean, spec, [cut]).get(cut)
-    first = F.lit(True) if bound is None else before(spec, bound)
-    return clean.withColumn("split", F.when(first, "train").otherwise("test"))
+    bound = rows_at(clean, spec, [cut])[0]
+    return clean.withColumn("split", F.when(before(spec, bound), "train").otherwise("test"))
 
 
 def undersample(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -68,13 +67,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, scheme: str = "balanced", name: str = "weight") -> DataFrame:
-    """Weight column, from one row per class."""
+    """Weight column, from one row per class; rows without a label drop out.
+
+    The classes are few rows and are sent to every task, so no row is dealt by its label.
+    """
     w = class_weights(df, label)
     if scheme == "balanced":
         value = F.col("balanced_weight")
     else:
         value = F.when(F.col(label) == 1, F.col("scale_pos_weight")).otherwise(1.0)
-    return df.join(w.select(label, value.alias(name)), label)
+    return df.join(F.broadcast(w.select(label, value.alias(name))), label)
 
 
 def fold_ids(df: DataFrame, n_splits: int = 5, spec: SeriesSpec = READINGS) -> DataFrame:
@@ -84,10 +86,9 @@ def fold_ids(df: DataFrame, n_splits: int = 5, spec: SeriesSpec = READINGS) -> D
     if block == 0:
         raise ValueError(f"{n} rows are too few for {n_splits} folds")
     starts = [n - (n_splits - i) * block for i in range(n_splits)]
-    keys = rows_at(df, spec, starts)
     fold = F.lit(0)
-    for i, start in enumerate(starts):
-        fold = F.when(~before(spec, keys[start]), F.lit(i + 1)).otherwise(fold)
+    for i, bound in enumerate(rows_at(df, spec, starts)):
+        fold = F.when(~before(spec, bound), F.lit(i + 1)).otherwise(fold)
     return df.withColumn("fold", fold)
 
 
@@ -110,22 +111,28 @@ def boosted_trees(label: str = LABEL, rounds: int = 100, max_depth: int = 6, rat
     return GBTClassifier(**settings)
 
 
+# estimator and class weights of each kind of model
+KINDS = {"random_forest": (random_forest, "balanced"), "lightgbm": (boosted_trees, "balanced"),
+         "xgboost": (boosted_trees, "positive")}
+
+
 def train_classifier(df: DataFrame, features: list[str], kind: str = "random_forest", label: str = LABEL,
                      **params) -> Model:
     """`random_forest` and `lightgbm` weigh classes evenly, `xgboost` scales the positive class."""
-    make, scheme = {"random_forest": (random_forest, "balanced"), "lightgbm": (boosted_trees, "balanced"),
-                    "xgboost": (boosted_trees, "positive")}[kind]
+    make, scheme = KINDS[kind]
     data = with_class_weight(df.select(*features, label), label, scheme)
     return assembled(features, make(label, **params)).fit(data)
 
 
 def train_ensemble(df: DataFrame, features: list[str], makers: dict[str, Callable[[], Estimator]] | None = None,
-                   label: str = LABEL) -> dict[str, Model]:
-    """Fit several models; one that fails is skipped with a warning."""
+                   label: str = LABEL, schemes: dict[str, str] | None = None) -> dict[str, Model]:
+    """Fit several models, each with its own class weights; one that fails is skipped with a warning."""
     makers = makers or {"rf": lambda: random_forest(label), "xgb": lambda: boosted_trees(label),
-                        "lgb": lambda: boosted_trees(label)}
-    data, out = with_class_weight(df.select(*features, label), label), {}
+                        "lgb": lambda: boosted_trees(label, seed=43)}
+    schemes = schemes or {"xgb": "positive"}
+    out = {}
     for name, make in makers.items():
+        data = with_class_weight(df.select(*features, label), label, schemes.get(name, "balanced"))
         try:
             out[name] = assembled(features, make()).fit(data)
         except Exception as error:

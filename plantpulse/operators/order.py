@@ -206,19 +206,29 @@ def with_position(df: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
     return with_row_number(lay_out(df, spec), name).frame()
 
 
-def rows_at(df: DataFrame, spec: SeriesSpec, positions: list[int]) -> dict[int, tuple]:
-    """The sort key found at each position of the whole table; only sort columns are shuffled."""
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which a missing key equals a missing key; the keys are those of the left side."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def rows_at(df: DataFrame, spec: SeriesSpec, positions: list[int]) -> list[Column]:
+    """The sort key (a struct) at each position of the whole table; null past its end.
+
+    Only sort columns are shuffled, and the keys never leave the engine, so neither the driver's
+    time zone nor a type of its own can change them.
+    """
     whole = replace(spec, keys=())
     narrow = with_position(df.select(*spec.sort), whole, "__at").filter(F.col("__at").isin(positions))
-    return {r["__at"]: tuple(r[c] for c in spec.sort) for r in narrow.collect()}
+    found = [F.max(F.when(F.col("__at") == p, F.struct(*spec.sort))).alias(f"b{i}") for i, p in enumerate(positions)]
+    row = session.staged(narrow.agg(*found), "bounds")
+    return [row.select(f"b{i}").scalar() for i in range(len(positions))]
 
 
-def before(spec: SeriesSpec, bound: tuple) -> Column:
-    """Does the row sort before this key?"""
-    test = F.lit(False)
-    for column, value in reversed(list(zip(spec.sort, bound))):
-        test = (F.col(column) < F.lit(value)) | ((F.col(column) == F.lit(value)) & test)
-    return test
+def before(spec: SeriesSpec, bound: Column) -> Column:
+    """Does the row sort before this key? Missing values sort first; every row is before a missing key."""
+    return F.coalesce(F.struct(*spec.sort) < bound, F.lit(True))
 
 
 def running_sums(df: DataFrame, by: str, sums: dict[str, str]) -> DataFrame:

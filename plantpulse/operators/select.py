@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantpulse import session
 from plantpulse.operators.order import READINGS, SeriesSpec, with_position
 from plantpulse.operators.quantiles import quantiles
 from plantpulse.schema import CONTRACT_RANGES, LABEL_COLUMNS, TIME, flag, numeric_columns
@@ -27,28 +28,13 @@ def feature_projection(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFram
 def positional_slice(df: DataFrame, start: int, stop: int, columns: list[str],
                      spec: SeriesSpec = READINGS) -> DataFrame:
     """Rows [start, stop) of the whole table in order; only sort columns decide the cut."""
-    whole = replace(spec, keys=())
     if stop <= start:
         return df.select(*columns).limit(0)
-    cut = with_position(df.select(*spec.sort), whole, "__at").filter(F.col("__at").between(start, stop - 1))
-    ends = cut.agg(F.min(F.struct(*spec.sort)).alias("a"), F.max(F.struct(*spec.sort)).alias("b")).first()
-    if ends.a is None:
-        return df.select(*columns).limit(0)
-    return df.filter(_not_before(spec, tuple(ends.a)) & _not_after(spec, tuple(ends.b))).select(*columns)
-
-
-def _not_before(spec: SeriesSpec, bound: tuple) -> Column:
-    from plantpulse.operators.order import before
-    # the plain comparison on the order column can be pushed to the scan
-    return (F.col(spec.order) >= F.lit(bound[0])) & ~before(spec, bound)
-
-
-def _not_after(spec: SeriesSpec, bound: tuple) -> Column:
-    from plantpulse.operators.order import before
-    same = F.lit(True)
-    for column, value in zip(spec.sort, bound):
-        same = same & (F.col(column) == F.lit(value))
-    return (F.col(spec.order) <= F.lit(bound[0])) & (before(spec, bound) | same)
+    here = F.struct(*spec.sort)
+    cut = with_position(df.select(*spec.sort), replace(spec, keys=()), "__at").filter(
+        F.col("__at").between(start, stop - 1))
+    ends = session.staged(cut.agg(F.min(here).alias("a"), F.max(here).alias("b")), "bounds")
+    return df.filter((here >= ends.select("a").scalar()) & (here <= ends.select("b").scalar())).select(*columns)
 
 
 def range_contract(df: DataFrame, ranges: dict | None = None) -> DataFrame:
@@ -114,7 +100,3 @@ def random_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 def index_union(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.union(right).distinct()
-
-
-def log_append(log: DataFrame, rows: DataFrame) -> DataFrame:
-    return log.unionByName(rows, allowMissingColumns=True)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from plantpulse import session
 from plantpulse.operators import alerts, energy, learning, monitoring, windows
+from plantpulse.operators.scorer import WeightedScorer
 from plantpulse.plans import fixtures as fx
-from plantpulse.plans.catalog_tables import CONTRACT_SQL, STATS_SQL
+from plantpulse.plans.catalog_tables import CONTRACT_SQL, SCORER, SCORER_SQL, STATS_SQL, scorer_sql
 from plantpulse.plans.catalog_series import EMITTED_SQL, base
 from plantpulse.plans.registry import (
     ALERTS_SQL, LOG_SQL, NEW_SQL, OLD_SQL, RUNS_SQL, query, r, rounded, sql,
@@ -17,6 +17,17 @@ from plantpulse.schema import SENSORS
 from plantpulse.sources import tables
 from plantpulse.streaming import jobs
 
+# what the scores mean is fixed by SQL: advice looks at the readings with gaps as zero
+SEVERITY_SQL = "case when p > 0.7 then 'high' when p > 0.3 then 'medium' else 'low' end as severity"
+ADVICE_SQL = """concat_ws(' | ',
+  case when prediction = 1 then 'Immediate maintenance recommended' end,
+  case when prediction = 1 and Power > 3.0 then 'High power consumption detected - check compressor' end,
+  case when prediction = 1 and abs(T_Supply - T_Return) > 5 then 'Large temperature differential - inspect heat exchange' end,
+  case when prediction = 0 then 'Equipment operating normally' end,
+  case when prediction = 0 and p > 0.3 then 'Monitor closely - approaching threshold' end) as recommendations"""
+
+# Fixed value: size of the forest of the batch job.
+TREES = 50
 FEATURES = ["T_Supply", "T_Return", "T_Outdoor", "RH_Return", "Power"]
 LABELLED_SQL = """labelled as (select *, cast(failure_window > 0 as int) as failure_imminent from (
   select *, sum(is_failure) over (partition by unit_id order by ts, reading_id
@@ -30,8 +41,8 @@ def labelled(spark, sf):
 
 def training(spark, sf):
     """Labelled readings with gaps as zero, split in time order, staged once for many passes."""
-    df = windows.impute_zero(labelled(spark, sf), FEATURES)
-    return session.staged(learning.time_split(df, FEATURES))
+    df = windows.impute_zero(labelled(spark, sf), SENSORS)
+    return session.staged(learning.time_split(df, SENSORS))
 
 
 # --- J: training sets -----------------------------------------------------------
@@ -64,7 +75,7 @@ def class_weights(spark, sf):
 def rf_classifier(spark, sf):
     """Test scores of a balanced random forest on the time split."""
     df = training(spark, sf)
-    model = learning.train_classifier(df.filter("split = 'train'"), FEATURES, "random_forest", trees=20, max_depth=8)
+    model = learning.train_classifier(df.filter("split = 'train'"), SENSORS, "random_forest", trees=TREES)
     scored = learning.score(df.filter("split = 'test'"), model)
     return rounded(learning.classifier_metrics(scored, "failure_imminent"))
 
@@ -73,7 +84,7 @@ def rf_classifier(spark, sf):
 def gbt_classifier(spark, sf):
     """Test scores of boosted trees with the positive class scaled."""
     df = training(spark, sf)
-    model = learning.train_classifier(df.filter("split = 'train'"), FEATURES, "xgboost", rounds=10, max_depth=4)
+    model = learning.train_classifier(df.filter("split = 'train'"), SENSORS, "xgboost")
     scored = learning.score(df.filter("split = 'test'"), model)
     return rounded(learning.classifier_metrics(scored, "failure_imminent"))
 
@@ -119,21 +130,16 @@ def ts_folds(spark, sf):
 
 @query("ts_cross_validate")
 def ts_cross_validate(spark, sf):
-    df = session.staged(windows.impute_zero(labelled(spark, sf), FEATURES))
-    make = lambda: LogisticRegression(labelCol="failure_imminent", weightCol="weight", maxIter=10)
-    return rounded(learning.ts_cross_validate(df, FEATURES, make, n_splits=3))
-
-
-def _small_models():
-    return {"rf": lambda: learning.random_forest(trees=5, max_depth=4),
-            "gbt": lambda: learning.boosted_trees(rounds=3, max_depth=3)}
+    """Accuracy of a forest on five expanding folds."""
+    df = session.staged(windows.impute_zero(labelled(spark, sf), SENSORS))
+    return rounded(learning.ts_cross_validate(df, SENSORS, lambda: learning.random_forest(trees=TREES)))
 
 
 @query("train_ensemble")
 def train_ensemble(spark, sf):
-    """Test accuracy and AUC of each model of a small ensemble."""
+    """Test AUC of each of the three models of the ensemble."""
     df = training(spark, sf)
-    models = learning.train_ensemble(df.filter("split = 'train'"), FEATURES, _small_models())
+    models = learning.train_ensemble(df.filter("split = 'train'"), SENSORS)
     out, test = None, df.filter("split = 'test'")
     for name, model in models.items():
         scored = learning.score(test, model)
@@ -142,19 +148,22 @@ def train_ensemble(spark, sf):
     return rounded(out)
 
 
-@query("ensemble_predict")
+SECOND = WeightedScorer({"T_Supply": 0.05, "RH_Return": -0.03, "Power": -0.5}, 0.4)
+SECOND_SQL = scorer_sql(SECOND, "second")
+
+
+@query("ensemble_predict", sql(f"""select reading_id, {r('(a.p + b.p) / 2', 'probability')},
+  cast((a.p + b.p) / 2 > 0.5 as int) as prediction from scored a join second b using (reading_id)""", SCORER_SQL, SECOND_SQL))
 def ensemble_predict(spark, sf):
-    df = training(spark, sf)
-    models = learning.train_ensemble(df.filter("split = 'train'"), FEATURES, _small_models())
-    out = learning.ensemble_predict(df.filter("split = 'test'"), models)
+    df = windows.impute_zero(base(spark, sf, *SENSORS), SENSORS)
+    out = learning.ensemble_predict(df, {"first": SCORER, "second": SECOND})
     return rounded(out.select("reading_id", "probability", "prediction"))
 
 
-@query("batch_score")
+@query("batch_score", sql(f"""select reading_id, ts, prediction, {r('p', 'probability')},
+  case when prediction = 1 then 'Failure' else 'Normal' end as label, {SEVERITY_SQL}, {ADVICE_SQL} from scored""", SCORER_SQL))
 def batch_score(spark, sf):
-    df = training(spark, sf)
-    model = learning.train_classifier(df.filter("split = 'train'"), FEATURES, trees=5, max_depth=4)
-    out = learning.batch_score(base(spark, sf, *SENSORS), model, FEATURES)
+    out = learning.batch_score(base(spark, sf, *SENSORS), SCORER, SENSORS)
     return rounded(out.select("reading_id", "ts", "prediction", "probability", "label", "severity",
                               F.concat_ws(" | ", "recommendations").alias("recommendations")))
 
@@ -190,8 +199,7 @@ def training_history(spark, sf):
     """One row per trained model, appended to a history table and read back."""
     path = session.new_folder(spark, "history")
     history = learning.timed_training(
-        training(spark, sf), FEATURES,
-        {"random_forest": {"trees": 5, "max_depth": 4}, "lightgbm": {"rounds": 3, "max_depth": 3}})
+        training(spark, sf), SENSORS, {"random_forest": {"trees": TREES}, "lightgbm": {}})
     tables.append_log(history, path, ts="trained_at")
     return rounded(tables.read_log(spark, path).select("model_name", "model_type", "accuracy", "roc_auc", "features"))
 
@@ -331,11 +339,10 @@ def stream_contract(spark, sf):
     return out.select("reading_id", F.concat_ws(", ", "reasons").alias("reasons"), "is_valid")
 
 
-@query("stream_score")
+@query("stream_score", sql(f"""select reading_id, prediction, {r('p', 'probability')}, {SEVERITY_SQL}, {ADVICE_SQL}
+  from scored""", SCORER_SQL))
 def stream_score(spark, sf):
-    df = training(spark, sf)
-    model = learning.train_classifier(df.filter("split = 'train'"), FEATURES, trees=5, max_depth=4)
-    scored = jobs.stream_score(fx.readings_of(event_stream(spark, sf)), model, FEATURES)
+    scored = jobs.stream_score(fx.readings_of(event_stream(spark, sf)), SCORER, SENSORS)
     out = jobs.run_available(scored, *_folders(spark, "stream_score"))
     return rounded(out.select("reading_id", "prediction", "probability", "severity",
                               F.concat_ws(" | ", "recommendations").alias("recommendations")))
@@ -348,14 +355,13 @@ def stream_alert_cooldown(spark, sf):
     return jobs.run_available(kept, *_folders(spark, "stream_cooldown")).select("alert_id", "type", "at")
 
 
-# the last windows stay open until the watermark passes them, so they are not in the output
 @query("stream_profile", sql(f"""select date_trunc('hour', ts) as start, count(*) as rows, {r('avg(Power)', 'mean_power', 9)},
   {r('sum(Power)', 'power_sum', 4)}, {r('max(Power)', 'peak_power')}, cast(count(*) filter (Power > 0) as bigint) as on_rows
-  from sensor_readings group by 1
-  having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from sensor_readings) - interval 1 hour"""))
+  from sensor_readings group by 1"""))
 def stream_profile(spark, sf):
     profiled = jobs.stream_profile(fx.readings_of(event_stream(spark, sf)))
-    out = jobs.run_available(profiled, *_folders(spark, "stream_profile"))
+    closed = jobs.run_available(profiled, *_folders(spark, "stream_profile"))
+    out = jobs.with_open_windows(closed, fx.sensor_readings(spark, sf))
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), mean_power=9, power_sum=4)
 
 

@@ -248,7 +248,7 @@ def prediction_summary(spark, sf):
     return rounded(profile.prediction_summary(fx.prediction_log(spark, sf)))
 
 
-BUNDLE = ["T_Supply", "T_Return", "RH_Return", "Energy", "Power"]
+BUNDLE = SENSORS  # the hourly part alone is limited, to five columns
 
 
 def _bundle_sql() -> str:

@@ -8,6 +8,7 @@ from plantpulse import session
 from plantpulse.functions import calendar, grading, thermal
 from plantpulse.operators import anomaly, cleaning, energy, learning, monitoring, profile, select, windows
 from plantpulse.operators.alerts import acknowledge, active_alerts
+from plantpulse.operators.scorer import WeightedScorer
 from plantpulse.plans import fixtures as fx
 from plantpulse.plans.registry import (
     ALERTS_SQL, GRID_SQL, LOG_SQL, NEW_SQL, OLD_SQL, per_column, query, r, rounded, sql,
@@ -84,11 +85,10 @@ def preview(spark, sf):
 def model_store(spark, sf):
     """Save two models, delete one, reload the current one and count its classes."""
     store = ModelStore(spark, session.new_folder(spark, "models"))
-    features = ["T_Supply", "T_Return", "Power"]
-    df = windows.impute_zero(windows.create_failure_labels(fx.sensor_readings(spark, sf)), features)
-    model = learning.train_classifier(df, features, "random_forest", "is_failure", trees=5, max_depth=4)
-    store.save(model, "first", "random_forest", {}, features)
-    store.save(model, "second", "random_forest", {}, features)
+    df = windows.impute_zero(windows.create_failure_labels(fx.sensor_readings(spark, sf)), SENSORS)
+    model = learning.train_classifier(df, SENSORS, "random_forest", "is_failure", trees=50)
+    store.save(model, "first", "random_forest", {}, SENSORS)
+    store.save(model, "second", "random_forest", {}, SENSORS)
     store.delete("first")
     again, names = store.load()
     scored = learning.score(df, again)
@@ -265,13 +265,27 @@ def code_lookup(spark, sf):
         calendar.day_name(F.weekday("ts")).alias("day_name"))
 
 
-@query("score_alignment")
+SCORER = WeightedScorer({
+    "T_Supply": 0.03, "T_Return": -0.02, "SP_Return": 0.01, "T_Saturation": 0.02, "T_Outdoor": 0.05,
+    "RH_Supply": -0.01, "RH_Return": 0.02, "RH_Outdoor": 0.005, "Energy": 0.0001, "Power": -1.5}, 0.1)
+
+
+def scorer_sql(scorer: WeightedScorer, name: str) -> str:
+    """Readings with gaps as zero, with probability p and prediction."""
+    filled = ", ".join(f"coalesce({c}, 0) as {c}" for c in SENSORS)
+    z = " + ".join([f"{scorer.bias}e0", *[f"{w}e0 * {c}" if "e" not in str(w) else f"{w} * {c}" for c, w in scorer.weights.items()]])
+    return f"""{name} as (select *, cast(p > 0.5 as int) as prediction from (select *, 1 / (1 + exp(-({z}))) as p
+  from (select reading_id, ts, {filled} from sensor_readings)))"""
+
+
+SCORER_SQL = scorer_sql(SCORER, "scored")
+
+
+@query("score_alignment", sql(f"select reading_id, prediction, {r('p', 'probability')} from scored", SCORER_SQL))
 def score_alignment(spark, sf):
     """Predictions sit on the row they belong to; no positional join."""
-    features = ["T_Supply", "T_Return", "T_Outdoor", "Power"]
-    df = windows.impute_zero(windows.create_failure_labels(fx.sensor_readings(spark, sf)), features)
-    model = learning.train_classifier(df, features, "random_forest", trees=5, max_depth=5)
-    return rounded(learning.score(df, model).select("reading_id", "prediction", "probability"))
+    df = windows.impute_zero(fx.sensor_readings(spark, sf), SENSORS)
+    return rounded(learning.score(df, SCORER).select("reading_id", "prediction", "probability"))
 
 
 # --- F: sorts, limits, samples --------------------------------------------------
@@ -290,7 +304,7 @@ def tail_n(spark, sf):
 @query("top_features")
 def top_features(spark, sf):
     df = windows.impute_zero(windows.create_failure_labels(fx.sensor_readings(spark, sf)), SENSORS)
-    model = learning.train_classifier(df, SENSORS, "random_forest", trees=10, max_depth=5)
+    model = learning.train_classifier(df, SENSORS, "random_forest", trees=50)
     return rounded(learning.top_features(model, SENSORS, spark))
 
 

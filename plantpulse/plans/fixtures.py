@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plantpulse.sources.tables import read_parquet
+
 # Each sensor value as an expression over one event; k is the number inside props.
 READING_EXPRS = [
     "event_id as reading_id", "user_id as unit_id", "ts",
@@ -23,7 +25,7 @@ SPLIT_DAY = "2024-01-16"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def with_k(events: DataFrame) -> DataFrame:

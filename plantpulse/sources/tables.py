@@ -36,8 +36,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Columnar scan; NaN becomes missing, as at every scan."""
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    return nan_to_null(df.select(*columns) if columns else df)
 
 
 def write_parquet(df: DataFrame, path: str, ts: str | None = None, mode: str = "overwrite") -> None:

@@ -15,7 +15,7 @@ from plantpulse.operators.alerts import HOUR, emitted, micros
 from plantpulse.operators.learning import advised, score
 from plantpulse.operators.monitoring import drift_detect
 from plantpulse.operators.select import align_schema, range_contract
-from plantpulse.schema import flag
+from plantpulse.schema import flag, nan_to_null
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
@@ -25,7 +25,7 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder)
+    return nan_to_null(reader.load(folder))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -67,16 +67,35 @@ def stream_score(readings: DataFrame, model: Transformer, features: list[str]) -
     return advised(score(align_schema(clean, [*extra, *features]), model))
 
 
-def stream_profile(readings: DataFrame, width: str = "1 hour", late: str = "1 hour", ts: str = "ts",
-                   power: str = "Power") -> DataFrame:
-    """Power profile per tumbling event-time window; rows later than `late` are dropped."""
-    timed = readings.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+def _window_profile(timed: DataFrame, width: str, ts: str, power: str) -> DataFrame:
     out = timed.groupBy(F.window(ts, width)).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(power).alias("mean_power"), F.sum(power).alias("power_sum"),
         F.max(power).alias("peak_power"), F.sum(flag(F.col(power) > 0)).alias("on_rows"))
     return out.select(F.col("window.start").alias("start"), *out.columns[1:])
 
 
+def stream_profile(readings: DataFrame, width: str = "1 hour", late: str = "1 hour", ts: str = "ts",
+                   power: str = "Power") -> DataFrame:
+    """Power profile per tumbling event-time window; rows later than `late` are dropped.
+
+    A window is written once the watermark has passed it; `with_open_windows` adds the others.
+    """
+    timed = readings.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return _window_profile(timed, width, ts, power)
+
+
+def with_open_windows(closed: DataFrame, readings: DataFrame, width: str = "1 hour", ts: str = "ts",
+                      power: str = "Power") -> DataFrame:
+    """The windows that a finished stream has written, and those its watermark had not passed.
+
+    `readings` is the stream's source as a table; only rows after the last written window are read.
+    """
+    timed = readings.withColumn(ts, F.col(ts).cast("timestamp"))
+    end = closed.agg((F.max("start") + F.expr(f"interval {width}")).alias("end")).scalar()
+    rest = timed.filter(F.coalesce(F.col(ts) >= end, F.col(ts).isNotNull() & end.isNull()))
+    return closed.unionByName(_window_profile(rest, width, ts, power))
+
+
 def stream_alert_cooldown(alerts: DataFrame, keys: tuple[str, ...] = ("type",), ts: str = "ts",
                           key: str = "alert_id", cooldown_micros: int = HOUR) -> DataFrame:
     """Emitted alerts per key; the state is the time of the last one.

@@ -67,11 +67,13 @@ def test_only_hot_keys_are_split(skewed):
     assert placed[0] == laid.longest and not any(n for unit, n in placed.items() if unit != 0)
 
 
-def test_missing_key_is_a_key(spark, skewed):
+@pytest.mark.parametrize("name", ["lag", "forward", "runs", "labels", "filter"])
+def test_missing_key_is_a_key(name, skewed):
     holed = skewed.withColumn("unit_id", F.when(F.col("unit_id") > 0, F.col("unit_id")))
     plain, split = specs(50)[0]
-    same(windows.add_lag_features(holed, ["Power"], (1,), spec=split),
-         windows.add_lag_features(holed, ["Power"], (1,), spec=plain))
+    same(OPERATORS[name](holed, split), OPERATORS[name](holed, plain))
+    # the missing key stands for unit 0
+    same(OPERATORS[name](holed, plain).drop("unit_id"), OPERATORS[name](skewed, plain).drop("unit_id"))
 
 
 def test_engineered_table_of_one_long_series(readings):
@@ -145,9 +147,10 @@ def test_running_sums_over_blocks(spark):
 
 
 def test_rows_at_and_before(readings):
-    bound = rows_at(readings, READINGS, [0, 10, 999])
-    assert readings.filter(before(READINGS, bound[10])).count() == 10
-    assert readings.filter(before(READINGS, bound[0])).count() == 0
+    first, tenth, _, beyond = rows_at(readings, READINGS, [0, 10, 999, 10_000])
+    assert readings.filter(before(READINGS, tenth)).count() == 10
+    assert readings.filter(before(READINGS, first)).count() == 0
+    assert readings.filter(before(READINGS, beyond)).count() == readings.count()
 
 
 @pytest.mark.parametrize("rows", [3, 1000])

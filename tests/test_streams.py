@@ -52,6 +52,9 @@ def test_profile_counts_every_closed_window(spark, sf, drops, tmp_path):
     limit = readings.agg(F.max("ts") - F.expr("interval 2 hours")).first()[0]
     closed = want.filter(F.col("start") <= F.lit(limit).cast("timestamp_ntz"))
     same(got.select(F.col("start").cast("timestamp"), "rows"), closed.select(F.col("start").cast("timestamp"), "rows"))
+    whole = jobs.with_open_windows(got, readings)
+    same(whole.select("start", "rows"), want.select(F.col("start").cast("timestamp").alias("start"), "rows"))
+    same(jobs.with_open_windows(got.limit(0), readings).select("start", "rows"), whole.select("start", "rows"))
 
 
 def test_late_rows_are_dropped(spark, sf, drops, tmp_path):
