@@ -12,8 +12,7 @@ from plantpulse.llm.words import Texts, characters, mix, per_row, slices, whole_
 
 # largest accepted share of a text's word characters inside n-grams that stood before
 DUP_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-# largest accepted shares of lines, and of characters in lines, that stood before
-DUP_LINE_SHARE = 0.30
+# largest accepted share of a text's word characters inside lines that stood before
 DUP_LINE_CHAR_SHARE = 0.20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -118,10 +117,9 @@ def judge(counts: DataFrame) -> DataFrame:
     def share(part: str, whole: str):
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
 
-    shares = {"dup_line_share": share("n_dup_lines", "n_lines"),
-              "dup_line_char_share": F.least(share("dup_line_chars", "word_chars"), F.lit(1.0))}
+    shares = {"dup_line_char_share": F.least(share("dup_line_chars", "word_chars"), F.lit(1.0))}
     shares |= {f"dup_{n}_share": share(f"dup_{n}_chars", "word_chars") for n in DUP_NGRAM_SHARE}
-    good = (F.col("dup_line_share") <= DUP_LINE_SHARE) & (F.col("dup_line_char_share") <= DUP_LINE_CHAR_SHARE)
+    good = F.col("dup_line_char_share") <= DUP_LINE_CHAR_SHARE
     for n, most in DUP_NGRAM_SHARE.items():
         good = good & (F.col(f"dup_{n}_share") <= most)
     return counts.withColumns(shares).withColumn("base_failed", failed).withColumn(
@@ -159,7 +157,6 @@ def _good(m: dict[str, np.ndarray]) -> np.ndarray:
     """The verdict of `judge` in numpy."""
     words, chars = m["n_words"], np.maximum(m["word_chars"], 1)
     good = (words >= MIN_WORDS) & (100 * m["n_repeat_words"] <= MAX_REPEAT_PERCENT * words)
-    good &= m["n_dup_lines"] / np.maximum(m["n_lines"], 1) <= DUP_LINE_SHARE
     good &= m["dup_line_chars"] / chars <= DUP_LINE_CHAR_SHARE
     for n, most in DUP_NGRAM_SHARE.items():
         good &= m[f"dup_{n}_chars"] / chars <= most

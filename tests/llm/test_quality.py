@@ -35,7 +35,7 @@ def brute(text):
 
 def verdict(m):
     failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
-    good = m["n_dup_lines"] <= 0.3 * max(m["n_lines"], 1) and m["dup_line_chars"] <= 0.2 * max(m["word_chars"], 1)
+    good = m["dup_line_chars"] <= 0.2 * max(m["word_chars"], 1)
     good = good and all(m[f"dup_{n}_chars"] <= s * max(m["word_chars"], 1) for n, s in quality.DUP_NGRAM_SHARE.items())
     return failed, not failed and good
 
