@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plantpulse import session
 from plantpulse.operators.order import READINGS, SeriesSpec, joined_on
 from plantpulse.operators.profile import long_stats
-from plantpulse.operators.quantiles import fits_one_task, quantiles
+from plantpulse.operators.quantiles import quantile_values
 from plantpulse.operators.windows import handle_missing_values
 from plantpulse.schema import CHECK_RANGES, numeric_columns
 
@@ -76,23 +76,23 @@ def remove_outliers_iqr(
 ) -> tuple[DataFrame, list[OutlierBound]]:
     """Drop IQR outliers column by column, quartiles always from the rows still alive.
 
-    Only bounds travel through the driver. They become literal filters on the
-    source, so nothing is cached between steps and each pass prunes columns.
+    Only bounds travel through the driver. The passes read the numeric columns, staged once; the
+    bounds become literal filters on the source.
     """
     names = columns or numeric_columns(df)
-    small = fits_one_task(df)
-    alive, bounds = df, []
+    narrow = session.staged(df.select(*names), "numeric")
+    alive, out, bounds = narrow, df, []
     for name in names:
-        quartiles = quantiles(alive, [name], [0.25, 0.75], small or None)[name]
-        found = alive.agg(quartiles.alias("q")).first().q
-        if found is None or found[0] is None:
+        low, high = quantile_values(alive, [name], [0.25, 0.75])[name]
+        if low is None:
             bounds.append((name, None, None))
-            alive = alive.filter(F.lit(False))
-            continue
-        spread = multiplier * (found[1] - found[0])
-        bounds.append((name, found[0] - spread, found[1] + spread))
-        alive = alive.filter(F.col(name).between(*bounds[-1][1:]))
-    return alive, _outlier_report(df, bounds)
+            kept = F.lit(False)
+        else:
+            spread = multiplier * (high - low)
+            bounds.append((name, low - spread, high + spread))
+            kept = F.col(name).between(*bounds[-1][1:])
+        alive, out = alive.filter(kept), out.filter(kept)
+    return out, _outlier_report(narrow, bounds)
 
 
 def _outlier_report(df: DataFrame, bounds: list[tuple]) -> list[OutlierBound]:

@@ -1,71 +1,86 @@
-"""Exact linear-interpolated quantiles whose memory does not grow with the table."""
+"""Exact linear-interpolated quantiles by counting digits, one method at every size."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse import session
+PARTS = 1024
 
-ACCURACY = 10_000
-MAX_VALUES = 50_000
 
-
-def fits_one_task(df: DataFrame) -> bool:
-    return df.count() <= session.max_rows_per_task(df.sparkSession)
-
-
-def quantiles(
-    df: DataFrame, columns: list[str], at: list[float], small: bool | None = None,
-) -> dict[str, Column]:
-    """Per column an array-valued aggregate with the quantiles.
-
-    `percentile` keeps one counter per distinct value, so it is used while the
-    table is small enough for one task; beyond that the exact order statistics
-    are found by narrowing passes and come back as literals.
-    """
-    if fits_one_task(df) if small is None else small:
-        return {c: F.percentile(c, F.array(*[F.lit(float(q)) for q in at])) for c in columns}
-    found = narrowed(df, columns, at)
+def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, Column]:
+    """Per column an array-valued aggregate with the quantiles, which are found before it returns."""
+    found = quantile_values(df, columns, at)
     return {c: F.any_value(F.array(*[F.lit(v).cast("double") for v in vs])) for c, vs in found.items()}
 
 
 def quantile_values(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float | None]]:
-    exprs = quantiles(df, columns, at)
-    row = df.agg(*[exprs[c].alias(c) for c in columns]).first()
-    return {c: list(row[c]) if row[c] is not None else [None] * len(at) for c in columns}
-
-
-@dataclass
-class Target:
-    """One order statistic: the value at `rank` among `rows` values inside `within`."""
-
-    column: str
-    rank: int
-    rows: int
-    within: Column
-    value: float | None = None
-
-
-def narrowed(
-    df: DataFrame, columns: list[str], at: list[float], max_values: int = MAX_VALUES,
-) -> dict[str, list[float | None]]:
-    """Bracket all wanted ranks at once until each bracket holds few values.
+    """The quantiles of each column; None where a column has no value.
 
-    Each round is two scans with constant-size aggregates and keeps about
-    4/ACCURACY of the rows per rank; one more scan tallies what is left.
+    The first pass counts the values of all columns by sign and binary order of magnitude. Each
+    further pass cuts the one range that holds a wanted rank into 1024 equal parts and counts those,
+    for all columns and ranks at once, until the range is one value. Passes are bounded by the digits
+    of a double, not by the table; counts are summed within each task before the shuffle, and what
+    reaches the driver is at most 1024 counts for each range.
     """
-    present = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    ranks = {(c, r) for c in columns if present[c] for q in at for r in _neighbours(present[c], q)}
-    targets = [Target(c, r, present[c], F.col(c).isNotNull()) for c, r in sorted(ranks)]
-    while wide := [t for t in targets if t.value is None and t.rows > max_values]:
-        _bracket(df, wide)
-    _tally(df, [t for t in targets if t.value is None])
-    value = {(c, r): t.value for (c, r), t in zip(sorted(ranks), targets)}
-    return {c: [_blend(value, c, present[c], q) for q in at] for c in columns}
+    if not columns:
+        return {}
+    cells = {c: F.col(c).cast("double") for c in columns}
+    counts = _counted(df, [F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.lit(i).alias("t"), v.alias("v"), _magnitude(v).alias("part")))
+                           for i, v in enumerate(cells.values())])
+    totals = {i: sum(n for _, n, _, _ in parts) for i, parts in counts.items()}
+    wanted = {(i, rank) for i, n in totals.items() for q in at for rank in _neighbours(n, q)}
+    value: dict[tuple[int, int], float] = {}
+    # (column, range) -> ranks still looked for: (wanted rank, rank within the range)
+    ranges = _narrow({(i, None): [(r, r) for j, r in sorted(wanted) if j == i] for i in totals},
+                     {(i, None): parts for i, parts in counts.items()}, value)
+    names = list(cells)
+    while ranges:
+        keys = list(ranges)
+        counts = _counted(df, [_within(cells[names[i]], t, *bounds) for t, (i, bounds) in enumerate(keys)])
+        ranges = _narrow(ranges, {keys[t]: parts for t, parts in counts.items()}, value)
+    return {c: [_blend(value, i, totals.get(i, 0), q) for q in at] for i, c in enumerate(names)}
+
+
+def _magnitude(v: Column) -> Column:
+    """Order-preserving: sign and floor of the binary logarithm; an infinite value stands alone."""
+    size = F.floor(F.greatest(F.least(F.log2(F.abs(v)), F.lit(1025.0)), F.lit(-1100.0))) + 1101
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
+
+
+def _within(v: Column, t: int, low: float, high: float) -> Column:
+    low, high = F.lit(low), F.lit(high)
+    part = F.least(F.floor((v - low) / (high - low) * PARTS), F.lit(PARTS - 1)).cast("int")
+    return F.when((v >= low) & (v <= high), F.struct(F.lit(t).alias("t"), v.alias("v"), part.alias("part")))
+
+
+def _counted(df: DataFrame, cells: list[Column]) -> dict[int, list[tuple]]:
+    """For each target its parts in order: (part, rows, least, largest value)."""
+    rows = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("t", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    out: dict[int, list[tuple]] = {}
+    for r in sorted(rows, key=lambda r: (r.t, r.part)):
+        out.setdefault(r.t, []).append((r.part, r.n, r.low, r.high))
+    return out
+
+
+def _narrow(ranges: dict, counts: dict, value: dict) -> dict:
+    """Move every rank into the part that holds it; a part of one value settles its ranks."""
+    out: dict = {}
+    for key, ranks in ranges.items():
+        parts, at, below = counts[key], 0, 0
+        for wanted, rank in sorted(ranks, key=lambda r: r[1]):
+            while rank >= below + parts[at][1]:
+                below += parts[at][1]
+                at += 1
+            _, _, low, high = parts[at]
+            if low == high:
+                value[key[0], wanted] = low
+            else:
+                out.setdefault((key[0], (low, high)), []).append((wanted, rank - below))
+    return out
 
 
 def _neighbours(n: int, q: float) -> tuple[int, int]:
@@ -73,55 +88,8 @@ def _neighbours(n: int, q: float) -> tuple[int, int]:
     return math.floor(place), math.ceil(place)
 
 
-def _blend(value: dict, column: str, n: int, q: float) -> float | None:
+def _blend(value: dict, column: int, n: int, q: float) -> float | None:
     if n == 0:
         return None
     low, high = (value[column, r] for r in _neighbours(n, q))
-    return low + (high - low) * ((n - 1) * q - math.floor((n - 1) * q))
-
-
-def _bracket(df: DataFrame, targets: list[Target]) -> None:
-    # percentile_approx errs by at most rows/ACCURACY ranks; two such steps are a safe margin
-    guesses = []
-    for i, t in enumerate(targets):
-        v = F.when(t.within, F.col(t.column).cast("double"))
-        low, high = t.rank / t.rows - 2 / ACCURACY, (t.rank + 1) / t.rows + 2 / ACCURACY
-        guesses.append(F.struct(
-            (F.percentile_approx(v, low, ACCURACY) if low > 0 else F.min(v)).alias("lo"),
-            (F.percentile_approx(v, high, ACCURACY) if high < 1 else F.max(v)).alias("hi")).alias(f"t{i}"))
-    edges = df.agg(*guesses).first()
-    pieces = []
-    for i, t in enumerate(targets):
-        v, e = F.col(t.column).cast("double"), edges[f"t{i}"]
-        pieces.append(F.struct(
-            F.count_if(t.within & (v < e.lo)).alias("below"),
-            F.count_if(t.within & (v == e.lo)).alias("at_lo"),
-            F.count_if(t.within & (v > e.lo) & (v < e.hi)).alias("inside")).alias(f"t{i}"))
-    counts = df.agg(*pieces).first()
-    for i, t in enumerate(targets):
-        e, c = edges[f"t{i}"], counts[f"t{i}"]
-        rank = t.rank - c.below
-        if rank < c.at_lo:
-            t.value = e.lo
-        elif rank < c.at_lo + c.inside:
-            v = F.col(t.column).cast("double")
-            t.within = (v > e.lo) & (v < e.hi)
-            t.rank, t.rows = rank - c.at_lo, c.inside
-        else:
-            t.value = e.hi
-
-
-def _tally(df: DataFrame, targets: list[Target]) -> None:
-    if not targets:
-        return
-    tagged = F.array_compact(F.array(*[
-        F.when(t.within, F.struct(F.lit(i).alias("t"), F.col(t.column).cast("double").alias("v")))
-        for i, t in enumerate(targets)]))
-    counts = df.select(F.inline(tagged)).groupBy("t", "v").count().collect()
-    for i, t in enumerate(targets):
-        seen = 0
-        for v, n in sorted((r.v, r["count"]) for r in counts if r.t == i):
-            seen += n
-            if t.rank < seen:
-                t.value = v
-                break
+    return low if low == high else low + (high - low) * ((n - 1) * q - math.floor((n - 1) * q))

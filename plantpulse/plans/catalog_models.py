@@ -291,9 +291,9 @@ def alert_summary(spark, sf):
     return alerts.alert_summary(alerts.acknowledge(fx.alerts(spark, sf), fx.alert_acks(spark, sf)))
 
 
-@query("run_log", sql(f"""select pipeline, status, count(*) as runs, {r('sum(duration_seconds)', 'seconds', 3)}
+@query("pipeline_log", sql(f"""select pipeline, status, count(*) as runs, {r('sum(duration_seconds)', 'seconds', 3)}
   from pipeline_runs group by 1, 2""", RUNS_SQL))
-def run_log(spark, sf):
+def pipeline_log(spark, sf):
     path = session.new_folder(spark, "runs")
     tables.append_log(tables.run_records(fx.pipeline_runs(spark, sf), ["duration_seconds"]), path)
     back = tables.read_log(spark, path).groupBy("pipeline", "status").agg(

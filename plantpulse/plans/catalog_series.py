@@ -347,9 +347,9 @@ GAPLESS_SQL = "gapless as (select reading_id, unit_id, ts, " + ", ".join(
 ) + " from (select distinct * from sensor_readings))"
 
 
-@query("clean_readings", sql("select reading_id, unit_id, ts, " + ", ".join(r(c, c) for c in SENSORS)
+@query("clean_pipeline", sql("select reading_id, unit_id, ts, " + ", ".join(r(c, c) for c in SENSORS)
                              + f" from {CLEAN_ALIVE}", GAPLESS_SQL, *CLEAN_CHAIN))
-def clean_readings(spark, sf):
+def clean_pipeline(spark, sf):
     return rounded(cleaning.clean_readings(fx.sensor_readings(spark, sf), columns=SENSORS))
 
 

@@ -15,7 +15,7 @@ from plantpulse.operators.select import feature_columns
 from plantpulse.operators.windows import create_failure_labels, impute_zero
 from plantpulse.plans.features import engineer_features
 from plantpulse.schema import SENSORS, TIME
-from plantpulse.session import build_session
+from plantpulse.session import build_session, drop_staged
 from plantpulse.sources.models import ModelStore
 from plantpulse.sources.tables import Stages, read_parquet, staged_load, write_parquet, write_report
 
@@ -98,6 +98,7 @@ def main() -> None:
     for name, table in run(spark, Settings(parser.parse_args().root)).items():
         if name in ("metrics", "severity"):
             table.show(50, truncate=False)
+    drop_staged(spark)
 
 
 if __name__ == "__main__":

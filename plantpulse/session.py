@@ -48,9 +48,24 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage by writing a Parquet table that later passes can prune."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged; call it when nothing reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _STAGED:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    count = len(_STAGED)
+    _STAGED.clear()
+    return count

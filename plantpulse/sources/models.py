@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ class ModelStore:
 
     def save(self, model: PipelineModel, name: str, kind: str, metrics: dict[str, float],
              features: list[str]) -> str:
-        path = f"{self.root}/models/{name}"
-        model.write().overwrite().save(path)
+        """Each save has a folder of its own, so a reader of an older one keeps its files."""
+        path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
+        model.write().save(path)
         self._record(name, kind, path, metrics, features, "saved")
         return path
 
@@ -51,11 +54,11 @@ class ModelStore:
         if not exists(self.spark, self.registry):
             return self.spark.createDataFrame([], REGISTRY).drop("event")
         log = self.spark.read.schema(REGISTRY).parquet(self.registry)
-        latest = log.groupBy("model_name").agg(F.max_by(F.struct(*log.columns), F.col("saved_at")).alias("m"))
+        latest = log.groupBy("model_name").agg(F.max_by(F.struct(*log.columns), F.struct("saved_at", "path")).alias("m"))
         return latest.select("m.*").filter(F.col("event") == "saved").drop("event")
 
     def current(self):
-        return self.models().orderBy(F.desc("saved_at"), "model_name").first()
+        return self.models().orderBy(F.desc("saved_at"), "model_name", "path").first()
 
     def _record(self, name, kind, path, metrics, features, event) -> None:
         row = self.spark.createDataFrame(

@@ -13,22 +13,45 @@ from plantpulse.schema import TIME, nan_to_null, sensor_schema
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ";",
              date_column: str = TIME, parse_dates: bool = True) -> DataFrame:
-    """Delimited scan with an explicit schema; times become UTC, NaN becomes missing.
+    """Delimited scan; times become UTC, NaN becomes missing.
 
-    Without a schema every column is read as text first and typed by name, so
-    the files are scanned once and never sampled.
+    With a schema the files are scanned once. Without one the known sensors are typed by name, and every
+    other column is a number if all of its cells are, which one counting pass over all cells decides;
+    otherwise it stays text. Cells of a sensor that are no number become missing; `bad_cells` counts them.
     """
-    reader = spark.read.options(sep=sep, header=True, mode="PERMISSIVE", nullValue="")
     if schema is not None:
-        return nan_to_null(reader.schema(schema).csv(path))
-    df = reader.csv(path)
+        return nan_to_null(_text_reader(spark, sep).schema(schema).csv(path))
+    df = _text_reader(spark, sep).csv(path)
     known = {f.name: f.dataType for f in sensor_schema().fields if f.name != TIME}
+    others = [c for c in df.columns if c not in known and c != date_column]
+    if others:
+        row = df.agg(*[F.count_if(_unreadable(c, "double")).alias(c) for c in others],
+                     *[F.count(c).alias(f"{c} filled") for c in others]).first()
+        known |= {c: T.DoubleType() for c in others if row[c] == 0 and row[f"{c} filled"]}
     typed = df.select(*[F.col(c).try_cast(known[c]).alias(c) if c in known else F.col(c) for c in df.columns])
     if parse_dates and date_column in df.columns:
         typed = typed.withColumn(date_column, F.try_to_timestamp(F.col(date_column)))
     return nan_to_null(typed)
 
 
+def bad_cells(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ";") -> DataFrame:
+    """(column, bad): cells that are not empty and cannot be read as the column's type, where there are any."""
+    types = {f.name: f.dataType for f in (schema or sensor_schema()).fields}
+    df = _text_reader(spark, sep).csv(path)
+    checked = [c for c in df.columns if c in types]
+    wide = df.agg(*[F.count_if(_unreadable(c, types[c])).alias(c) for c in checked])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("bad")) for c in checked]))).filter("bad > 0")
+
+
+def _text_reader(spark: SparkSession, sep: str):
+    return spark.read.options(sep=sep, header=True, mode="PERMISSIVE", nullValue="")
+
+
+def _unreadable(column: str, kind: T.DataType | str):
+    return F.col(column).isNotNull() & F.col(column).try_cast(kind).isNull()
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     df.write.mode("overwrite").options(

@@ -153,28 +153,29 @@ def test_rows_at_and_before(readings):
     assert readings.filter(before(READINGS, beyond)).count() == readings.count()
 
 
-@pytest.mark.parametrize("rows", [3, 1000])
-def test_narrowed_quantiles_are_exact(spark, rows):
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+@pytest.mark.parametrize("parts", [4, 1024])
+def test_quantiles_are_exact(spark, rows, parts, monkeypatch):
+    monkeypatch.setattr(quantiles, "PARTS", parts)
     rng = np.random.default_rng(rows)
     data = pd.DataFrame({
         "a": rng.normal(size=rows), "b": np.where(rng.random(rows) < 0.4, 1.0, rng.normal(size=rows)),
-        "c": np.round(rng.random(rows) * 5), "d": np.full(rows, 2.5)})
+        "c": np.round(rng.random(rows) * 5), "d": np.full(rows, 2.5), "e": 10.0 ** rng.integers(-300, 300, rows),
+        "f": 1.0 + rng.integers(0, 5, rows) * 2.0 ** -52, "g": rng.integers(-3, 3, rows) * 1e-310,
+        "h": -np.abs(rng.normal(size=rows)) * 1e307})
     df = spark.createDataFrame(data)
     at = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = quantiles.narrowed(df, list(data), at, max_values=20)
+    got = quantiles.quantile_values(df, list(data), at)
     for c in data:
-        np.testing.assert_allclose(got[c], data[c].quantile(at), atol=1e-12)
+        np.testing.assert_allclose(got[c], data[c].quantile(at), rtol=1e-12)
 
 
-def test_large_tables_take_the_narrowing_path(spark, readings):
-    spark.conf.set(MAX_ROWS_CONF, "100")
-    try:
-        split = quantiles.quantile_values(readings, NAMES, [0.25, 0.5, 0.95])
-    finally:
-        spark.conf.unset(MAX_ROWS_CONF)
-    whole = quantiles.quantile_values(readings, NAMES, [0.25, 0.5, 0.95])
-    for c in NAMES:
-        np.testing.assert_allclose(split[c], whole[c], atol=1e-12)
+def test_quantiles_skip_missing_values_and_take_infinite_ones(spark):
+    rows = [(None, None), (float("nan"), None), (2.0, None), (float("inf"), None), (float("-inf"), None), (1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = quantiles.quantile_values(df, ["a", "b"], [0.0, 1 / 3, 2 / 3])
+    assert got["a"] == [float("-inf"), 1.0, 2.0] and got["b"] == [None] * 3
+    assert quantiles.quantile_values(df.limit(0), ["a"], [0.5]) == {"a": [None]}
 
 
 def test_undersample_and_auc_with_a_large_class(spark, readings):
