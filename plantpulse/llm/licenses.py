@@ -8,8 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# a sentence ends at a mark that white space follows, or at a line end
+# a sentence ends at a mark that white space follows, or at a line end; in wrapped text, where single line
+# ends are spaces, at an empty line, for which the gap sign stands
+GAP = "\x01"
 CUT = r"(?<=[.!?;:])\s+|\n+"
+CUT_WRAPPED = rf"(?<=[.!?;:])\s+{GAP}*|{GAP}+"
 NOT_PLAIN = "[^a-z0-9]+"
 
 # Licence names as notices write them, with their SPDX identifiers.
@@ -137,27 +140,33 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOT_PLAIN, " "))
 
 
+def _hits(text: Column, cut: str, known: dict[str, str]) -> Column:
+    """Number and identifier of the known sentences of a text."""
+    numbered = F.transform(F.split(text, cut, -1), lambda s, i: F.struct(i.alias("number"), normal(s).alias("sentence")))
+    hits = F.filter(numbered, lambda s: s["sentence"].isin(list(known)))
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.transform(hits, lambda s: F.struct(s["number"].alias("number"), F.element_at(names, s["sentence"]).alias("id")))
+
+
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """doc_id, sentences (number and identifier of each known sentence), rules and licenses found.
+    """doc_id, sentences and wrapped (number and identifier of each known sentence), rules and licenses found.
 
-    A sentence is cut at line ends and after marks, normalised, and looked up among the known ones. A
-    rule matches where its identifiers follow one another in the document's sequence of known
-    sentences, whatever unknown text lies between; a rule whose identifiers lie within those of a longer
-    matching rule is left out. Everything happens next to the row: no shuffle, and a hot source or many
+    `sentences` are cut at line ends and after marks; `wrapped` are cut in the text with single line ends
+    as spaces, for licence texts that are broken into lines. Each is normalised and looked up among the
+    known ones. A rule matches where its identifiers follow one another in one of the two sequences
+    of known sentences, whatever unknown text lies between; a rule whose identifiers lie within those of a
+    longer matching rule is left out. Everything happens next to the row: no shuffle, and a hot source or many
     copies cost no more than other rows. Null and empty texts give empty arrays, repeated rows give
     one row each, a missing doc_id is kept, other columns are not read, an empty table gives no rows.
     """
     known = known_sentences() if known is None else known
     rules = license_rules() if rules is None else rules
-    numbered = F.transform(F.split(F.coalesce("text", F.lit("")), CUT, -1), lambda s, i: F.struct(
-        i.alias("number"), normal(s).alias("sentence")))
-    hits = F.filter(numbered, lambda s: s["sentence"].isin(list(known)))
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    sentences = F.transform(hits, lambda s: F.struct(
-        s["number"].alias("number"), F.element_at(names, s["sentence"]).alias("id")))
-    found = docs.select("doc_id", sentences.alias("sentences"))
-    sequence = F.concat(F.lit(" "), F.array_join(F.transform("sentences", lambda s: s["id"]), " "), F.lit(" "))
-    found = found.withColumn("__sequence", sequence)
+    text = F.coalesce("text", F.lit(""))
+    joined = F.replace(F.regexp_replace(text, r"\n{2,}", GAP), F.lit("\n"), F.lit(" "))
+    found = docs.select("doc_id", _hits(text, CUT, known).alias("sentences"),
+                        _hits(joined, CUT_WRAPPED, known).alias("wrapped"))
+    ids = [F.array_join(F.transform(c, lambda s: s["id"]), " ") for c in ("sentences", "wrapped")]
+    found = found.withColumn("__sequence", F.concat(F.lit(" "), ids[0], F.lit(" | "), ids[1], F.lit(" ")))
     matches = []
     for rule in rules:
         test = F.contains("__sequence", F.lit(f" {' '.join(rule.sentences)} "))
@@ -166,19 +175,22 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule]
                 test &= ~F.contains("__sequence", F.lit(f" {' '.join(longer.sentences)} "))
         matches.append(F.when(test, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.license).alias("license"))))
     # most documents have no known sentence: their rules are not tried
-    tried = F.when(F.size("sentences") > 0, F.array_compact(F.array(*matches)))
+    tried = F.when(F.col("__sequence") != "  |  ", F.array_compact(F.array(*matches)))
     found = found.withColumn("__matches", F.coalesce(tried, F.array().cast("array<struct<rule:string,license:string>>")))
     return found.select(
-        "doc_id", "sentences", F.transform("__matches", lambda m: m["rule"]).alias("rules"),
+        "doc_id", "sentences", "wrapped", F.transform("__matches", lambda m: m["rule"]).alias("rules"),
         F.array_sort(F.array_distinct(F.transform("__matches", lambda m: m["license"]))).alias("licenses"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The scan as plain columns: number:identifier of the sentences, rules and licences, each comma-joined."""
-    sentences = F.transform("sentences", lambda s: F.concat_ws(":", s["number"].cast("string"), s["id"]))
+    def listed(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["number"].cast("string"), s["id"])), ",")
+
     return found.select(
-        "doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join(sentences, ",").alias("sentences"),
-        F.array_join("rules", ",").alias("rules"), F.array_join("licenses", ",").alias("licenses"))
+        "doc_id", F.size("sentences").cast("long").alias("n_sentences"), listed("sentences").alias("sentences"),
+        listed("wrapped").alias("wrapped"), F.array_join("rules", ",").alias("rules"),
+        F.array_join("licenses", ",").alias("licenses"))
 
 
 def _oracle() -> str:
@@ -187,23 +199,33 @@ def _oracle() -> str:
     rules = license_rules()
     table = ",\n".join(f"({n}, '{r.name}', '{r.license}', ' {' '.join(r.sentences)} ', {len(r.sentences)})"
                        for n, r in enumerate(rules))
-    # the engine's expressions look neither ahead nor back: a mark before white space is marked with a line end
-    marked = "regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g')"
-    cut = f"string_split_regex({marked}, '\\n+')"
+    # the engine's expressions look neither ahead nor back: a mark before white space is marked with the cut sign
+    def cut(text: str, sign: str) -> str:
+        marked = f"regexp_replace({text}, '([.!?;:])[ \\t\\n\\x0B\\f\\r]+', '\\1' || {sign}, 'g')"
+        return f"string_split_regex({marked}, {sign} || '+')"
+
+    joined = "replace(regexp_replace(text, '\\n{2,}', chr(1), 'g'), chr(10), ' ')"
     return f"""with known(sentence, id) as (values {known}),
 rules(n, rule, license, ids, size) as (values {table}),
-d as (select row_number() over () as k, doc_id, {cut} as parts from documents),
-cut as (select k, generate_subscripts(parts, 1) - 1 as number, unnest(parts) as part from d),
-hits as (select c.k, c.number, s.id from cut c join known s
+d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+views as (select k, 0 as view, {cut("text", "chr(10)")} as parts from d
+  union all select k, 1, {cut(joined, "chr(1)")} from d),
+cut as (select k, view, generate_subscripts(parts, 1) - 1 as number, unnest(parts) as part from views),
+hits as (select c.k, c.view, c.number, s.id from cut c join known s
   on trim(regexp_replace(lower(c.part), '[^a-z0-9]+', ' ', 'g')) = s.sentence),
-seq as (select k, count(*) as n, string_agg(number || ':' || id, ',' order by number) as sentences,
-  ' ' || string_agg(id, ' ' order by number) || ' ' as ids from hits group by k),
+per_view as (select k, view, count(*) as n, string_agg(number || ':' || id, ',' order by number) as sentences,
+  string_agg(id, ' ' order by number) as ids from hits group by k, view),
+seq as (select k, coalesce(max(n) filter (where view = 0), 0) as n,
+  coalesce(max(sentences) filter (where view = 0), '') as sentences,
+  coalesce(max(sentences) filter (where view = 1), '') as wrapped,
+  ' ' || coalesce(max(ids) filter (where view = 0), '') || ' | ' || coalesce(max(ids) filter (where view = 1), '') || ' ' as ids
+  from per_view group by k),
 matched as (select s.k, r.* from seq s join rules r on contains(s.ids, r.ids)),
 best as (select * from matched m where not exists (select 1 from matched o
   where o.k = m.k and o.size > m.size and contains(o.ids, m.ids))),
 per as (select k, string_agg(rule, ',' order by n) as rules,
   array_to_string(list_sort(list_distinct(list(license))), ',') as licenses from best group by k)
-select doc_id, coalesce(seq.n, 0) as n_sentences, coalesce(sentences, '') as sentences,
+select doc_id, coalesce(seq.n, 0) as n_sentences, coalesce(sentences, '') as sentences, coalesce(wrapped, '') as wrapped,
   coalesce(rules, '') as rules, coalesce(licenses, '') as licenses
 from d left join seq using (k) left join per using (k)"""
 

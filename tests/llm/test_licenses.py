@@ -26,6 +26,12 @@ def test_ordered_sentences(spark):
         (["bsd-2-text"], ["BSD-2-Clause"]), ([], [])]
 
 
+def test_wrapped_lines(spark):
+    lines = "\n".join(" ".join(x.split()[i:i + 9]) for x in [m + "." for m in MIT] for i in range(0, len(x.split()), 9))
+    mixed = "Intro without end\n\n" + lines + "\n\nLicensed under CC BY 4.0"
+    assert found(spark, lines, mixed) == [(["mit-text"], ["MIT"]), (["mit-text", "notice-CC-BY-4.0"], ["CC-BY-4.0", "MIT"])]
+
+
 def test_positions_and_several_licenses(spark):
     row = licenses.scan(docs(spark, [(1, "a\n\nReleased under the MIT License.\nb. Licensed under CC BY 4.0. Released under the MIT "
                                          "License.")])).first()
