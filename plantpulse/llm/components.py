@@ -13,26 +13,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round links the larger neighbours of an id to the least one around it, then the smaller ones;
     edges never become more, and after some rounds (a logarithm of the longest path) each component
-    is a star around its least id. Each step is written to the shared folder. The least neighbour comes from a
-    partial aggregation and is staged before its join, so that a hub's partition can be split there.
+    is a star around its least id, where the rounds end. Each step is written to the shared folder. The least
+    neighbour comes from a partial aggregation and is staged before its join, so that a hub's partition can
+    be split there.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(),
                  "edges")
-    seen = _state(now)
-    while True:
-        large = staged(_large(now).distinct(), "edges")
-        now = staged(_small(large).distinct(), "edges")
-        state = _state(now)
-        if state == seen:
-            break
-        seen = state
+    while not _stars(now):
+        now = staged(_small(staged(_large(now), "edges")).distinct(), "edges")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
-    return row["n"], row["sum"]
+def _stars(edges: DataFrame) -> bool:
+    """Has every larger end one edge only, and is none of them a smaller end too?"""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    worst = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not worst.filter("up > 1 or (up > 0 and down > 0)").limit(1).count()
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ def _links(rows: DataFrame, percent: int, tree_sets: int) -> DataFrame:
     def run(df: DataFrame, keys: list[str], across: bool) -> DataFrame:
         return df.groupBy(*keys).applyInArrow(lambda t: _join(t, percent, across), "a binary, b binary")
 
-    counts = staged(rows.groupBy("block").agg(F.countDistinct("set").alias("n")).withColumn(
+    counts = staged(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "trees", F.ceil(F.col("n") / tree_sets).cast("int")).drop("n"), "blocks")
     dealt = rows.join(counts, "block").withColumn("tree", F.pmod(F.xxhash64("set"), F.col("trees")).cast("int"))
     own = staged(run(dealt.withColumn("side", F.lit(0)), ["block", "tree"], False), "links")
@@ -257,7 +257,7 @@ def _links(rows: DataFrame, percent: int, tree_sets: int) -> DataFrame:
     sides = hub.withColumn("side", F.lit(0)).unionByName(rest.withColumn("side", F.lit(1)))
     joined = staged(own.unionByName(run(sides, ["block", "other"], True)), "links")
     classes = components(joined)
-    labelled = staged(large.select("block", "set").distinct().join(classes, F.col("set") == F.col("id"), "left").select(
+    labelled = staged(large.select("block", "set").join(classes, F.col("set") == F.col("id"), "left").select(
         "block", "set", F.coalesce("component", "set").alias("label")), "labels")
     by_size = labelled.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
     main = staged(by_size.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "main")
