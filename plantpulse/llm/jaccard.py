@@ -84,13 +84,13 @@ class Anchors:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set (128-bit fingerprint) and anchors of every document."""
+    """doc_id, text_key, n_shingles, set (128-bit fingerprint) and anchors of every document."""
     anchors = Anchors(percent)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, prints, keys, ends = [], [], [], [0]
-        for texts in slices(batch.column(1)):
+        for texts in slices(batch.column(2)):
             for values in shingle_sets(texts, n):
                 sizes.append(len(values))
                 prints.append(fingerprint(values) if len(values) else None)
@@ -100,11 +100,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists],
-            names=["doc_id", "n_shingles", "set", "anchors"])
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists],
+            names=["doc_id", "text_key", "n_shingles", "set", "anchors"])
 
-    return per_batch(docs.select("doc_id", "text"), run,
-                     f"doc_id {id_type}, n_shingles long, `set` binary, anchors array<long>")
+    return per_batch(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run,
+                     f"doc_id {id_type}, text_key long, n_shingles long, `set` binary, anchors array<long>")
 
 
 # --- signature trees --------------------------------------------------------------------------------
@@ -212,26 +212,34 @@ def _blocks(marks: DataFrame) -> DataFrame:
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The shingle sets of the wanted documents: block, set, n, elements."""
-    texts = docs.select(F.col("doc_id").alias("__id"), "text")
-    found = texts.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id"))).select("block", "set", "text")
+    """The shingle sets of the wanted documents: block, set, n, elements.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, sizes, elements, expected = [], [], [], batch.column(1).to_pylist()
-        row = 0
-        for texts in slices(batch.column(2)):
-            for values in shingle_sets(texts, n):
-                if len(values) and fingerprint(values) == expected[row]:  # rows may share a doc_id
-                    keep.append(row)
-                    sizes.append(len(values))
-                    elements.append(values.tobytes())
-                row += 1
-        at = pa.array(keep, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(elements, pa.binary())],
-            names=["block", "set", "n", "elements"])
-
-    return per_batch(found, run, "block long, `set` binary, n long, elements binary")
+    Documents are found by id and text, so that missing and repeated ids fetch no other document's text.
+    """
+    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), "text")
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))
+    found = texts.join(wanted, same).select("block", "set", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows meet in one task
+        for batch in batches:
+            keep, sizes, elements, expected, row = [], [], [], batch.column(1).to_pylist(), 0
+            for texts in slices(batch.column(2)):
+                for values in shingle_sets(texts, n):
+                    name = expected[row]
+                    if name not in seen and len(values) and fingerprint(values) == name:
+                        seen.add(name)
+                        keep.append(row)
+                        sizes.append(len(values))
+                        elements.append(values.tobytes())
+                    row += 1
+            at = pa.array(keep, pa.int64())
+            if keep:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()),
+                     pa.array(elements, pa.binary())], names=["block", "set", "n", "elements"])
+
+    return found.mapInArrow(run, "block long, `set` binary, n long, elements binary")
 
 
 def _links(rows: DataFrame, percent: int, tree_sets: int) -> DataFrame:
@@ -295,10 +303,10 @@ def jaccard_join(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: i
     marks = staged(signatures(docs, shingle_words, percent), "signatures")
     key = F.conv(F.substring(F.hex("set"), 1, 15), 16, 10).cast("long")
     sets = marks.filter("n_shingles > 0").groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors")).withColumn("key", key)
-    sets = staged(sets, "sets")
+        F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("anchors").alias("anchors"))
+    sets = staged(sets.select("set", "row.*", "anchors", key.alias("key")), "sets")
     blocks = staged(_blocks(sets), "blocks")
-    wanted = sets.select("key", "set", "doc_id").join(blocks, "key").select("block", "set", "doc_id")
+    wanted = sets.select("key", "set", "doc_id", "text_key").join(blocks, "key").select("block", "set", "doc_id", "text_key")
     rows = staged(_elements(docs, wanted, shingle_words), "elements")
     classes = components(_links(rows, percent, tree_sets))
     grouped = marks.select("doc_id", "n_shingles", "set").join(

@@ -111,7 +111,7 @@ def repetition_counts(docs: DataFrame) -> DataFrame:
 
 def judge(counts: DataFrame) -> DataFrame:
     """Add base_failed, the shares and kept to the counts."""
-    words, chars = F.col("n_words"), F.col("word_chars")
+    words = F.col("n_words")
     failed = (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words)
 
     def share(part: str, whole: str):

@@ -71,6 +71,12 @@ def test_odd_rows(spark):
     assert {c for i, _, c in rows if i is None} == {None}
 
 
+def test_missing_and_repeated_ids_of_many_texts(spark):
+    texts = [(None if k % 2 else 1, near(g, 200, 0) + f" tail{k}") for g in range(4) for k in range(6)] * 2
+    rows = jaccard.jaccard_join(docs(spark, texts), 3, 90, 2).collect()
+    assert len(rows) == len(texts) and {r.component_id for r in rows} == {1}
+
+
 def test_a_missing_id_joins_without_naming(spark):
     text = prose(3, 60)
     rows = jaccard.jaccard_join(docs(spark, [(None, text), (5, text), (4, text + " x")])).collect()
