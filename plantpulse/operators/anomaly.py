@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.operators.quantiles import quantile_values, quantiles
 from plantpulse.schema import flag
+from plantpulse.session import staged
 
 WEIGHTS = {"zscore": 0.3, "iqr": 0.3, "isolation_forest": 0.4}
 
@@ -146,6 +147,7 @@ def error_flags(df: DataFrame, error: str = "mse", threshold: float | None = Non
     if threshold is not None:
         out = df.withColumn("threshold", F.lit(float(threshold)))
     else:
+        df = staged(df, "errors")  # every quantile pass reads the errors
         out = with_stats(df, quantiles(df, [error], [0.95]))
         out = out.withColumn("threshold", F.col(STATS)[error][0]).drop(STATS)
     return out.withColumn("is_anomaly", flag(F.col(error) > F.col("threshold")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.operators.quantiles import quantile_values
 from plantpulse.schema import flag
+from plantpulse.session import staged
 
 NODE = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 EULER = 0.5772156649015329
@@ -112,7 +113,8 @@ def isolation_forest_fit(
     if row.n and nodes["tree"].nunique() < trees:
         raise ValueError(f"{nodes['tree'].nunique()} of {trees} trees have rows")
     forest = IsolationForest(columns, center, scale, nodes, size)
-    scored = isolation_forest_score(df.select(*columns), forest).select("if_score")
+    # every quantile pass reads the scores, so the rows are scored once
+    scored = staged(isolation_forest_score(df.select(*columns), forest).select("if_score"), "scores")
     offset = quantile_values(scored, ["if_score"], [contamination])["if_score"][0]
     return IsolationForest(columns, center, scale, nodes, size, offset or 0.0)
 

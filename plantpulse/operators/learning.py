@@ -19,6 +19,7 @@ from plantpulse.operators.order import (
     READINGS, SeriesSpec, before, lay_out, rows_at, running_sums, with_row_number,
 )
 from plantpulse.operators.select import align_schema, tail_n
+from plantpulse.session import staged
 
 LABEL = "failure_imminent"
 
@@ -197,8 +198,9 @@ def confusion(df: DataFrame, label: str, prediction="prediction") -> DataFrame:
 def classifier_metrics(df: DataFrame, label: str, prediction="prediction", probability="probability") -> DataFrame:
     """Accuracy, confusion counts, per-class and averaged scores and AUC, as (metric, value).
 
-    Everything but the AUC follows from the four confusion counts.
+    Everything but the AUC follows from the four confusion counts. The scores are computed once.
     """
+    df = staged(df.select(label, prediction, probability), "scored")
     cell = {(a, b): F.coalesce(F.sum(F.when((F.col("label") == a) & (F.col("prediction") == b), F.col("n"))),
                                F.lit(0)).cast("double") for a in (0, 1) for b in (0, 1)}
     c = confusion(df, label, prediction).agg(*[e.alias(f"c{a}{b}") for (a, b), e in cell.items()])
@@ -282,7 +284,7 @@ def timed_training(df: DataFrame, features: list[str], kinds: dict[str, dict], l
         start = time.time()
         model = train_classifier(train, features, kind, label, **params)
         seconds = time.time() - start
-        scored = score(test, model)
+        scored = staged(score(test, model).select(label, "prediction", "probability"), "scored")
         accuracy = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
         auc = roc_auc(scored, label).first()[0]
         rows.append((kind, kind, accuracy, auc, seconds, len(features)))
