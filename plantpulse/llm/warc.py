@@ -131,11 +131,11 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 
 def digest(resolved: DataFrame) -> DataFrame:
-    """Revisits with headers as sorted text and the hash and length of the body."""
+    """Revisits with headers as sorted text and the hash and length (0 without one) of the body."""
     entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return resolved.select(
         "record_id", "canonical_url", "response_id", "outcome", F.array_join(entries, ";").alias("headers"),
-        F.md5("body").alias("body_md5"), F.char_length("body").cast("long").alias("body_chars"))
+        F.md5("body").alias("body_md5"), F.coalesce(F.char_length("body"), F.lit(0)).cast("long").alias("body_chars"))
 
 
 _TRACK = ", ".join(f"'{t}'" for t in TRACKING)
@@ -163,5 +163,5 @@ select page_id * 2 + 1 as record_id, canonical_url, found * 2 as response_id, ou
             ';content-type=text/html;etag=' ||
             case when outcome = 'resolved' then 'W/"' || held || '"' else '"' || tag || '"' end || ';server=crawl' end as headers,
   case when outcome <> 'conflict' then md5(html) end as body_md5,
-  case when outcome <> 'conflict' then len(html) end as body_chars
+  cast(case when outcome <> 'conflict' then len(html) else 0 end as bigint) as body_chars
 from judged"""
