@@ -29,11 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are no copies of each other and stay, as do rows without a doc_id. Rows that
     repeat doc_id and text are one document.
     """
-    found = jaccard_join(docs)
-    kept = staged(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
-                  .groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    out = docs.join(kept.select("__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    if kept.filter("__n > 1 and __kept is not null").limit(1).count():
+    found = jaccard_join(docs).filter(F.col("doc_id").isNotNull())
+    ids = staged(found.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count(F.lit(1)).alias("__n")), "ids")
+    # the documents that go are far fewer than those that stay
+    gone = staged(ids.filter("not __stays").select("__id"), "gone")
+    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    if ids.filter("__n > 1 and __stays").limit(1).count():
         named = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
         out = named.unionByName(out.filter(F.col("doc_id").isNull()))
     return out
