@@ -61,23 +61,26 @@ def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def grow(state: DataFrame, leaf_rows: int, spill: float) -> tuple[DataFrame, DataFrame]:
+def grow(state: DataFrame, leaf_rows: int, spill: float, reach: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Split nodes until they fit a leaf: (dim, leaf, id) and (dim, leaf, n).
 
     All nodes of a level are split together. The cut of a node lies at the median of its own vectors'
     projections on the level's direction; the quantiles come from mergeable sketches, and those
-    within `spill` of the median go both ways. A node is split only where a quarter of it lies
-    strictly beyond either spill border, so every child is smaller than its parent; a node of
-    vectors that project alike stays whole.
+    within the share `spill` or half the distance `reach` of the median go both ways. A node is split
+    only where a quarter of it lies strictly beyond either spill border, so every child is smaller than
+    its parent; a node whose own spread is of the order of `reach` stays whole, whatever its size.
     """
     keys, leaves, sizes = ["dim", "tree", "node"], [], []
     leaf = (F.col("tree").cast("long") * (1 << 40) + F.col("node")).alias("leaf")
     for level in range(MAX_DEPTH + 1):
-        shares = F.array(*[F.lit(x) for x in (0.25, 0.5 - spill, 0.5 + spill, 0.75)])
+        shares = F.array(*[F.lit(x) for x in (0.25, 0.5 - spill, 0.5, 0.5 + spill, 0.75)])
         at = F.col("shadow")[min(level, MAX_DEPTH - 1)]
         cuts = state.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.percentile_approx(at, shares, F.lit(2000)).alias("q"))
-        divide = (F.col("n") > leaf_rows) & (F.col("q")[0] < F.col("q")[1]) & (F.col("q")[2] < F.col("q")[3])
+        q = F.col("q")
+        cuts = cuts.select(*keys, "n", q[0].alias("first"), F.least(q[1], q[2] - reach / 2).alias("low"),
+                           F.greatest(q[3], q[2] + reach / 2).alias("high"), q[4].alias("last"))
+        divide = (F.col("n") > leaf_rows) & (F.col("first") < F.col("low")) & (F.col("high") < F.col("last"))
         cuts = staged(cuts.withColumn("divide", divide & F.lit(level < MAX_DEPTH)), "cuts")
         sizes.append(cuts.filter("not divide").select("dim", leaf, "n"))
         if not cuts.filter("divide").limit(1).count():
@@ -85,8 +88,8 @@ def grow(state: DataFrame, leaf_rows: int, spill: float) -> tuple[DataFrame, Dat
             break
         joined = state.join(cuts, keys)
         leaves.append(joined.filter("not divide").select("dim", leaf, "id"))
-        left = F.when(at <= F.col("q")[2], F.col("node") * 2)
-        right = F.when(at >= F.col("q")[1], F.col("node") * 2 + 1)
+        left = F.when(at <= F.col("high"), F.col("node") * 2)
+        right = F.when(at >= F.col("low"), F.col("node") * 2 + 1)
         children = F.explode(F.array_compact(F.array(left, right)))
         state = staged(joined.filter("divide").select("dim", "tree", children.alias("node"), "id", "shadow"), "nodes")
     whole, counted = leaves[0], sizes[0]
@@ -98,7 +101,8 @@ def grow(state: DataFrame, leaf_rows: int, spill: float) -> tuple[DataFrame, Dat
 def _compare(table: pa.Table, threshold: float) -> pa.Table:
     """Links within one cell: for each linked vector its links owned here and the least id it is joined with.
 
-    A pair may share several leaves. It counts in the least leaf that both are in; the union uses all.
+    A pair may share several leaves. It counts in the least leaf that both are in. Pairs that share the
+    earlier leaf with most members of this cell are compared and united there, and not again here.
     """
     leaf, bi, bj = (table.column(n)[0].as_py() for n in ("leaf", "bi", "bj"))
     ids = table.column("id").to_numpy()
@@ -114,26 +118,32 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     earlier = np.zeros((len(ids), len(names)), np.float32)
     earlier[owner[before], place] = 1
 
+    done = earlier[:, earlier.sum(axis=0).argmax()] > 0 if len(names) else np.zeros(len(ids), bool)
+
     links, label, linked = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
-    for a in range(0, len(ids), ROWS_AT_ONCE):
-        rows = np.arange(a, min(a + ROWS_AT_ONCE, len(ids)))
-        hits = x[rows] @ x.T >= threshold
-        if bi == bj:
-            hits &= rows[:, None] < np.arange(len(ids))
-        else:
-            hits &= (block[rows] == bi)[:, None] & (block == bj)
-        r, c = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
-        if not len(r):
-            continue
-        hits = hits[np.ix_(r, c)]
-        own = hits & (earlier[rows[r]] @ earlier[c].T == 0)
-        links[rows[r]] += own @ copies[c]
-        links[c] += copies[rows[r]] @ own
-        linked[rows[r]] = linked[c] = True
-        for i, near in zip(rows[r], hits):
-            groups = np.unique(np.append(label[c[near]], label[i]))
-            if len(groups) > 1:
-                label[np.isin(label, groups[1:])] = groups[0]
+    left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+    sides = [(left[~done[left]], right)]
+    if bi != bj:
+        sides.append((left[done[left]], right[~done[right]]))
+    for side, others in sides:
+        shadow = x[others].T
+        for a in range(0, len(side), ROWS_AT_ONCE):
+            rows = side[a:a + ROWS_AT_ONCE]
+            hits = x[rows] @ shadow >= threshold
+            if bi == bj:
+                hits &= (rows[:, None] < others) | done[others]
+            r, c = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+            if not len(r):
+                continue
+            hits, r, c = hits[np.ix_(r, c)], rows[r], others[c]
+            own = hits & (earlier[r] @ earlier[c].T == 0)
+            links[r] += own @ copies[c]
+            links[c] += copies[r] @ own
+            linked[r] = linked[c] = True
+            for i, near in zip(r, hits):
+                groups = np.unique(np.append(label[c[near]], label[i]))
+                if len(groups) > 1:
+                    label[np.isin(label, groups[1:])] = groups[0]
     at = np.flatnonzero(linked)
     return pa.table({"id": pa.array(ids[at]), "links": pa.array(links[at]), "root": pa.array(ids[label[at]])})
 
@@ -144,8 +154,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, trees: int =
 
     Vectors that share a leaf of any tree are compared, in double precision; a link is a cosine of at
     least `threshold`, so there is no false one, and a pair is missed only where every tree has parted
-    it. Equal vectors are one point with a number of copies. A leaf above the limit, of vectors
-    that no direction parts, is compared block against block in tasks of bounded size.
+    it. Equal vectors are one point with a number of copies. A leaf above the limit, of vectors that lie
+    about as near each other as a link, is compared block against block in tasks of bounded size.
 
     Vectors that are null, empty, zero, or hold null or non-finite components have no links; vectors of
     different length are not compared. Rows that repeat vec_id and embedding are one vector and give one
@@ -156,7 +166,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, trees: int =
     usable = rows.filter(valid(F.col("vector")) & F.col("vec_id").isNotNull())
     points = staged(usable.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
                     .withColumn("dim", F.size("vector")), "points")
-    leaves, sizes = grow(staged(project(points, trees, seed), "nodes"), leaf_rows, spill)
+    reach = (2 - 2 * threshold) ** 0.5  # of unit vectors whose cosine is the threshold
+    leaves, sizes = grow(staged(project(points, trees, seed), "nodes"), leaf_rows, spill, reach)
     listed = staged(leaves.groupBy("id", "dim").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")), "leaves")
     spread = points.join(listed, ["id", "dim"]).select(
         "id", "dim", "vector", "copies", "leaves", F.explode("leaves").alias("leaf"))

@@ -56,6 +56,16 @@ def test_vectors_that_no_direction_parts_are_compared_in_blocks(spark):
     assert ours(vectors.near_duplicates(frame(spark, rows), leaf_rows=6)) == brute(rows)
 
 
+def test_a_dense_group_above_the_leaf_size_keeps_its_links(spark):
+    rows = clusters(6, [1] * 300 + [900], 64, 0.17)
+    unit = np.array([v for _, v in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = ours(vectors.near_duplicates(frame(spark, rows), leaf_rows=30))
+    assert want.max() > 800 and all(got[i][0] <= want[i] for i in got)
+    assert sum(got[i][0] for i in got) >= 0.999 * want.sum()
+
+
 def test_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(5, v), (3, v), (9, [1.0, 2.0, 3.01]), (1, None), (2, []), (4, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]),
