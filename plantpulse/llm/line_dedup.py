@@ -1,4 +1,4 @@
-"""Substring dedup by hashes of lines, cut at sentence ends, or of paragraphs."""
+"""Substring dedup by hashes of lines, cut at sentence ends, of paragraphs, or of runs of sentences."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from plantpulse.session import staged
 
 MIN_WORDS = 8
 MODES = ("sentence", "line", "paragraph")
+# overlapping units: sentences, the short ones joined to their neighbours
+PASSAGE = "passage"
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -25,13 +27,26 @@ def _cuts(texts: Texts, mode: str) -> np.ndarray:
         np.cumsum(data == 0x0A, out=lines[1:])
         feeds = lines[starts[1:]] - lines[ends[:-1]]
         new[1:] = feeds >= (2 if mode == "paragraph" else 1)
-        if mode == "sentence":
+        if mode in ("sentence", PASSAGE):
             new[1:] |= np.isin(data[ends[:-1] - 1], np.frombuffer(b".!?", np.uint8))
     first = texts.words[:-1]
     new[first[first < texts.words[1:]]] = True
     return new
 
 
+def _joined(first: np.ndarray, last: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of the shortest run of `least` words from each sentence on, and up to each one.
+
+    Whatever stands around it, a repeated run of sentences of `least` words in all is covered by such runs.
+    """
+    n = len(first)
+    to, since = np.searchsorted(last + 1, first + least), np.searchsorted(first, last + 1 - least, "right") - 1
+    on = np.flatnonzero((to < n) & (row[np.minimum(to, n - 1)] == row))
+    upto = np.flatnonzero((since >= 0) & (row[np.maximum(since, 0)] == row))
+    runs = np.unique(np.concatenate([on * n + to[on], since[upto] * n + upto]))
+    return first[runs // n], last[runs % n]
+
+
 def _units(texts: Texts, mode: str, least: int) -> tuple[np.ndarray, ...]:
     """Row, first and last + 1 code point, words and 128-bit digest of the units of a slice."""
     n = len(texts.starts)
@@ -39,29 +54,41 @@ def _units(texts: Texts, mode: str, least: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     first = np.flatnonzero(_cuts(texts, mode))
     last = np.append(first[1:], n) - 1
+    if mode == PASSAGE:
+        first, last = _joined(first, last, texts.row_of_word()[first], least)
+    else:
+        keep = last - first + 1 >= least
+        first, last = first[keep], last[keep]
+    if not len(first):
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     size = last - first + 1
-    hashes = word_hashes(texts, lower=True)
-    place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
+    opens = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(opens, size)
+    hashes = word_hashes(texts, lower=True)[np.repeat(first, size) + place]
+    place = place.astype(np.uint64)
     # sums of words mixed with their place in the unit: equal sequences of words give equal sums
-    digests = [mix(np.add.reduceat(mix(hashes * salt + place), first) + size.astype(np.uint64))
+    digests = [mix(np.add.reduceat(mix(hashes * salt + place), opens) + size.astype(np.uint64))
                for salt in (np.uint64(1), SECOND)]
     points = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum((texts.data & 0xC0) != 0x80, out=points[1:])
     row = texts.row_of_word()[first]
     base = points[texts.borders[:-1]][row]
     start, end = points[texts.starts[first]] - base, points[texts.ends[last]] - base
-    keep = size >= least
-    return tuple(x[keep] for x in (row + texts.first, start, end, size, digests[0].view(np.int64), digests[1].view(np.int64)))
+    return row + texts.first, start, end, size, digests[0].view(np.int64), digests[1].view(np.int64)
 
 
 def units(docs: DataFrame, mode: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end, words, and a 128-bit digest (h1, h2) of every unit of at least `min_words` words.
 
+    In mode "passage" the units are runs of sentences of a document, line ends or not: from each sentence on,
+    and up to each sentence, the shortest run of `min_words` words. So the minimum holds for the passage and not
+    for its sentences. Runs may overlap; a sentence of `min_words` words is a run by itself.
+
     Normalised: A-Z count as a-z and any white space between words counts alike. Offsets are those of
     the original text, in code points.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {MODES}")
+    if mode not in (*MODES, PASSAGE):
+        raise ValueError(f"mode is one of {(*MODES, PASSAGE)}")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "end", "words", "h1", "h2"]
 
@@ -86,7 +113,8 @@ def removed_units(docs: DataFrame, mode: str = "sentence", min_words: int = MIN_
     """Every unit that repeats an earlier one: doc_id, start, end, words, first_doc_id, first_start.
 
     Equal units anywhere in the corpus form a group; its earliest by (doc_id, start) stays, the others
-    are returned with their original offsets. Rows that share doc_id and text count as one document.
+    are returned with their original offsets. Where units overlap, each sentence of a returned one
+    still has an earlier copy that stays. Rows that share doc_id and text count as one document.
     Null and empty texts have no units, other columns are not read, an empty table gives no rows.
 
     Units are staged as numbers, so the text is read once. Groups are formed by partial aggregation,

@@ -46,7 +46,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_units(table(spark, sf_dir, "documents"))
+    return line_dedup.removed_units(table(spark, sf_dir, "documents"), line_dedup.PASSAGE)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from plantpulse.llm import line_dedup
+from plantpulse.llm import line_dedup, queries
 from tests.llm.cases import WORD, docs, odd_texts, prose
 
 
@@ -63,6 +63,54 @@ def test_cut_texts_keep_the_earliest(spark):
     assert all(text[s.start:s.end] == text.split("\n")[0] for s in out[23].removed)
 
 
+def brute_passages(text, least):
+    """Spans and words of the shortest runs of sentences from each on and up to each."""
+    parts, found = brute_units(text, "sentence", 1), set()
+    for k in range(len(parts)):
+        for runs in ([parts[k:j + 1] for j in range(k, len(parts))], [parts[j:k + 1] for j in range(k, -1, -1)]):
+            run = next((r for r in runs if sum(len(p[2]) for p in r) >= least), None)
+            if run:
+                found.add((run[0][0], run[-1][1], sum((p[2] for p in run), ())))
+    return found
+
+
+SHORT = "Sign up now. It is free! Read more here. Ask us."
+PASSAGES = [
+    (30, f"Some words first. {SHORT} And then an ending of quite another kind."), (31, SHORT),
+    (32, "Other start\n" + SHORT.replace(". ", ".\n") + " No. Yes."), (33, "Sign up now. It is free!"),
+    (34, prose(31, 9) + ". Ask us."), (35, "Tail. " + prose(31, 9) + ". Ask us. So."), (36, "go. " * 30),
+]
+
+
+@pytest.mark.parametrize("least", [1, 8])
+def test_passages_match_brute_force(spark, least):
+    texts = [t for t in TEXTS + PASSAGES + odd_texts() if t[0] is not None and t[0] != 10]
+    groups = defaultdict(set)
+    for i, text in texts:
+        for start, end, key in brute_passages(text, least):
+            groups[key].add((i, start, end))
+    want = sorted((*m, *min(g)[:2]) for g in groups.values() for m in g if m != min(g))
+    rows = line_dedup.removed_units(docs(spark, texts), line_dedup.PASSAGE, least).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in rows) == want
+
+
+def test_query_finds_passages_of_short_sentences(spark, tmp_path):
+    docs(spark, PASSAGES).write.parquet(f"{tmp_path}/documents.parquet")
+    found = defaultdict(set)
+    for r in queries.op5_line_dedup(spark, str(tmp_path)).collect():
+        found[r.doc_id] |= set(range(r.start, r.end))
+    assert found[31] >= set(range(len(SHORT)))
+    at = len("Other start\n")
+    assert set(range(at, at + len(SHORT))) - found[32] <= {k for k, c in enumerate(PASSAGES[2][1]) if c.isspace()}
+    assert found[33] == set() and found[30] == set()
+
+
+def test_passages_leave_one_copy_of_each_sentence(spark):
+    out = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, PASSAGES), line_dedup.PASSAGE).collect()}
+    left = {key for text in out.values() for _, _, key in brute_units(text, "sentence", 1)}
+    assert {key for _, text in PASSAGES for _, _, key in brute_units(text, "sentence", 1)} <= left
+
+
 def test_other_mode_is_refused(spark):
     with pytest.raises(ValueError):
         line_dedup.units(docs(spark, TEXTS), "page")
