@@ -26,13 +26,24 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches; those whose `group` is shorter than `least` are dropped."""
+    """Leftmost non-overlapping matches; those whose `group` is shorter than `least` are dropped.
+
+    A match of `pattern` runs on over `tail`, which may be empty and has no groups of its own.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    tail: str = ""
+
 
+# What follows the first line of a private key: all up to its END line; where that is missing, header lines, runs of 16
+# or more base64 characters, and a shorter last line. Line ends may be written as \n. Possessive, so that it is one pass.
+_BETWEEN = r"(?:\\[nrt]|[^A-Za-z0-9+/=]){0,8}+"
+PEM_TAIL = (r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+            rf"|(?:{_BETWEEN}[A-Z][A-Za-z]{{1,20}}-[A-Z][A-Za-z]{{1,20}}: [^\r\n\\]*+){{0,4}}+(?:{_BETWEEN}[A-Za-z0-9+/=]{{16,}}+)++"
+            r"""(?:(?:\r|\\r)?(?:\n|\\n)[\x20\t]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\s\\"']|$))?)?""")
 
 # The three base kinds, then well-known token formats.
 BASE = [
@@ -47,7 +58,7 @@ RULES = [
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", tail=PEM_TAIL),
 ]
 
 # A query is a list of clauses, all of which hold; a clause is a list of alternatives; an alternative
@@ -177,15 +188,15 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _to_verify(rules: list[Rule]) -> Column:
+def _to_verify(rules: list[Rule], tails_first: bool = False) -> Column:
     """The rules that a row's text matches: its candidates, and those that must scan every text."""
     text, found = F.col("text"), []
-    for i, rule in enumerate(rules):
+    for i, rule in sorted(enumerate(rules), key=lambda r: tails_first and not r[1].tail):
         test = text.rlike(rule.pattern)
         if trigram_query(rule.pattern):
             test = F.array_contains("__rules", F.lit(i)) & test
         found.append(F.when(test, F.struct(
-            F.lit(i).alias("rank"), F.lit(rule.pattern).alias("pattern"), F.lit(rule.group).alias("group"),
+            F.lit(i).alias("rank"), F.lit(rule.pattern + rule.tail).alias("pattern"), F.lit(rule.group).alias("group"),
             F.lit(rule.least).alias("least"))))
     return F.array_compact(F.array(*found))
 
@@ -261,14 +272,15 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rules: list[Rule] = RULES, placeholder: str = PLACEHOLDER) -> DataFrame:
     """`docs` with every secret replaced by a placeholder; all columns and rows stay.
 
-    The rules that a text matches apply in their order, each to what the ones before have left.
+    The rules that a text matches apply in their order, each to what the ones before have left; those
+    with a tail come first, as no other may take the mark that they begin with.
     """
     def cleaned(text: Column, rule: Column) -> Column:
         return F.array_join(F.transform(_pieces(text, rule), lambda p: F.concat(
             p["gap"], F.when(p["hit"].isNull(), "").when(p["good"], placeholder).otherwise(p["hit"]))), "")
 
     out = with_candidates(docs, rules)
-    text = F.aggregate(_to_verify(rules), F.col("text"), cleaned)
+    text = F.aggregate(_to_verify(rules, tails_first=True), F.col("text"), cleaned)
     return out.withColumn("text", F.coalesce(text, F.col("text"))).select(*docs.columns)
 
 
