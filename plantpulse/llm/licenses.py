@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 GAP = "\x01"
 CUT = r"(?<=[.!?;:])\s+|\n+"
 CUT_WRAPPED = rf"(?<=[.!?;:])\s+{GAP}*|{GAP}+"
+# lines that hold nothing but white space and comment marks are empty
+EMPTY_LINES = r"\n(?:[\x20\t\x0B\f#*/;%!'<>|-]*\n)+"
+# comment marks that would end a sentence
+LEADING_MARKS = rf"(^|[\n{GAP}])[\x20\t\x0B\f]*[;!]+"
 NOT_PLAIN = "[^a-z0-9]+"
 
 # Licence names as notices write them, with their SPDX identifiers.
@@ -152,7 +156,8 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule]
     """doc_id, sentences and wrapped (number and identifier of each known sentence), rules and licenses found.
 
     `sentences` are cut at line ends and after marks; `wrapped` are cut in the text with single line ends
-    as spaces, for licence texts that are broken into lines. Each is normalised and looked up among the
+    as spaces, for licence texts that are broken into lines; lines of white space or comment marks only part
+    them. Carriage returns count as line ends. Each is normalised and looked up among the
     known ones. A rule matches where its identifiers follow one another in one of the two sequences
     of known sentences, whatever unknown text lies between; a rule whose identifiers lie within those of a
     longer matching rule is left out. Everything happens next to the row: no shuffle, and a hot source or many
@@ -161,8 +166,9 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule]
     """
     known = known_sentences() if known is None else known
     rules = license_rules() if rules is None else rules
-    text = F.coalesce("text", F.lit(""))
-    joined = F.replace(F.regexp_replace(text, r"\n{2,}", GAP), F.lit("\n"), F.lit(" "))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    joined = F.regexp_replace(F.regexp_replace(text, EMPTY_LINES, GAP), LEADING_MARKS, "$1")
+    joined = F.replace(joined, F.lit("\n"), F.lit(" "))
     found = docs.select("doc_id", _hits(text, CUT, known).alias("sentences"),
                         _hits(joined, CUT_WRAPPED, known).alias("wrapped"))
     ids = [F.array_join(F.transform(c, lambda s: s["id"]), " ") for c in ("sentences", "wrapped")]

@@ -32,6 +32,21 @@ def test_wrapped_lines(spark):
     assert found(spark, lines, mixed) == [(["mit-text"], ["MIT"]), (["mit-text", "notice-CC-BY-4.0"], ["CC-BY-4.0", "MIT"])]
 
 
+def test_wrapped_lines_after_other_empty_lines(spark):
+    def wrap(text):
+        return "\n".join(" ".join(text.split()[i:i + 9]) for i in range(0, len(text.split()), 9))
+
+    gpl = "This program is free software; " + licenses.SENTENCES["gpl-3-later"] + "."
+    text = "MIT License\n\nCopyright (c) 2020 Foo\n\n" + "\n\n".join(wrap(m + ".") for m in MIT)
+    lines, other = text.split("\n"), ("tool - does things\n\nCopyright 2020 Foo\n\n" + wrap(gpl)).split("\n")
+    forms = ["\r\n".join, "\r".join, lambda x: "\n".join(t or " \t" for t in x), lambda x: "\r\n".join(t or "  " for t in x)]
+    for mark in ("#", "# ", " * ", "// ", "--", ";; ", "% "):
+        forms.append(lambda x, mark=mark: "\n".join(mark + t for t in x))
+    forms.append(lambda x: "/*\n" + "\n".join((" * " + t).rstrip() for t in x) + "\n */\ncode")
+    got = found(spark, *[f(x) for f in forms for x in (lines, other)])
+    assert got == [(["mit-text"], ["MIT"]), (["gpl-3-header"], ["GPL-3.0-or-later"])] * len(forms)
+
+
 def test_positions_and_several_licenses(spark):
     row = licenses.scan(docs(spark, [(1, "a\n\nReleased under the MIT License.\nb. Licensed under CC BY 4.0. Released under the MIT "
                                          "License.")])).first()
