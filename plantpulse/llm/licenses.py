@@ -152,6 +152,41 @@ def _hits(text: Column, cut: str, known: dict[str, str]) -> Column:
     return F.transform(hits, lambda s: F.struct(s["number"].alias("number"), F.element_at(names, s["sentence"]).alias("id")))
 
 
+def _without(view: Column, outer: Rule) -> Column:
+    """A view's identifiers with a sign for each place where a rule's sequence stands."""
+    return F.replace(view, F.lit(_sequence(outer)), F.lit(" . "))
+
+
+def _sequence(rule: Rule) -> str:
+    return "".join(f" {s} " for s in rule.sentences)
+
+
+def _times(view: Column, rule: Rule) -> Column:
+    gone = F.char_length(view) - F.char_length(F.replace(view, F.lit(_sequence(rule)), F.lit("")))
+    return gone / len(_sequence(rule))
+
+
+def _matches(rule: Rule, rules: list[Rule], views: list[Column]) -> Column:
+    """Does the rule's sequence stand in a view outside the longer rules that contain it?
+
+    A longer text that only the other view has whole may show in part here: as many places do not count.
+    """
+    longer = [r for r in rules if len(r.sentences) > len(rule.sentences) and _within(rule.sentences, r.sentences)]
+    longer.sort(key=lambda r: -len(r.sentences))
+    left, times = list(views), []
+    for outer in longer:
+        times.append([_times(v, outer) for v in left])
+        left = [_without(v, outer) for v in left]
+    tests = []
+    for n, view in enumerate(left):
+        test = F.contains(view, F.lit(_sequence(rule)))
+        if longer:
+            hidden = sum((F.greatest(t[1 - n] - t[n], F.lit(0.0)) for t in times), F.lit(0.0))
+            test &= _times(view, rule) > hidden
+        tests.append(test)
+    return tests[0] | tests[1]
+
+
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, sentences and wrapped (number and identifier of each known sentence), rules and licenses found.
 
@@ -159,8 +194,8 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule]
     as spaces, for licence texts that are broken into lines; lines of white space or comment marks only part
     them. Carriage returns count as line ends. Each is normalised and looked up among the
     known ones. A rule matches where its identifiers follow one another in one of the two sequences
-    of known sentences, whatever unknown text lies between; a rule whose identifiers lie within those of a
-    longer matching rule is left out. Everything happens next to the row: no shuffle, and a hot source or many
+    of known sentences, whatever unknown text lies between; where its identifiers lie within those of a
+    longer rule at the same place it does not match there. Everything happens next to the row: no shuffle, and a hot source or many
     copies cost no more than other rows. Null and empty texts give empty arrays, repeated rows give
     one row each, a missing doc_id is kept, other columns are not read, an empty table gives no rows.
     """
@@ -171,17 +206,13 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule]
     joined = F.replace(joined, F.lit("\n"), F.lit(" "))
     found = docs.select("doc_id", _hits(text, CUT, known).alias("sentences"),
                         _hits(joined, CUT_WRAPPED, known).alias("wrapped"))
-    ids = [F.array_join(F.transform(c, lambda s: s["id"]), " ") for c in ("sentences", "wrapped")]
-    found = found.withColumn("__sequence", F.concat(F.lit(" "), ids[0], F.lit(" | "), ids[1], F.lit(" ")))
-    matches = []
-    for rule in rules:
-        test = F.contains("__sequence", F.lit(f" {' '.join(rule.sentences)} "))
-        for longer in rules:
-            if len(longer.sentences) > len(rule.sentences) and _within(rule.sentences, longer.sentences):
-                test &= ~F.contains("__sequence", F.lit(f" {' '.join(longer.sentences)} "))
-        matches.append(F.when(test, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.license).alias("license"))))
+    for name in ("sentences", "wrapped"):
+        found = found.withColumn(f"__{name}", F.array_join(F.transform(name, lambda s: F.concat(F.lit(" "), s["id"], F.lit(" "))), ""))
+    views = [F.col("__sentences"), F.col("__wrapped")]
+    matches = [F.when(_matches(rule, rules, views), F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.license).alias("license")))
+               for rule in rules]
     # most documents have no known sentence: their rules are not tried
-    tried = F.when(F.col("__sequence") != "  |  ", F.array_compact(F.array(*matches)))
+    tried = F.when((views[0] != "") | (views[1] != ""), F.array_compact(F.array(*matches)))
     found = found.withColumn("__matches", F.coalesce(tried, F.array().cast("array<struct<rule:string,license:string>>")))
     return found.select(
         "doc_id", "sentences", "wrapped", F.transform("__matches", lambda m: m["rule"]).alias("rules"),

@@ -47,6 +47,20 @@ def test_wrapped_lines_after_other_empty_lines(spark):
     assert got == [(["mit-text"], ["MIT"]), (["gpl-3-header"], ["GPL-3.0-or-later"])] * len(forms)
 
 
+def test_a_shorter_text_beside_a_longer_one(spark):
+    def wrapped(sentences):
+        return "\n".join(" ".join(x.split()[i:i + 9]) for x in [m + "." for m in sentences] for i in range(0, len(x.split()), 9))
+
+    both = (["bsd-3-text", "bsd-2-text"], ["BSD-2-Clause", "BSD-3-Clause"])
+    two, three = "; ".join(BSD[:3]) + ".", "; ".join(BSD) + "."
+    partly = ";\n".join(BSD[:3]) + ";\n" + wrapped(BSD[3:])
+    assert found(spark, f"{two}\n\nOther\n\n{three}", f"{three}\n\n{two}", f"{two}\n\n{three}\n\n{two}\n\n{three}",
+                 wrapped(BSD) + "\n\n" + wrapped(BSD[:3]), f"{three}\n\n{three}", partly, f"{partly}\n\n{two}",
+                 f"{MIT[0]}.\n" + ".\n".join(MIT)) == [
+        both, both, both, both, (["bsd-3-text"], ["BSD-3-Clause"]), (["bsd-3-text"], ["BSD-3-Clause"]), both,
+        (["mit-text", "mit-grant-only"], ["MIT"])]
+
+
 def test_positions_and_several_licenses(spark):
     row = licenses.scan(docs(spark, [(1, "a\n\nReleased under the MIT License.\nb. Licensed under CC BY 4.0. Released under the MIT "
                                          "License.")])).first()
