@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import jaccard, langid, licenses, line_dedup, mixing, packing, quality, secrets, vectors, warc
+from plantpulse.llm import (
+    clustering, importance, jaccard, langid, licenses, line_dedup, mixing, packing, quality, secrets, topk, vectors, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +73,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_packing": op2_packing,
@@ -82,10 +96,16 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op11_topk": op11_topk,
+    "op12_importance": op12_importance,
+    "op13_clustering": op13_clustering,
 }
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_secrets": secrets.ORACLE,
+    "op11_topk": topk.ORACLE,
+    "op12_importance": importance.ORACLE,
+    "op13_clustering": clustering.ORACLE,
 }
