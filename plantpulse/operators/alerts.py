@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from plantpulse.functions.grading import SEVERITY_LEVELS, severity_level
 from plantpulse.operators.order import (
-    BLOCK, POS, Series, SeriesSpec, joined_on, lay_out, with_position, with_row_number,
+    BLOCK, POS, Series, SeriesSpec, joined_on, lay_out, next_seen, with_position, with_row_number,
 )
+from plantpulse.session import staged
 
 HOUR = 3_600_000_000
 ALERTS = SeriesSpec(keys=("type",), order="ts", tiebreak=("alert_id",))
@@ -21,9 +22,9 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def emitted(values: np.ndarray, gap: int, not_before: int | None = None) -> np.ndarray:
-    """Indexes kept by the greedy rule: the next kept value is at least `gap` after the last."""
-    i = 0 if not_before is None else int(np.searchsorted(values, not_before))
+def emitted(values: np.ndarray, gap: int, not_before: int | None = None, start: int = 0) -> np.ndarray:
+    """Indexes kept by the greedy rule from `start` on: the next kept value is at least `gap` after the last."""
+    i = start if not_before is None else max(start, int(np.searchsorted(values, not_before)))
     kept = []
     while i < len(values):
         kept.append(i)
@@ -31,42 +32,36 @@ def emitted(values: np.ndarray, gap: int, not_before: int | None = None) -> np.n
     return np.array(kept, dtype=int)
 
 
-def exits(values: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """How one block maps the earliest allowed value on entry to the one on leaving.
-
-    A step function: entering with anything up to `upto[k]` leaves with `leave[k]`.
-    Only entries within one gap of the block start can occur.
-    """
+def leaves(values: np.ndarray, gap: int) -> np.ndarray:
+    """For each row of a block, were it kept, the least value that may be kept after the block."""
     n = len(values)
     after = np.searchsorted(values, values + gap)
     last = np.where(after < n, after, np.arange(n))
     while True:
         further = last[last]
         if (further == last).all():
-            break
+            return values[last] + gap
         last = further
-    reach = min(n, int(np.searchsorted(values, values[0] + gap)) + 1)
-    leave = values[last[:reach]] + gap
-    ends = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
-    return values[ends], leave[ends]
 
 
 def greedy_gap(series: Series, value: Column, gap: int) -> DataFrame:
     """Rows kept when each must lie at least `gap` after the last kept row of its key.
 
-    Only the key, the value and the row position reach Python. A key above the
-    row limit is cut into blocks: every block first reports its step function,
-    the steps are followed once per key, then all blocks run side by side.
+    Only the key, the value and the row position reach Python; rows without a value are not kept. A key above
+    the row limit is cut into blocks. What follows a kept row depends on that row alone, so the first row
+    kept in each block is found by following successors from block to block, all blocks at once;
+    then the blocks run side by side.
     """
     spec, columns = series.spec, [c for c in series.df.columns if c != POS]
+    keys = list(spec.keys)
     series = with_row_number(series.put(series.df.withColumn("__v", value)), "__i")
+    present = series.df.filter(F.col("__v").isNotNull())
     if not series.blocked:
-        narrow = series.df.select(*spec.keys, "__i", "__v")
-        return _keep(series.df, _run(narrow, list(spec.keys), gap), spec).select(*columns)
-    cut = series.df.withColumn(BLOCK, F.floor(F.col("__i") / series.limit))
-    narrow = cut.select(*spec.keys, BLOCK, "__i", "__v")
-    entries = _block_entries(narrow, gap, spec)
-    kept = _run(joined_on(narrow, entries, [*spec.keys, BLOCK], "left"), [*spec.keys, BLOCK], gap)
+        return _keep(series.df, _run(present.select(*keys, "__i", "__v"), keys, gap), spec).select(*columns)
+    cut = present.withColumn(BLOCK, F.floor(F.col("__i") / series.limit))
+    narrow = cut.select(*keys, BLOCK, "__i", "__v")
+    entries = block_entries(narrow, cut.filter(F.col(POS).isNotNull()).select(*narrow.columns), gap, series)
+    kept = _run(joined_on(narrow, entries, [*keys, BLOCK], "inner"), [*keys, BLOCK], gap)
     return _keep(series.df, kept, spec).select(*columns)
 
 
@@ -79,42 +74,51 @@ def _run(df: DataFrame, group: list[str], gap: int) -> DataFrame:
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__i")
-        start = pdf["__entry"].iloc[0] if entry else None
-        start = None if start is None or pd.isna(start) else int(start)
-        return pdf.iloc[emitted(pdf["__v"].to_numpy(), gap, start)][group + ["__i"]]
+        start = int(np.searchsorted(pdf["__i"].to_numpy(), pdf["__entry"].iloc[0])) if entry else 0
+        return pdf.iloc[emitted(pdf["__v"].to_numpy(), gap, start=start)][group + ["__i"]]
 
     return df.groupBy(*group).applyInPandas(keep, _fields(df, *group, "__i"))
 
 
-def _block_entries(narrow: DataFrame, gap: int, spec: SeriesSpec) -> DataFrame:
-    keys = list(spec.keys)
-    block = T.StructField(BLOCK, T.LongType())
-    step = T.StructType([*_fields(narrow, *keys).fields, block,
-                         T.StructField("upto", T.LongType()), T.StructField("leave", T.LongType())])
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        upto, leave = exits(pdf.sort_values("__i")["__v"].to_numpy(), gap)
-        out = pd.DataFrame({"upto": upto, "leave": leave})
-        for c in keys + [BLOCK]:
-            out[c] = pdf[c].iloc[0]
-        return out[keys + [BLOCK, "upto", "leave"]]
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, rows = None, []
-        for b, part in pdf.groupby(BLOCK, sort=True):
-            part = part.sort_values("upto")
-            rows.append((b, entry))
-            k = 0 if entry is None else int(np.searchsorted(part["upto"].to_numpy(), entry))
-            if k < len(part):
-                entry = int(part["leave"].iloc[k])
-        out = pd.DataFrame({BLOCK: [r[0] for r in rows], "__entry": pd.array([r[1] for r in rows], "Int64")})
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[keys + [BLOCK, "__entry"]]
-
-    table = narrow.groupBy(*keys, BLOCK).applyInPandas(steps, step)
-    entry = T.StructType([*_fields(narrow, *keys).fields, block, T.StructField("__entry", T.LongType())])
-    return table.groupBy(*keys).applyInPandas(follow, entry)
+def block_entries(narrow: DataFrame, hot: DataFrame, gap: int, series: Series) -> DataFrame:
+    """(keys, block, __entry): the first row kept of each block that has one.
+
+    A list ranking. Every row of a hot key is linked to the row that follows where the greedy rule leaves
+    its block: each block gives the value it is left at (`leaves`), and one ordered pass over these values
+    and the rows finds the next row at or after each. From a key's first row the links are then followed by
+    pointer doubling, so a chain over n blocks takes about log2(n) rounds of joins. No task or group ever
+    holds more than a block.
+    """
+    keys = list(series.spec.keys)
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        return pdf.assign(__at=leaves(pdf["__v"].to_numpy(), gap))[keys + ["__i", "__at"]]
+
+    left = T.StructType([*_fields(hot, *keys, "__i").fields, T.StructField("__at", T.LongType())])
+    left = staged(hot.groupBy(*keys, BLOCK).applyInPandas(ends, left), "leaves")
+    targets = left.select(*keys, "__at").distinct().withColumn("__kind", F.lit(0)).withColumn(
+        "__i", F.lit(None).cast("long"))
+    rows = hot.select(*keys, F.col("__v").alias("__at"), F.lit(1).alias("__kind"), "__i")
+    order = SeriesSpec(keys=series.spec.keys, order="__at", tiebreak=("__kind", "__i"), max_rows=series.limit)
+    met = next_seen(lay_out(targets.unionByName(rows), order, heavy=True), {"__to": F.col("__i")}).frame()
+    met = met.filter((F.col("__kind") == 0) & F.col("__to").isNotNull()).select(*keys, "__at", "__to")
+    links = staged(joined_on(left, met, [*keys, "__at"], "inner").select(*keys, "__i", "__to"), "links")
+    first = staged(narrow.groupBy(*keys).agg(F.min("__i").alias("__i")), "first")
+    # only rows that some link leads to can be entered
+    entered = links.select(*keys, F.col("__to").alias("__i")).unionByName(first).distinct()
+    jump = staged(joined_on(links, entered, [*keys, "__i"], "left_semi"), "jump")
+    reached = first
+    while True:
+        more = staged(joined_on(jump, reached, [*keys, "__i"], "left_semi").select(
+            *keys, F.col("__to").alias("__i")), "more")
+        if not more.limit(1).count():
+            break
+        reached = reached.unionByName(more)
+        onward = jump.select(*keys, F.col("__i").alias("__to"), F.col("__to").alias("__then"))
+        jump = staged(joined_on(jump, onward, [*keys, "__to"], "inner").select(
+            *keys, "__i", F.col("__then").alias("__to")), "jump")
+    return reached.select(*keys, F.floor(F.col("__i") / series.limit).alias(BLOCK), F.col("__i").alias("__entry"))
 
 
 def _keep(df: DataFrame, kept: DataFrame, spec: SeriesSpec) -> DataFrame:

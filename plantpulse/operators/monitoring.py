@@ -28,30 +28,36 @@ def drift_fit(reference: DataFrame, columns: list[str] | None = None) -> DataFra
         "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")})
 
 
-def stats_join(reference: DataFrame, new: DataFrame) -> DataFrame:
-    """Reference and new statistics side by side; both are one row per column."""
+def stats_join(reference: DataFrame, new: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Reference and new statistics side by side; the reference is one row per column, the new ones per `by` and column."""
     return reference.select(
         "feature", F.col("mean").alias("reference_mean"), F.col("std").alias("reference_std"),
-    ).join(new.select("feature", F.col("mean").alias("new_mean")), "feature")
+    ).join(new.select(*(by or []), "feature", F.col("mean").alias("new_mean")), "feature")
 
 
 def _z() -> Column:
     return F.try_divide(F.abs(F.col("new_mean") - F.col("reference_mean")), F.col("reference_std"))
 
 
-def drift_detect(reference: DataFrame, new: DataFrame, columns: list[str] | None = None,
-                 threshold: float = Z_LIMIT) -> DataFrame:
-    """Per feature: z-score of the new mean and whether it drifted; totals on each row."""
-    names = columns or numeric_columns(new)
-    both = stats_join(reference, drift_fit(new, names)).filter(F.col("reference_std") > 0)
-    rows = both.select("feature", _z().alias("z_score"), (_z() > threshold).alias("drifted"),
+def drift_figures(reference: DataFrame, new: DataFrame, threshold: float = Z_LIMIT,
+                  by: list[str] | None = None) -> DataFrame:
+    """Per feature: z-score of the new mean and whether it drifted; totals on each row, per `by` if given."""
+    by = by or []
+    both = stats_join(reference, new, by).filter(F.col("reference_std") > 0)
+    rows = both.select(*by, "feature", _z().alias("z_score"), (_z() > threshold).alias("drifted"),
                        "reference_mean", "new_mean")
-    everything = Window.partitionBy(F.lit(0))  # one row per feature
+    everything = Window.partitionBy(*(by or [F.lit(0)]))  # one row per feature
     return rows.withColumns({
         "drifted_features": F.count_if("drifted").over(everything),
         "total_features": F.count(F.lit(1)).over(everything)})
 
 
+def drift_detect(reference: DataFrame, new: DataFrame, columns: list[str] | None = None,
+                 threshold: float = Z_LIMIT) -> DataFrame:
+    """`drift_figures` of the columns of a table."""
+    return drift_figures(reference, drift_fit(new, columns or numeric_columns(new)), threshold)
+
+
 def drift_score(reference: DataFrame, new: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Mean shift in reference deviations over the shared columns; 0 when none qualifies."""
     names = columns or [c for c in numeric_columns(new) if c in numeric_columns(reference)]

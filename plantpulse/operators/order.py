@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantpulse import session
 
@@ -213,16 +214,48 @@ def joined_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return left.join(other, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
+# half the width of a bracket and the accuracy of the sketch that places it, as shares of the rows
+BRACKET, SKETCH = 0.0005, 10_000
+
+
 def rows_at(df: DataFrame, spec: SeriesSpec, positions: list[int]) -> list[Column]:
     """The sort key (a struct) at each position of the whole table; null past its end.
 
-    Only sort columns are shuffled, and the keys never leave the engine, so neither the driver's
-    time zone nor a type of its own can change them.
+    A selection, not a sort. The sort columns are staged; a quantile sketch of the leading one brackets each
+    position, one pass counts the rows before and within each bracket, and only the rows within are put in
+    order. A bracket that misses its position becomes the whole table. The keys never leave the engine, so
+    neither the driver's time zone nor a type of its own can change them.
     """
-    whole = replace(spec, keys=())
-    narrow = with_position(df.select(*spec.sort), whole, "__at").filter(F.col("__at").isin(positions))
-    found = [F.max(F.when(F.col("__at") == p, F.struct(*spec.sort))).alias(f"b{i}") for i, p in enumerate(positions)]
-    row = session.staged(narrow.agg(*found), "bounds")
+    narrow = session.staged(df.select(*spec.sort), "keys")
+    lead = F.col(spec.order)
+    size = narrow.agg(F.count(F.lit(1)).alias("n"), F.count(lead).alias("known")).first()
+    missing = size.n - size.known
+    everything = (F.lit(0).cast("long"), F.lit(True))
+    brackets = [everything] * len(positions)
+    if size.known and not isinstance(narrow.schema[spec.order].dataType, T.StringType):
+        shares = [min(1.0, max(0.0, (p - missing) / size.known + step)) for p in positions for step in (-BRACKET, BRACKET)]
+        sketch = session.staged(narrow.agg(
+            F.percentile_approx(lead, F.array(*[F.lit(s) for s in shares]), F.lit(SKETCH)).alias("q")), "sketch")
+        ends = [sketch.select(F.col("q")[k]).scalar() for k in range(len(shares))]
+        for i, p in enumerate(positions):
+            low, high = ends[2 * i], ends[2 * i + 1]
+            brackets[i] = (F.lit(0).cast("long"), lead.isNull()) if p < missing else (
+                F.lit(missing) + F.count_if(lead < low), F.coalesce((lead >= low) & (lead <= high), F.lit(False)))
+        counts = narrow.agg(*[F.struct(F.lit(0) + below if p < missing else below, F.count_if(within)).alias(f"c{i}")
+                              for i, (p, (below, within)) in enumerate(zip(positions, brackets))]).first()
+        below = [counts[f"c{i}"][0] for i in range(len(positions))]
+        for i, p in enumerate(positions):
+            if not below[i] <= p < below[i] + counts[f"c{i}"][1]:
+                below[i], brackets[i] = 0, everything
+    else:
+        below = [0] * len(positions)
+    wanted = [i for i, p in enumerate(positions) if p < size.n]
+    hit = F.array_compact(F.array(*[F.when(brackets[i][1], F.lit(i)) for i in wanted], F.lit(None).cast("int")))
+    hits = narrow.select(*spec.sort, F.explode(hit).alias("__bracket"))
+    placed = with_position(hits, replace(spec, keys=("__bracket",)), "__at")
+    found = [F.max(F.when((F.col("__bracket") == i) & (F.col("__at") == p - below[i]), F.struct(*spec.sort))).alias(f"b{i}")
+             for i, p in enumerate(positions)]
+    row = session.staged(placed.agg(*found), "bounds")
     return [row.select(f"b{i}").scalar() for i in range(len(positions))]
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,23 +152,51 @@ def histograms(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
         (F.col("lo") + (F.col("bin") + 1) * width).alias("upper"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
+# rows whose products one task holds at once
+GRAM_ROWS = 2048
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation per column pair over the rows where both are present.
+    """Pearson correlation per column pair over the rows where both are present; missing where one is constant.
 
-    Pairs are unfolded and aggregated by pair before the shuffle: one small
-    compiled aggregate instead of one with hundreds of buffers.
+    Products of matrices: with the columns centred at their means and a mask of what is present, counts, sums, squares
+    and products of all pairs are masks and values multiplied, slice by slice of an Arrow batch. A task adds
+    them up and sends one row for each pair, so work and shuffle are linear in the rows of the table.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    cells = F.array(*[F.struct(
-        F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(pairs)])
-    per = df.select(F.inline(cells)).groupBy("pair").agg(F.corr("x", "y").alias("c"))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    half = per.select(names[F.col("pair")].alias("n"), F.when(~F.isnan("c"), F.col("c")).alias("correlation"))
-    both = F.array_distinct(F.array(
-        F.struct(F.col("n.a").alias("column_a"), F.col("n.b").alias("column_b")),
-        F.struct(F.col("n.b").alias("column_a"), F.col("n.a").alias("column_b"))))
-    return half.select(F.inline(both), "correlation")
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    center = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+    k = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((5, k, k))
+        for batch in batches:
+            for at in range(0, batch.num_rows, GRAM_ROWS):
+                part = batch.slice(at, GRAM_ROWS)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]).astype(float) - center
+                known, endless = ~np.isnan(x), np.isinf(x)
+                x[~known | endless] = 0.0
+                mask = known.astype(float)
+                sums += [mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x, endless.astype(float).T @ mask]
+        a, b = np.triu_indices(k)
+        n, s, q, p, odd = sums
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (
+            a.astype(np.int32), b.astype(np.int32), n[a, b], s[a, b], s[b, a], q[a, b], q[b, a], p[a, b],
+            odd[a, b] + odd[b, a]))], names=["a", "b", *totals])
+
+    totals = ["n", "x", "y", "xx", "yy", "xy", "odd"]
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    parts = numbers.mapInArrow(run, "a int, b int, " + ", ".join(f"{t} double" for t in totals))
+    per = parts.groupBy("a", "b").agg(*[F.sum(t).alias(t) for t in totals])
+    n = F.when(F.col("n") > 0, F.col("n"))
+    spread = {v: F.col(v + v) - F.col(v) * F.col(v) / n for v in ("x", "y")}
+    # what rounding leaves of a constant column is no spread
+    known = (spread["x"] > 1e-12 * F.col("xx")) & (spread["y"] > 1e-12 * F.col("yy")) & (F.col("odd") == 0)
+    value = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread["x"]) / F.sqrt(spread["y"])
+    half = per.select("a", "b", F.when(known, F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0))).alias("correlation"))
+    both = F.array_distinct(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return half.select(F.inline(both), "correlation").select(
+        names[F.col("a")].alias("column_a"), names[F.col("b")].alias("column_b"), "correlation")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

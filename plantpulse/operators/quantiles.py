@@ -1,12 +1,14 @@
-"""Exact linear-interpolated quantiles by counting digits, one method at every size."""
+"""Exact linear-interpolated quantiles by counting leading digits, one method at every size."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse import session
+
 PARTS = 1024
 
 
@@ -19,67 +21,77 @@ def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, C
 def quantile_values(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float | None]]:
     """The quantiles of each column; None where a column has no value.
 
-    The first pass counts the values of all columns by sign and binary order of magnitude. Each
-    further pass cuts the one range that holds a wanted rank into 1024 equal parts and counts those,
-    for all columns and ranks at once, until the range is one value. Passes are bounded by the digits
-    of a double, not by the table; counts are summed within each task before the shuffle, and what
-    reaches the driver is at most 1024 counts for each range.
+    A selection by digits. The first pass counts the values of all columns by their leading digits: sign, binary
+    order of magnitude and ten more bits. A running sum over these counts finds the digits that hold a wanted
+    rank. The second pass reads just the values with these digits: where they fit one task they are counted
+    one by one, in order, otherwise by a finer cut of their range, and so on. Most tables need the two
+    passes. Counts are summed within each task before the shuffle, the running sums stay in the engine,
+    and the driver sees at most two rows for each column and quantile in a pass.
     """
     if not columns:
         return {}
-    cells = {c: F.col(c).cast("double") for c in columns}
-    counts = _counted(df, [F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.lit(i).alias("t"), v.alias("v"), _magnitude(v).alias("part")))
-                           for i, v in enumerate(cells.values())])
-    totals = {i: sum(n for _, n, _, _ in parts) for i, parts in counts.items()}
-    wanted = {(i, rank) for i, n in totals.items() for q in at for rank in _neighbours(n, q)}
+    limit = session.max_rows_per_task(df.sparkSession)
+    cells = [F.struct(F.lit(i).alias("t"), (F.col(c).cast("double") + F.lit(0.0)).alias("v")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = values.groupBy("t", _digits(F.col("v")).alias("place")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ordered, whole = Window.partitionBy("t").orderBy("place"), Window.partitionBy("t")
+    placed = counts.withColumns({
+        "below": F.sum("n").over(ordered) - F.col("n"), "total": F.sum("n").over(whole)})
+    last = F.col("total") - 1
+    ranks = F.array(*[fn(last * F.lit(float(q))).cast("long") for q in at for fn in (F.floor, F.ceil)])
+    hits = placed.filter(_holds(ranks)).collect()
+    totals = {r.t: r.total for r in hits}
     value: dict[tuple[int, int], float] = {}
-    # (column, range) -> ranks still looked for: (wanted rank, rank within the range)
-    ranges = _narrow({(i, None): [(r, r) for j, r in sorted(wanted) if j == i] for i in totals},
-                     {(i, None): parts for i, parts in counts.items()}, value)
-    names = list(cells)
-    while ranges:
-        keys = list(ranges)
-        counts = _counted(df, [_within(cells[names[i]], t, *bounds) for t, (i, bounds) in enumerate(keys)])
-        ranges = _narrow(ranges, {keys[t]: parts for t, parts in counts.items()}, value)
-    return {c: [_blend(value, i, totals.get(i, 0), q) for q in at] for i, c in enumerate(names)}
-
-
-def _magnitude(v: Column) -> Column:
-    """Order-preserving: sign and floor of the binary logarithm; an infinite value stands alone."""
-    size = F.floor(F.greatest(F.least(F.log2(F.abs(v)), F.lit(1025.0)), F.lit(-1100.0))) + 1101
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
-
-
-def _within(v: Column, t: int, low: float, high: float) -> Column:
-    low, high = F.lit(low), F.lit(high)
-    part = F.least(F.floor((v - low) / (high - low) * PARTS), F.lit(PARTS - 1)).cast("int")
-    return F.when((v >= low) & (v <= high), F.struct(F.lit(t).alias("t"), v.alias("v"), part.alias("part")))
-
-
-def _counted(df: DataFrame, cells: list[Column]) -> dict[int, list[tuple]]:
-    """For each target its parts in order: (part, rows, least, largest value)."""
-    rows = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("t", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
-    out: dict[int, list[tuple]] = {}
-    for r in sorted(rows, key=lambda r: (r.t, r.part)):
-        out.setdefault(r.t, []).append((r.part, r.n, r.low, r.high))
-    return out
-
-
-def _narrow(ranges: dict, counts: dict, value: dict) -> dict:
-    """Move every rank into the part that holds it; a part of one value settles its ranks."""
-    out: dict = {}
-    for key, ranks in ranges.items():
-        parts, at, below = counts[key], 0, 0
-        for wanted, rank in sorted(ranks, key=lambda r: r[1]):
-            while rank >= below + parts[at][1]:
-                below += parts[at][1]
-                at += 1
-            _, _, low, high = parts[at]
-            if low == high:
-                value[key[0], wanted] = low
-            else:
-                out.setdefault((key[0], (low, high)), []).append((wanted, rank - below))
+    open_ = []
+    for t, n in totals.items():
+        wanted = sorted({(rank, rank) for q in at for rank in _neighbours(n, q)})
+        open_ += _narrow(t, [r for r in hits if r.t == t], wanted, value)
+    while open_:
+        targets = [(k, t, low, high, n <= limit, [rank for _, rank in wanted])
+                   for k, (t, low, high, n, wanted) in enumerate(open_)]
+        table = df.sparkSession.createDataFrame(
+            targets, "k int, s int, low double, high double, small boolean, ranks array<long>")
+        # at most two ranges for each column and quantile
+        inside = values.join(F.broadcast(table), (F.col("t") == F.col("s")) & F.col("v").between(F.col("low"), F.col("high")))
+        cut = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * PARTS)
+        counts = inside.groupBy("k", F.when(F.col("small"), F.col("v")).otherwise(
+            F.least(cut, F.lit(PARTS - 1)).cast("double")).alias("place")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+            F.any_value("ranks").alias("ranks"))
+        placed = counts.withColumn("below", F.sum("n").over(Window.partitionBy("k").orderBy("place")) - F.col("n"))
+        hits = placed.filter(_holds(F.col("ranks"))).collect()
+        open_ = [part for k, (t, _, _, _, wanted) in enumerate(open_)
+                 for part in _narrow(t, [r for r in hits if r.k == k], wanted, value)]
+    return {c: [_blend(value, i, totals.get(i, 0), q) for q in at] for i, c in enumerate(columns)}
+
+
+def _digits(v: Column) -> Column:
+    """A whole number that never falls as v grows: sign, floor of the binary logarithm, and ten digits below it.
+
+    Near a power of two the logarithm may be rounded to either side; the digits are clamped to theirs then.
+    """
+    size = F.abs(v)
+    power = F.floor(F.greatest(F.least(F.log2(size), F.lit(1024.0)), F.lit(-1074.0)))
+    digits = F.floor((size / F.pow(F.lit(2.0), power) - 1) * PARTS)
+    place = (power + 1075) * PARTS + F.greatest(F.least(digits, F.lit(PARTS - 1)), F.lit(0)) + 1
+    place = F.when(size == float("inf"), F.lit(2101 * PARTS)).otherwise(place)
+    return F.when(v == 0, F.lit(0)).when(v > 0, place).otherwise(-place).cast("long")
+
+
+def _holds(ranks: Column) -> Column:
+    return F.exists(ranks, lambda rank: (rank >= F.col("below")) & (rank < F.col("below") + F.col("n")))
+
+
+def _narrow(t: int, hits: list, wanted: list[tuple[int, int]], value: dict) -> list[tuple]:
+    """Move each rank, (in the column, in the range), into the row that holds it; a row of one value settles its ranks."""
+    out = []
+    for r in hits:
+        own = [(first, rank - r.below) for first, rank in wanted if r.below <= rank < r.below + r.n]
+        if r.low == r.high:
+            value.update({(t, first): r.low for first, _ in own})
+        elif own:
+            out.append((t, r.low, r.high, r.n, own))
     return out
 
 

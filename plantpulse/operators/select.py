@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse import session
-from plantpulse.operators.order import READINGS, SeriesSpec, with_position
+from plantpulse.operators.order import READINGS, SeriesSpec, before, rows_at
 from plantpulse.operators.quantiles import quantiles
 from plantpulse.schema import CONTRACT_RANGES, LABEL_COLUMNS, TIME, flag, numeric_columns
 
@@ -27,14 +24,11 @@ def feature_projection(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFram
 
 def positional_slice(df: DataFrame, start: int, stop: int, columns: list[str],
                      spec: SeriesSpec = READINGS) -> DataFrame:
-    """Rows [start, stop) of the whole table in order; only sort columns decide the cut."""
+    """Rows [start, stop) of the whole table in order, between the sort keys found at its two ends."""
     if stop <= start:
         return df.select(*columns).limit(0)
-    here = F.struct(*spec.sort)
-    cut = with_position(df.select(*spec.sort), replace(spec, keys=()), "__at").filter(
-        F.col("__at").between(start, stop - 1))
-    ends = session.staged(cut.agg(F.min(here).alias("a"), F.max(here).alias("b")), "bounds")
-    return df.filter((here >= ends.select("a").scalar()) & (here <= ends.select("b").scalar())).select(*columns)
+    first, beyond = rows_at(df, spec, [start, stop])
+    return df.filter(~before(spec, first) & before(spec, beyond)).select(*columns)
 
 
 def range_contract(df: DataFrame, ranges: dict | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from plantpulse.plans.registry import (
     ALERTS_SQL, LOG_SQL, NEW_SQL, OLD_SQL, RUNS_SQL, query, r, rounded, sql,
 )
 from plantpulse.schema import SENSORS
-from plantpulse.sources import tables
+from plantpulse.sources import log, tables
 from plantpulse.streaming import jobs
 
 # what the scores mean is fixed by SQL: advice looks at the readings with gaps as zero
@@ -212,7 +212,9 @@ def prediction_log(spark, sf):
     path = session.new_folder(spark, "predictions")
     log = fx.prediction_log(spark, sf)
     rows = tables.prediction_records(log, ["reading_id", "T_Supply", "Power"], actual="actual")
-    tables.append_log(rows, path)
+    for hour in (0, 1):
+        for _ in range(2):  # a job that runs again adds nothing
+            tables.append_log(rows.filter(F.hour("ts") % 2 == hour), path, writer="scorer", batch=hour)
     return rounded(tables.read_log(spark, path).select(
         F.col("features")["reading_id"].cast("long").alias("reading_id"),
         F.col("features")["T_Supply"].alias("supply"), "prediction", "probability", "actual"))
@@ -295,7 +297,10 @@ def alert_summary(spark, sf):
   from pipeline_runs group by 1, 2""", RUNS_SQL))
 def pipeline_log(spark, sf):
     path = session.new_folder(spark, "runs")
-    tables.append_log(tables.run_records(fx.pipeline_runs(spark, sf), ["duration_seconds"]), path)
+    runs = tables.run_records(fx.pipeline_runs(spark, sf), ["duration_seconds"])
+    for name in ("training", "inference", "training"):
+        tables.append_log(runs.filter(F.col("pipeline") == name), path, writer=name, batch="2024")
+    log.compact(spark, path)
     back = tables.read_log(spark, path).groupBy("pipeline", "status").agg(
         F.count(F.lit(1)).alias("runs"), F.sum(F.col("metrics")["duration_seconds"]).alias("seconds"))
     return rounded(back, 3)
@@ -352,7 +357,8 @@ def stream_score(spark, sf):
                                     recursive=True))
 def stream_alert_cooldown(spark, sf):
     kept = jobs.stream_alert_cooldown(fx.alerts_of(event_stream(spark, sf)))
-    return jobs.run_available(kept, *_folders(spark, "stream_cooldown")).select("alert_id", "type", "at")
+    versions = jobs.run_versions(kept, *_folders(spark, "stream_cooldown"))
+    return jobs.emitted_alerts(versions).select("alert_id", "type", "at")
 
 
 @query("stream_profile", sql(f"""select date_trunc('hour', ts) as start, count(*) as rows, {r('avg(Power)', 'mean_power', 9)},
@@ -360,8 +366,7 @@ def stream_alert_cooldown(spark, sf):
   from sensor_readings group by 1"""))
 def stream_profile(spark, sf):
     profiled = jobs.stream_profile(fx.readings_of(event_stream(spark, sf)))
-    closed = jobs.run_available(profiled, *_folders(spark, "stream_profile"))
-    out = jobs.with_open_windows(closed, fx.sensor_readings(spark, sf))
+    out = jobs.latest(jobs.run_versions(profiled, *_folders(spark, "stream_profile")), ["start"])
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), mean_power=9, power_sum=4)
 
 
@@ -372,3 +377,24 @@ def stream_drift(spark, sf):
     _, new = fx.split_windows(fx.readings_of(event_stream(spark, sf)))
     out = jobs.stream_drift(new, reference, SENSORS, *_folders(spark, "stream_drift"), threshold=1.0)
     return rounded(out.drop("batch"))
+
+
+@query("stream_window_drift", sql(f"""select start, feature, {r(Z, 'z_score')}, {Z} > 1 as drifted,
+  {r('reference_mean', 'reference_mean')}, {r('new_mean', 'new_mean')},
+  count(*) filter ({Z} > 1) over (partition by start) as drifted_features, count(*) over (partition by start) as total_features
+  from (select * from (""" + "\nunion all\n".join(
+      f"select '{c}' as feature, avg({c}) as reference_mean, stddev_samp({c}) as reference_std from reference_window"
+      for c in SENSORS) + """) o join (""" + "\nunion all\n".join(
+      f"select date_trunc('day', ts) - interval (12 * h) hour as start, '{c}' as feature, avg({c}) as new_mean "
+      f"from (select *, 1 - 2 * (ts - date_trunc('day', ts) >= interval 12 hour)::int as h from new_window union all "
+      f"select *, 0 from new_window) group by 1" for c in SENSORS) + """) n using (feature)) where reference_std > 0""",
+    OLD_SQL, NEW_SQL))
+def stream_window_drift(spark, sf):
+    """Drift of every day, a new one each twelve hours, from moments in the stream's state."""
+    old, _ = fx.split_windows(fx.sensor_readings(spark, sf))
+    reference = session.staged(monitoring.drift_fit(old, SENSORS), "drift_reference")
+    _, new = fx.split_windows(fx.readings_of(event_stream(spark, sf)))
+    moments = jobs.stream_moments(new, SENSORS, "1 day", "12 hours")
+    state = jobs.latest(jobs.run_versions(moments, *_folders(spark, "window_drift")), ["start", "end"])
+    out = jobs.window_drift(state, reference, SENSORS, threshold=1.0)
+    return rounded(out.drop("end").withColumn("start", F.col("start").cast("timestamp_ntz")))

@@ -93,20 +93,27 @@ def preview(spark, sf):
     return rounded(select.preview(fx.sensor_readings(spark, sf), 100))
 
 
-@query("model_store")
+@query("model_store", """select * from (values ('forest', 'random_forest', 1e0, 10, true), ('tree', 'random_forest', 2e0, 3, false))
+  t(model_name, model_type, version, features, current) cross join (select count(*) as scored, count(distinct event_id) as readings from events)""")
 def model_store(spark, sf):
-    """Save two models, delete one, reload the current one and count its classes."""
+    """Registry rows after saves (one made twice), a newer version and a deletion, and the rows the current model scores."""
     store = ModelStore(spark, session.new_folder(spark, "models"))
     df = windows.impute_zero(windows.create_failure_labels(fx.sensor_readings(spark, sf)), SENSORS)
-    model = learning.train_classifier(df, SENSORS, "random_forest", "is_failure", trees=50)
-    store.save(model, "first", "random_forest", {}, SENSORS)
-    store.save(model, "second", "random_forest", {}, SENSORS)
-    store.delete("first")
+    small = learning.train_classifier(df, SENSORS[:3], "random_forest", "is_failure", trees=3, max_depth=3)
+    model = learning.train_classifier(df, SENSORS, "random_forest", "is_failure", trees=5, max_depth=5)
+    store.save(small, "gone", "random_forest", {"version": 0.0}, SENSORS[:3])
+    store.save(small, "tree", "random_forest", {"version": 1.0}, SENSORS[:3], run="a")
+    store.save(small, "tree", "random_forest", {"version": 2.0}, SENSORS[:3], run="b")
+    store.save(small, "tree", "random_forest", {"version": 3.0}, SENSORS[:3], run="b")
+    store.delete("gone")
+    store.save(model, "forest", "random_forest", {"version": 1.0}, SENSORS)
     again, names = store.load()
     scored = learning.score(df, again)
-    return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).select(
-        "prediction", "n", F.lit(store.current().model_name).alias("model_name"),
-        F.lit(len(names)).alias("features"))
+    counts = scored.agg(F.count(F.lit(1)).alias("scored"), F.countDistinct("reading_id").alias("readings"))
+    rows = store.models().select(
+        "model_name", "model_type", F.col("metrics")["version"].alias("version"), F.size("features").alias("features"),
+        (F.col("model_name") == store.current().model_name).alias("current"))
+    return rows.select("*", *[counts.select(c).scalar().alias(c) for c in counts.columns])
 
 
 # --- B: projections and filters -------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.sources.tables import exists
+from plantpulse.sources import log
 
 REGISTRY = ("model_name string, model_type string, path string, metrics map<string,double>, "
             "features array<string>, saved_at timestamp, event string")
@@ -28,11 +28,16 @@ class ModelStore:
         return f"{self.root}/registry"
 
     def save(self, model: PipelineModel, name: str, kind: str, metrics: dict[str, float],
-             features: list[str]) -> str:
-        """Each save has a folder of its own, so a reader of an older one keeps its files."""
-        path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
-        model.write().save(path)
-        self._record(name, kind, path, metrics, features, "saved")
+             features: list[str], run: str | None = None) -> str:
+        """Each save has a folder of its own, so a reader of an older one keeps its files.
+
+        With the name of a run the save is made once: repeated, it writes nothing and gives the same path.
+        """
+        run = run or uuid.uuid4().hex
+        path = f"{self.root}/models/{name}/{log.commit_name(name, run)}"
+        if not log.exists(self.spark, log.manifest(self.registry, log.commit_name(name, run))):
+            model.write().overwrite().save(path)
+            self._record(name, kind, path, metrics, features, "saved", run)
         return path
 
     def load(self, name: str | None = None) -> tuple[PipelineModel, list[str]]:
@@ -51,17 +56,17 @@ class ModelStore:
 
     def models(self) -> DataFrame:
         """Latest entry of each model that was not deleted since."""
-        if not exists(self.spark, self.registry):
+        if not log.live(self.spark, self.registry):
             return self.spark.createDataFrame([], REGISTRY).drop("event")
-        log = self.spark.read.schema(REGISTRY).parquet(self.registry)
-        latest = log.groupBy("model_name").agg(F.max_by(F.struct(*log.columns), F.struct("saved_at", "path")).alias("m"))
+        rows = log.read(self.spark, self.registry).drop("day")
+        latest = rows.groupBy("model_name").agg(F.max_by(F.struct(*rows.columns), F.struct("saved_at", "path")).alias("m"))
         return latest.select("m.*").filter(F.col("event") == "saved").drop("event")
 
     def current(self):
         return self.models().orderBy(F.desc("saved_at"), "model_name", "path").first()
 
-    def _record(self, name, kind, path, metrics, features, event) -> None:
+    def _record(self, name, kind, path, metrics, features, event, run=None) -> None:
         row = self.spark.createDataFrame(
             [(name, kind, path, metrics, features, None, event)], REGISTRY)
         row = row.withColumn("saved_at", F.current_timestamp())
-        row.write.mode("append").parquet(self.registry)
+        log.append(row, self.registry, "saved_at", name, run)

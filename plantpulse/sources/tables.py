@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantpulse.schema import TIME, nan_to_null, sensor_schema
+from plantpulse.sources import log
+from plantpulse.sources.log import exists
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ";",
@@ -94,11 +96,6 @@ class Stages:
         return f"{self.root}/processed/{self.name}.parquet"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-
-
 def staged_load(spark: SparkSession, stages: Stages, use_cached: bool = True, data_path: str | None = None,
                 schema: T.StructType | None = None) -> DataFrame:
     """Explicit path by suffix, else the interim table if it exists, else the raw file."""
@@ -116,13 +113,14 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def append_log(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Add records to an append-only table kept in one folder per day."""
-    write_parquet(df, path, ts, mode="append")
+def append_log(df: DataFrame, path: str, ts: str = "ts", writer: str | None = None,
+               batch: str | int | None = None) -> bool:
+    """Add records to an append-only table; a commit of a writer that is there already adds nothing."""
+    return log.append(df, path, ts, writer, batch)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return log.read(spark, path)
 
 
 def prediction_records(df: DataFrame, features: list[str], ts="ts", prediction="prediction",

@@ -5,9 +5,10 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 
-from plantpulse.operators import alerts, learning, quantiles, windows
+from plantpulse.operators import alerts, learning, order, quantiles, select, windows
 from plantpulse.operators.order import (
     READINGS, before, lay_out, rows_at, running_sums, with_position,
 )
@@ -17,6 +18,16 @@ from plantpulse.session import MAX_ROWS_CONF
 from tests.helpers import same
 
 ONE = replace(READINGS, keys=())
+
+
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 NAMES = ["T_Supply", "RH_Return", "Power", "Energy", "T_Return"]
 
 
@@ -118,24 +129,55 @@ def test_cooldown_blocks_equal_one_pass(spark, sf):
 
 
 @pytest.mark.parametrize("gap", [1, 3, 10, 45])
-def test_block_steps_follow_the_greedy_rule(gap):
+def test_block_leaves_follow_the_greedy_rule(gap):
     rng = np.random.default_rng(gap)
     for _ in range(50):
         values = np.sort(rng.integers(0, 200, rng.integers(1, 60)))
         whole = values[alerts.emitted(values, gap)]
-        entry, out = None, []
+        start, out = values[0], []
         for block in np.array_split(values, 5):
-            if not len(block):
-                continue
-            kept = alerts.emitted(block, gap, entry)
-            out += list(block[kept])
-            upto, leave = alerts.exits(block, gap)
-            k = 0 if entry is None else int(np.searchsorted(upto, entry))
-            if k < len(upto):
-                entry = int(leave[k])
+            at = int(np.searchsorted(block, start))
+            if at < len(block):
+                out += list(block[alerts.emitted(block, gap, start=at)])
+                start = alerts.leaves(block, gap)[at]
         assert out == list(whole)
 
 
+@pytest.mark.parametrize("spread, gap", [(1, 10_000), (10, 10_000), (1000, 10_000), (5, 37), (1, 1)])
+def test_cooldown_of_a_dense_key_in_small_blocks(spark, spread, gap):
+    """Thousands of alerts of one key, all within one cooldown or with many exits a block, ties, a missing key and time."""
+    rng = np.random.default_rng(spread)
+    hot = np.sort(rng.integers(0, 700 * spread, 700))
+    rows = [(i, "a", int(v)) for i, v in enumerate(hot)] + [(1000 + i, "b", i * 7) for i in range(15)] + [
+        (2000 + i, None, i) for i in range(90)] + [(3000, "a", None)]
+    df = spark.createDataFrame(rows, "alert_id long, type string, at long").withColumn("ts", F.timestamp_micros("at"))
+    plain = alerts.alert_cooldown(df, gap)
+    want = {int(hot[i]) for i in alerts.emitted(hot, gap)}
+    assert {r["at"] for r in plain.filter("type = 'a'").collect()} == want
+    same(alerts.alert_cooldown(df, gap, replace(alerts.ALERTS, max_rows=20)), plain)
+
+
+def test_groups_of_a_dense_key_stay_within_the_limit(spark, monkeypatch):
+    """All exits of all blocks differ; no frame that reaches Python has more rows than the limit."""
+    sizes = spark.sparkContext.accumulator(0)
+    largest = spark.sparkContext.accumulator(0, Most())
+    run, block = alerts.emitted, alerts.leaves
+
+    def watched(fn):
+        def call(values, *args, **more):
+            largest.add(len(values))
+            sizes.add(1)
+            return fn(values, *args, **more)
+        return call
+
+    monkeypatch.setattr(alerts, "emitted", watched(run))
+    monkeypatch.setattr(alerts, "leaves", watched(block))
+    df = spark.range(3000).select(F.col("id").alias("alert_id"), F.lit("a").alias("type"), F.timestamp_micros("id").alias("ts"))
+    kept = alerts.alert_cooldown(df, 10_000, replace(alerts.ALERTS, max_rows=20)).collect()
+    assert [r.alert_id for r in kept] == [0]
+    assert sizes.value >= 150 and largest.value <= 20
+
+
 def test_running_sums_over_blocks(spark):
     df = spark.range(500).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("v"))
     spark.conf.set(MAX_ROWS_CONF, "40")
@@ -153,6 +195,47 @@ def test_rows_at_and_before(readings):
     assert readings.filter(before(READINGS, beyond)).count() == readings.count()
 
 
+def test_a_selection_orders_few_rows(spark, monkeypatch):
+    """Positions over many rows, ties, missing times and both ends; only a small part of the keys is laid out."""
+    n = 40_000
+    df = spark.range(n).select(
+        F.col("id").alias("reading_id"), F.lit(1).alias("unit_id"),
+        F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(9_000)))).alias("ts"))
+    ordered = [tuple(r) for r in df.orderBy("ts", "reading_id").select("ts", "reading_id").collect()]
+    laid = []
+
+    def watched(frame, *args):
+        laid.append(frame.count())
+        return with_position(frame, *args)
+
+    monkeypatch.setattr(order, "with_position", watched)
+    at = [0, 1, 799, 800, 801, 12_345, 39_998, 39_999, 40_000, 99_999]
+    found = rows_at(df, READINGS, at)
+    got = [spark.range(1).select(b.alias("b")).first().b for b in found]
+    assert [None if b is None else tuple(b) for b in got] == [ordered[p] if p < n else None for p in at]
+    assert 0 < laid[0] < 0.1 * n
+    laid.clear()
+    got = {r.reading_id for r in select.positional_slice(df, 500, 30_000, ["reading_id"]).collect()}
+    assert got == {i for _, i in ordered[500:30_000]} and laid[0] < 0.1 * n
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(order, "BRACKET", -0.3)
+    df = spark.range(200).select(F.col("id").alias("reading_id"), F.timestamp_seconds(F.pmod(F.hash("id"), F.lit(90))).alias("ts"))
+    ordered = [r.reading_id for r in df.orderBy("ts", "reading_id").collect()]
+    for p, bound in zip((3, 150), rows_at(df, READINGS, [3, 150])):
+        assert spark.range(1).select(bound.alias("b")).first().b.reading_id == ordered[p]
+
+
+def test_text_keys_and_empty_tables_are_selected_too(spark):
+    df = spark.range(50).select(F.col("id").alias("reading_id"), F.md5(F.col("id").cast("string")).alias("ts"))
+    ordered = [r.reading_id for r in df.orderBy("ts").collect()]
+    bound = rows_at(df, READINGS, [20])[0]
+    assert spark.range(1).select(bound.alias("b")).first().b.reading_id == ordered[20]
+    empty = spark.createDataFrame([], "reading_id long, ts timestamp")
+    assert select.positional_slice(empty, 0, 5, ["reading_id"]).count() == 0
+
+
 @pytest.mark.parametrize("rows", [1, 3, 1000])
 @pytest.mark.parametrize("parts", [4, 1024])
 def test_quantiles_are_exact(spark, rows, parts, monkeypatch):
