@@ -46,14 +46,13 @@ def zscore_anomaly_detection(df: DataFrame, columns: list[str], threshold: float
 
 
 def iqr_anomaly_detection(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFrame:
-    q = F.col(STATS)
+    q = quantiles(df, columns, [0.25, 0.75])
 
     def outside(c: str) -> Column:
         spread = (q[c][1] - q[c][0]) * multiplier
         return flag((F.col(c) < q[c][0] - spread) | (F.col(c) > q[c][1] + spread))
 
-    out = with_stats(df, quantiles(df, columns, [0.25, 0.75]))
-    out = out.withColumns({f"{c}_is_anomaly_iqr": outside(c) for c in columns}).drop(STATS)
+    out = df.withColumns({f"{c}_is_anomaly_iqr": outside(c) for c in columns})
     return out.withColumn("iqr_anomaly_count", _count(columns, "_is_anomaly_iqr"))
 
 
@@ -148,8 +147,7 @@ def error_flags(df: DataFrame, error: str = "mse", threshold: float | None = Non
         out = df.withColumn("threshold", F.lit(float(threshold)))
     else:
         df = staged(df, "errors")  # every quantile pass reads the errors
-        out = with_stats(df, quantiles(df, [error], [0.95]))
-        out = out.withColumn("threshold", F.col(STATS)[error][0]).drop(STATS)
+        out = df.withColumn("threshold", quantiles(df, [error], [0.95])[error][0])
     return out.withColumn("is_anomaly", flag(F.col(error) > F.col("threshold")))
 
 

@@ -72,15 +72,15 @@ class OutlierBound:
 
 
 def remove_outliers_iqr(
-    df: DataFrame, columns: list[str] | None = None, multiplier: float = 1.5,
+    df: DataFrame, columns: list[str] | None = None, multiplier: float = 1.5, stored: bool = False,
 ) -> tuple[DataFrame, list[OutlierBound]]:
     """Drop IQR outliers column by column, quartiles always from the rows still alive.
 
-    Only bounds travel through the driver. The passes read the numeric columns, staged once; the
-    bounds become literal filters on the source.
+    Only bounds travel through the driver. The passes read the numeric columns, staged once unless the table is
+    `stored` already; the bounds become literal filters on the source.
     """
     names = columns or numeric_columns(df)
-    narrow = session.staged(df.select(*names), "numeric")
+    narrow = df.select(*names) if stored else session.staged(df.select(*names), "numeric")
     alive, out, bounds = narrow, df, []
     for name in names:
         low, high = quantile_values(alive, [name], [0.25, 0.75])[name]
@@ -129,5 +129,5 @@ def clean_readings(
         out = calendar_spine(out, step, spec.keys, spec.order)
     out = handle_missing_values(out, fill_method, names, spec)
     if remove_outliers:
-        out, _ = remove_outliers_iqr(session.staged(out, "filled"), names)
+        out, _ = remove_outliers_iqr(session.staged(out, "filled"), names, stored=True)
     return out

@@ -33,8 +33,7 @@ def time_split(df: DataFrame, features: list[str], label: str = LABEL, test_size
     Only the sort columns are positioned; the wide rows are split by comparison.
     """
     clean = df.na.drop(subset=[*features, label])
-    cut = int(clean.count() * (1 - test_size))
-    bound = rows_at(clean, spec, [cut])[0]
+    bound = rows_at(clean, spec, lambda n: [int(n * (1 - test_size))])[0]
     return clean.withColumn("split", F.when(before(spec, bound), "train").otherwise("test"))
 
 
@@ -82,11 +81,12 @@ def with_class_weight(df: DataFrame, label: str, scheme: str = "balanced", name:
 
 def fold_ids(df: DataFrame, n_splits: int = 5, spec: SeriesSpec = READINGS) -> DataFrame:
     """Block number per row: fold i validates block i and trains on every smaller one (0 = train only)."""
-    n = df.count()
-    block = n // (n_splits + 1)
-    if block == 0:
-        raise ValueError(f"{n} rows are too few for {n_splits} folds")
-    starts = [n - (n_splits - i) * block for i in range(n_splits)]
+    def starts(n: int) -> list[int]:
+        block = n // (n_splits + 1)
+        if block == 0:
+            raise ValueError(f"{n} rows are too few for {n_splits} folds")
+        return [n - (n_splits - i) * block for i in range(n_splits)]
+
     fold = F.lit(0)
     for i, bound in enumerate(rows_at(df, spec, starts)):
         fold = F.when(~before(spec, bound), F.lit(i + 1)).otherwise(fold)

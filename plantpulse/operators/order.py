@@ -218,9 +218,11 @@ def joined_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
 BRACKET, SKETCH = 0.0005, 10_000
 
 
-def rows_at(df: DataFrame, spec: SeriesSpec, positions: list[int]) -> list[Column]:
+def rows_at(df: DataFrame, spec: SeriesSpec, positions: list[int] | Callable[[int], list[int]]) -> list[Column]:
     """The sort key (a struct) at each position of the whole table; null past its end.
 
+    The positions may be given as a function of the number of rows.
+
     A selection, not a sort. The sort columns are staged; a quantile sketch of the leading one brackets each
     position, one pass counts the rows before and within each bracket, and only the rows within are put in
     order. A bracket that misses its position becomes the whole table. The keys never leave the engine, so
@@ -229,6 +231,7 @@ def rows_at(df: DataFrame, spec: SeriesSpec, positions: list[int]) -> list[Colum
     narrow = session.staged(df.select(*spec.sort), "keys")
     lead = F.col(spec.order)
     size = narrow.agg(F.count(F.lit(1)).alias("n"), F.count(lead).alias("known")).first()
+    positions = positions(size.n) if callable(positions) else positions
     missing = size.n - size.known
     everything = (F.lit(0).cast("long"), F.lit(True))
     brackets = [everything] * len(positions)

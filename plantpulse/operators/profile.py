@@ -205,35 +205,31 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, columns: list[str], whisker: float = 1.5) -> DataFrame:
     """Quartiles, the furthest points inside the whisker range, and the points beyond."""
-    fenced = _with_quartiles(df, columns)
+    quarter = quantiles(df, columns, [0.25, 0.5, 0.75])
 
     def within(c: str) -> Column:
-        q = F.col("__q")[c]
+        q = quarter[c]
         spread = (q[2] - q[0]) * whisker
         return F.when((F.col(c) >= q[0] - spread) & (F.col(c) <= q[2] + spread), F.col(c))
 
-    inside = fenced.withColumns({f"__in_{c}": within(c) for c in columns})
+    inside = df.withColumns({f"__in_{c}": within(c) for c in columns})
     return long_stats(inside, columns, {
-        "q25": lambda c: F.any_value(F.col("__q")[c][0]), "q50": lambda c: F.any_value(F.col("__q")[c][1]),
-        "q75": lambda c: F.any_value(F.col("__q")[c][2]),
+        "q25": lambda c: quarter[c][0], "q50": lambda c: quarter[c][1], "q75": lambda c: quarter[c][2],
         "whisker_low": lambda c: F.min(f"__in_{c}"), "whisker_high": lambda c: F.max(f"__in_{c}"),
         "outliers": lambda c: F.count(c) - F.count(f"__in_{c}"),
     }, "column")
 
 
-def _with_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    q = quantiles(df, columns, [0.25, 0.5, 0.75])
-    return df.withColumn("__q", df.agg(F.struct(*[e.alias(c) for c, e in q.items()]).alias("q")).scalar())
-
-
 def outlier_counts(df: DataFrame, columns: list[str], threshold: float = 1.5) -> DataFrame:
     """Independent IQR outliers per column, as count and share of all rows."""
+    quarter = quantiles(df, columns, [0.25, 0.75])
+
     def outside(c: str) -> Column:
-        q = F.col("__q")[c]
-        spread = (q[2] - q[0]) * threshold
-        return (F.col(c) < q[0] - spread) | (F.col(c) > q[2] + spread)
+        q = quarter[c]
+        spread = (q[1] - q[0]) * threshold
+        return (F.col(c) < q[0] - spread) | (F.col(c) > q[1] + spread)
 
-    return long_stats(_with_quartiles(df, columns), columns, {
+    return long_stats(df, columns, {
         "outliers": lambda c: F.count_if(outside(c)),
         "percentage": lambda c: F.try_divide(F.count_if(outside(c)) * 100.0, F.count(F.lit(1))),
     }, "column")

@@ -75,8 +75,7 @@ def align_schema(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantile_flag(df: DataFrame, column: str = "Power", q: float = 0.95, name: str = "is_anomaly") -> DataFrame:
-    limit = df.agg(quantiles(df, [column], [q])[column].alias("q")).select(F.col("q")[0]).scalar()
-    return df.withColumn(name, flag(F.col(column) > limit))
+    return df.withColumn(name, flag(F.col(column) > quantiles(df, [column], [q])[column][0]))
 
 
 def tail_n(df: DataFrame, n: int, spec: SeriesSpec = READINGS) -> DataFrame:

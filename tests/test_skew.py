@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from plantpulse.operators import alerts, learning, order, quantiles, select, windows
 from plantpulse.operators.order import (
@@ -261,6 +262,34 @@ def test_quantiles_skip_missing_values_and_take_infinite_ones(spark):
     assert quantiles.quantile_values(df.limit(0), ["a"], [0.5]) == {"a": [None]}
 
 
+def test_large_ranges_are_cut_and_little_reaches_the_driver(spark, monkeypatch):
+    """Ranges above the row limit are cut further; 120 columns bring a few rows each to the driver."""
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame({f"c{k}": rng.normal(1000 * k, 1.0 + k % 7, 400) for k in range(120)})
+    data["c0"] = 5.0 + rng.integers(0, 300, 400) * 1e-6
+    data["c1"] = 1.5e308 + rng.random(400) * 1e306
+    brought = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: brought.append(collect(df)) or brought[-1])
+    spark.conf.set(MAX_ROWS_CONF, "20")
+    try:
+        got = quantiles.quantile_values(spark.createDataFrame(data), list(data), [0.25, 0.5, 0.75])
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)
+    for c in data:
+        np.testing.assert_allclose(got[c], data[c].quantile([0.25, 0.5, 0.75]), rtol=1e-12)
+    assert len(brought) > 2 and max(map(len, brought)) <= 6 * 120
+
+
+def test_leading_digits_never_fall(spark):
+    rng = np.random.default_rng(4)
+    x = np.sort(np.concatenate([rng.normal(size=2000), 2.0 ** np.arange(-1070, 1023), -(2.0 ** np.arange(-1070, 1023)),
+                                np.nextafter(2.0 ** np.arange(-1000, 1000), 0), [5e-324, -5e-324, np.inf, -np.inf, 0.0]]))
+    df = spark.createDataFrame(pd.DataFrame({"v": x})).selectExpr("v", f"{quantiles.DIGITS} as d")
+    place = df.toPandas().sort_values("v")["d"].to_numpy()
+    assert (place[1:] >= place[:-1]).all()
+
+
 def test_undersample_and_auc_with_a_large_class(spark, readings):
     df = windows.create_failure_labels(readings)
     log = df.select((F.col("T_Outdoor") / 40).alias("probability"), "is_failure")
