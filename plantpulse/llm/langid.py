@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -43,26 +43,28 @@ SCRIPTS = {
     "georgian": [(0x10A0, 0x10FF)],
     "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
     "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
-    "han": [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)],
+    "han": [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x34000)],
 }
 OTHER = len(SCRIPTS)
 
 
 @dataclass(frozen=True)
 class Alphabet:
-    """Of the first plane: is it part of a word, its lower case, its script."""
+    """Of every code point up to the last letter: part of a word, a letter, its lower case, its script."""
 
+    word: np.ndarray
     letter: np.ndarray
     lower: np.ndarray
     script: np.ndarray
 
 
 def alphabet() -> Alphabet:
-    size = 1 << 16
-    letter, lower = np.zeros(size, bool), np.arange(size, dtype=np.uint32)
-    for c in range(size):
+    """The planes of letters; the last entry stands for all code points beyond and is none."""
+    size = 0x34001
+    word, letter, lower = np.zeros(size, bool), np.zeros(size, bool), np.arange(size, dtype=np.uint32)
+    for c in range(size - 1):
         kind = unicodedata.category(chr(c))
-        letter[c] = kind[0] in "LM"
+        word[c], letter[c] = kind[0] in "LM", kind[0] == "L"
         small = chr(c).lower() if kind == "Lu" else ""
         if len(small) == 1:
             lower[c] = ord(small)
@@ -70,33 +72,36 @@ def alphabet() -> Alphabet:
     for i, blocks in enumerate(SCRIPTS.values()):
         for first, last in blocks:
             script[first:last + 1] = i
-    return Alphabet(letter, lower, script)
+    return Alphabet(word, letter, lower, script)
 
 
 @dataclass(frozen=True)
 class Words:
-    """Lower-cased code points of several rows, and the borders, row and script of their words."""
+    """Lower-cased code points of several rows, and the borders, row, script and letters of their words."""
 
     points: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     row: np.ndarray
     script: np.ndarray
+    letters: np.ndarray
     offset: np.ndarray  # first code point of each row
 
 
 def words_of(texts: list[str], letters: Alphabet) -> Words:
     """Words are runs of letters and marks; everything else becomes a space."""
     points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le"), dtype="<u4")
-    low = np.minimum(points, 0xFFFF)
-    word = letters.letter[low] | (points >= 0x20000) & (points < 0x40000)
-    clean = np.where(word, np.where(points < 0x10000, letters.lower[low], points), 32).astype(np.uint32)
+    low = np.minimum(points, len(letters.word) - 1)
+    word = letters.word[low]
+    clean = np.where(word, letters.lower[low], 32).astype(np.uint32)
     change = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = change[::2], change[1::2]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     offset = np.cumsum(sizes + 1) - sizes
-    script = np.where(points[starts] < 0x10000, letters.script[low[starts]], list(SCRIPTS).index("han"))
-    return Words(clean, starts, ends, np.searchsorted(offset, starts, "right") - 1, script, offset)
+    sums = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(letters.letter[low], out=sums[1:])
+    row = np.searchsorted(offset, starts, "right") - 1
+    return Words(clean, starts, ends, row, letters.script[low[starts]], sums[ends] - sums[starts], offset)
 
 
 def buckets(points: np.ndarray, n: int) -> np.ndarray:
@@ -135,7 +140,7 @@ def _count(texts: list[str], letters: Alphabet) -> np.ndarray:
         np.subtract.at(inside, last, 1)
         at = np.flatnonzero(np.cumsum(inside)[:len(bucket)] > 0)
         out[i * BUCKETS:(i + 1) * BUCKETS] = np.bincount(bucket[at], minlength=BUCKETS)
-    out[-OTHER - 1:] = np.bincount(words.script, weights=words.ends - words.starts, minlength=OTHER + 1)
+    out[-OTHER - 1:] = np.bincount(words.script, weights=words.letters, minlength=OTHER + 1)
     return out
 
 
@@ -145,12 +150,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     At most about `sample` rows of each language are read, drawn by a hash of the id; the counts of
     the n-grams are summed within each task before the shuffle. What reaches the driver is one number
     for each language, size and bucket, whatever the size of the table. Rows without text or lang teach
-    nothing. Beyond 250 languages an error is raised.
+    nothing. The model holds the MAX_LANGUAGES languages with most rows, the first in order on a tie; the
+    rows of rarer ones are not learned from.
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"{len(totals)} languages; the model holds {MAX_LANGUAGES}")
+    totals = dict(sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:MAX_LANGUAGES])
     letters, languages = alphabet(), tuple(sorted(totals))
     width = len(SIZES) * BUCKETS + OTHER + 1
     if not languages:
@@ -264,11 +269,13 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     """doc_id, lang_pred, score and spans (start, end, lang; code points, end exclusive).
 
     lang_pred is the language of most letters, the first in order on a tie; score is its share of the
-    letters. Null and empty texts and texts without a letter give `und`, score 0 and no spans, as does a
+    letters (marks belong to words but are no letters). Null and empty texts and texts without a letter give `und`, score 0 and no spans, as does a
     model that has learned nothing. Whole texts are labelled. Repeated rows give one row each, a missing
     doc_id is kept, other columns are not read, an empty table gives no rows. One narrow pass.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: what is broadcast must hold no class that an executor cannot import
+    alphabet_of = tuple(getattr(model.letters, f.name) for f in fields(Alphabet))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.allowed, alphabet_of))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans_type = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
@@ -280,8 +287,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
         borders = np.searchsorted(words.row, np.arange(len(texts) + 1))
         labels = viterbi(word_scores(words, found), borders, switch)
         width = len(found.languages)
-        letters = np.bincount(words.row * width + labels, weights=words.ends - words.starts,
-                              minlength=len(texts) * width).reshape(len(texts), width)
+        letters = np.bincount(words.row * width + labels, weights=words.letters, minlength=len(texts) * width).reshape(len(texts), width)
         total, best = letters.sum(axis=1), letters.argmax(axis=1)
         names = np.array(found.languages, dtype=object)
         langs = np.where(total > 0, names[best], UNDETERMINED)
@@ -293,7 +299,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
         return list(langs), list(score), spans, np.bincount(row, minlength=len(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        languages, scores, allowed, arrays = shared.value
+        found = Model(languages, scores, allowed, Alphabet(*arrays))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             done = [label(texts[part], found) for part in _parts(texts)]

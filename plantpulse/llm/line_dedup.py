@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.llm.common import per_batch
+from plantpulse.llm.common import ids_are_keys, per_batch, with_uid
 from plantpulse.llm.words import Texts, mix, slices, word_hashes
 from plantpulse.session import staged
 
@@ -114,13 +114,27 @@ def removed_units(docs: DataFrame, mode: str = "sentence", min_words: int = MIN_
 
     Equal units anywhere in the corpus form a group; its earliest by (doc_id, start) stays, the others
     are returned with their original offsets. Where units overlap, each sentence of a returned one
-    still has an earlier copy that stays. Rows that share doc_id and text count as one document.
+    still has an earlier copy that stays. Rows that share doc_id and text count as one document; rows that share a
+    doc_id, or have none, but differ in text are different ones, in order of a digest of the text.
     Null and empty texts have no units, other columns are not read, an empty table gives no rows.
 
     Units are staged as numbers, so the text is read once. Groups are formed by partial aggregation,
     which leaves one row per digest and task however common a line is; only digests that occur more
     than once meet the units again, in a join whose large partitions can be split.
     """
+    if ids_are_keys(docs):
+        return _repeats(docs, mode, min_words)
+    known = with_uid(docs.select("doc_id", "text"))
+    found = _repeats(known.select(F.col("__uid").alias("doc_id"), "text"), mode, min_words)
+    ids = staged(known.select("__uid", F.col("doc_id").alias("__id")).distinct(), "ids")
+    for name in ("doc_id", "first_doc_id"):
+        own = ids.select(F.col("__uid").alias(name), F.col("__id").alias(f"__{name}"))
+        found = found.join(own, name).drop(name).withColumnRenamed(f"__{name}", name)
+    return found.select("doc_id", "start", "end", "words", "first_doc_id", "first_start")
+
+
+def _repeats(docs: DataFrame, mode: str, min_words: int) -> DataFrame:
+    """`removed_units` of documents whose doc_id tells them apart."""
     found = staged(units(docs, mode, min_words), "units")
     groups = found.groupBy("h1", "h2").agg(F.min(rank()).alias("__first"), F.count(F.lit(1)).alias("__n"))
     groups = groups.filter("__n > 1").select("h1", "h2", "__first")
@@ -132,13 +146,15 @@ def removed_units(docs: DataFrame, mode: str = "sentence", min_words: int = MIN_
 def dedup(docs: DataFrame, mode: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the repeats cut out of text, and `removed`: their original (start, end) spans.
 
-    Spans of one document are gathered in that document's row only. Rows without a repeat stay as they are.
+    Spans of one document, told by doc_id and text, are gathered in that document's rows only. Rows without a repeat stay
+    as they are.
     """
-    gone = removed_units(docs, mode, min_words).groupBy("doc_id").agg(
+    names, numbered = docs.columns, not ids_are_keys(docs)
+    docs = docs.withColumn("__uid", F.col("doc_id")) if not numbered else with_uid(docs)
+    gone = _repeats(docs.select(F.col("__uid").alias("doc_id"), "text"), mode, min_words).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    gone = gone.withColumnRenamed("doc_id", "__gone_id")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left")
-    names, text = docs.columns, docs.columns.index("text")
+    joined = docs.join(gone.withColumnRenamed("doc_id", "__gone_id"), F.col("__uid") == F.col("__gone_id"), "left")
+    text = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = list(batch.columns)

@@ -56,7 +56,6 @@ class WordTokens:
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.path, self.limit = path, limit
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         # the letters that stand for bytes, as the library writes them
@@ -72,9 +71,6 @@ class WordTokens:
                 self.bytes[chr(b).encode()[0]] = letters.pre_tokenize_str(chr(b))[0][0][0]
         self.word, self.part = Memo(self._word, limit), Memo(self._part, 2 * limit)
 
-    def __reduce__(self):
-        return WordTokens, (self.path, self.limit)
-
     def encoded(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
@@ -89,9 +85,10 @@ class WordTokens:
         letters = LETTERS.match(text)
         end = letters.end() if letters else 0
         head, tail = text[:end].lower(), text[end:]
-        # without digits, apostrophes and special tokens the marks are one part; the letters must be in
-        # normal form, within the first plane and free of the sigma, whose lower case depends on its place
-        simple = head.isalpha() and (not tail or tail.isascii() and not any(c.isalnum() or c in "'<" for c in tail))
+        # without digits, apostrophes, special tokens and control characters the marks are one part; the letters must be
+        # in normal form, within the first plane and free of the sigma, whose lower case depends on its place
+        simple = head.isalpha() and (not tail or tail.isascii() and tail.isprintable() and not any(
+            c.isalnum() or c in "'<" for c in tail))
         if simple and not head.isascii():
             simple = max(head) < "\ud000" and "σ" not in head and "ς" not in head and unicodedata.is_normalized(
                 "NFC", text[:end])
@@ -112,11 +109,14 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema, step = PIECES.format(id=id_type), 4 * capacity
-    # one object per worker process, so that its memory of words outlives a task
-    shared = docs.sparkSession.sparkContext.broadcast(WordTokens(tokenizer))
+    # a worker process keeps the broadcast dictionary, and so its memory of words, from task to task; it is sent
+    # empty, since what is broadcast must hold no class that an executor cannot import
+    shared = docs.sparkSession.sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        if tokenizer not in shared.value:
+            shared.value[tokenizer] = WordTokens(tokenizer)
+        tokens = shared.value[tokenizer]
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

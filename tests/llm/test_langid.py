@@ -77,3 +77,18 @@ def test_labels_do_not_depend_on_the_other_rows(model):
         found = langid.viterbi(langid.word_scores(words, model), borders)
         return [found[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])]
     assert labels(texts) == [labels([t])[0] for t in texts]
+
+
+def test_letters_of_all_planes_and_marks_alone(spark, model):
+    texts = [(1, "\U00010330\U00010331 \U00010332"), (2, "\U0001E900\U0001E901"), (3, "\u0301\u0302"), (4, "\u0301 \u0302 12"),
+             (5, "\U0001D400\U0001D401"), (6, "\U00020000"), (7, "\U0003134A"), (8, "\U000E0100 \U0010FFFF")]
+    out = {r.doc_id: r for r in langid.identify(docs(spark, texts), model).collect()}
+    assert all(out[k].lang_pred in model.languages and out[k].score > 0 for k in (1, 2, 5, 6, 7))
+    assert all((out[k].lang_pred, out[k].score) == ("und", 0.0) for k in (3, 4, 8))
+
+
+def test_more_languages_than_the_model_holds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = [(k, f"wort{k % 6} text", f"l{k % 6}") for k in range(60)] + [(100 + k, "zwei", "l5") for k in range(5)]
+    learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned.languages == ("l0", "l1", "l5")

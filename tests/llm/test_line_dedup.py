@@ -111,6 +111,24 @@ def test_passages_leave_one_copy_of_each_sentence(spark):
     assert {key for _, text in PASSAGES for _, _, key in brute_units(text, "sentence", 1)} <= left
 
 
+@pytest.mark.parametrize("mode", ["sentence", line_dedup.PASSAGE])
+def test_rows_that_share_or_lack_an_id_keep_their_own_text(spark, mode):
+    line = "one two three four five six seven eight nine."
+    own = [f"private sentence {k} of this row alone with some words more {k}." for k in range(5)]
+    texts = [(None, f"{line} {own[0]}"), (None, f"{own[1]} {line}"), (None, own[2]), (7, f"{line} {own[3]}"),
+             (7, f"{line} {own[4]}"), (8, own[2] + " x")]
+    out = [r.text for r in line_dedup.dedup(docs(spark, texts), mode).collect()]
+    assert len(out) == len(texts)
+    assert sum(t.count(line) for t in out) == 1
+    for k in (0, 1, 3, 4):
+        assert sum(own[k] in t for t in out) == 1
+    assert sum(own[2] in t for t in out) == 1
+    gone = line_dedup.removed_units(docs(spark, texts), mode).collect()
+    assert {r.first_doc_id for r in gone} == {7, 8}
+    if mode == "sentence":  # the line stays in one of the rows of 7
+        assert sorted((r.doc_id for r in gone if r.words == 9), key=repr) == [7, None, None]
+
+
 def test_other_mode_is_refused(spark):
     with pytest.raises(ValueError):
         line_dedup.units(docs(spark, TEXTS), "page")

@@ -56,3 +56,17 @@ def test_empty_tables(spark):
     assert mixing.mixed_documents(docs(spark, [])).count() == 0
     none = mixing.mix(docs(spark, [(1, None), (2, " ")])).collect()
     assert [(r.target, r.taken) for r in none] == [(0.0, 0), (0.0, 0)]
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k])
+@pytest.mark.parametrize("texts", [lambda k: "w " * 50, lambda k: f"{k} " * 50])
+def test_missing_and_repeated_ids_come_near_the_target(spark, ids, texts):
+    rows = [(ids(k), texts(k), "a", None) for k in range(400)] + [(1000 + k, "w " * 50, "b", None) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix(df, (1, 2)).collect()
+    for source in ("a", "b"):
+        own = [r for r in out if r.source == source]
+        assert len(own) == 400
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.12)
+    mixed = mixing.mixed_documents(df, (1, 2))
+    assert mixed.filter("source = 'a'").count() == sum(r.copies for r in out if r.source == "a")

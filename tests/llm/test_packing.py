@@ -40,6 +40,16 @@ def test_word_by_word_ids_are_the_tokenizers():
         assert np.frombuffer(tokens.ids(text), "<u4").tolist() == ids, text
 
 
+def test_control_characters_and_all_first_code_points_after_letters():
+    tokens = WordTokens(word_tokenizer())
+    rng = random.Random(3)
+    texts = [f"{word}{chr(c)}{end}" for c in range(256) for word in ("abc", "É", "a") for end in ("", "!", "b")]
+    texts += ["".join(rng.choice("abcÄ .,!\x00\x01\x1b\x1c\x1f\x7f\x85 9'") for _ in range(30)) for _ in range(2000)]
+    for text in texts:
+        ids = tokens.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == ids, repr(text)
+
+
 @pytest.mark.parametrize("most", [1, 3, 1000])
 def test_open_bins_are_best_fit_with_a_bound(most):
     rng, bins, naive, made = random.Random(most), OpenBins(100, most), {}, 0

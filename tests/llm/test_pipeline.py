@@ -43,7 +43,16 @@ def test_one_of_each_group_stays(spark):
     same = prose(1, 80)
     df = docs(spark, [(3, same), (2, same), (2, same), (5, same + " tail"), (7, ""), (8, None), (None, same), (9, prose(2, 80))])
     out = pipeline.near_duplicates(spark, df, "")
-    assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([2, 7, 8, 9, None], key=repr)
+    assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([2, 7, 8, 9], key=repr)
+
+
+def test_ids_that_repeat_or_lack_do_not_keep_near_copies(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (2, a + " tail"), (2, b), (None, c), (None, c + " tail"), (None, b + " end"), (4, "")]
+    out = pipeline.near_duplicates(spark, docs(spark, rows), "").collect()
+    left = sorted(((r.doc_id, r.text) for r in out), key=repr)
+    assert len(left) == 4 and (1, a) in left and (2, b) in left and (4, "") in left
+    assert sum(i is None and t.startswith(c) for i, t in left) == 1
 
 
 def test_empty_table(spark):
