@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantpulse.llm.common import ids_are_keys, with_uid
 from plantpulse.llm.jaccard import jaccard_join
 from plantpulse.llm.mixing import mixed_documents
 from plantpulse.llm.packing import pack_documents
@@ -24,21 +25,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8).
+    """One document of each group of near copies (five words, 0.8): that of the smallest doc_id, then text digest.
 
-    Documents without words are no copies of each other and stay, as do rows without a doc_id. Rows that
-    repeat doc_id and text are one document.
+    Rows that repeat doc_id and text are one document; rows that share a doc_id, or have none, but differ in text are
+    different ones. Documents without words are no copies of each other and stay.
     """
-    found = jaccard_join(docs).filter(F.col("doc_id").isNotNull())
-    ids = staged(found.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count(F.lit(1)).alias("__n")), "ids")
-    # the documents that go are far fewer than those that stay
-    gone = staged(ids.filter("not __stays").select("__id"), "gone")
-    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    if ids.filter("__n > 1 and __stays").limit(1).count():
-        named = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
-        out = named.unionByName(out.filter(F.col("doc_id").isNull()))
-    return out
+    if ids_are_keys(docs):
+        found = jaccard_join(docs)
+        # the documents that go are far fewer than those that stay
+        gone = staged(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")), "gone")
+        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    known = staged(with_uid(docs).dropDuplicates(["__uid"]), "numbered")
+    found = jaccard_join(known.select(F.col("__uid").alias("doc_id"), "text"))
+    gone = staged(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")), "gone")
+    return known.join(gone, F.col("__uid") == F.col("__id"), "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
