@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.grading import class_name, recommendations, severity_of_probability
+from plantpulse.operators.boosting import LeafwiseClassifier
 from plantpulse.operators.order import (
     READINGS, SeriesSpec, before, lay_out, rows_at, running_sums, with_row_number,
 )
@@ -112,14 +113,21 @@ def boosted_trees(label: str = LABEL, rounds: int = 100, max_depth: int = 6, rat
     return GBTClassifier(**settings)
 
 
+def leafwise_trees(label: str = LABEL, rounds: int = 100, leaves: int = 31, rate: float = 0.1, **params) -> Estimator:
+    return LeafwiseClassifier(labelCol=label, weightCol="weight", rounds=rounds, leaves=leaves, rate=rate, **params)
+
+
 # estimator and class weights of each kind of model
-KINDS = {"random_forest": (random_forest, "balanced"), "lightgbm": (boosted_trees, "balanced"),
+KINDS = {"random_forest": (random_forest, "balanced"), "lightgbm": (leafwise_trees, "balanced"),
          "xgboost": (boosted_trees, "positive")}
 
 
 def train_classifier(df: DataFrame, features: list[str], kind: str = "random_forest", label: str = LABEL,
                      **params) -> Model:
-    """`random_forest` and `lightgbm` weigh classes evenly, `xgboost` scales the positive class."""
+    """`random_forest` and `lightgbm` weigh classes evenly, `xgboost` scales the positive class.
+
+    `lightgbm` grows its trees leaf by leaf, `xgboost` level by level.
+    """
     make, scheme = KINDS[kind]
     data = with_class_weight(df.select(*features, label), label, scheme)
     return assembled(features, make(label, **params)).fit(data)
@@ -129,7 +137,7 @@ def train_ensemble(df: DataFrame, features: list[str], makers: dict[str, Callabl
                    label: str = LABEL, schemes: dict[str, str] | None = None) -> dict[str, Model]:
     """Fit several models, each with its own class weights; one that fails is skipped with a warning."""
     makers = makers or {"rf": lambda: random_forest(label), "xgb": lambda: boosted_trees(label),
-                        "lgb": lambda: boosted_trees(label, seed=43)}
+                        "lgb": lambda: leafwise_trees(label)}
     schemes = schemes or {"xgb": "positive"}
     out = {}
     for name, make in makers.items():

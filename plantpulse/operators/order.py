@@ -134,6 +134,12 @@ def over_rows(
     """Add window columns whose frames reach at most `back` rows back and `ahead` rows on."""
     if not series.blocked:
         return series.put(in_groups(series.df, build(series.window())))
+    done = in_groups(copied_blocks(series, back, ahead), build(series.window(BLOCK)))
+    return series.put(done.filter(OWN).drop(BLOCK, OWN))
+
+
+def copied_blocks(series: Series, back: int, ahead: int = 0) -> DataFrame:
+    """The rows of a blocked series with their block, and copies (OWN false) of those that frames of other blocks reach."""
     size = max(series.limit, 4 * (back + ahead), 1)
     block = F.floor(F.col(POS) / size)
     offset = F.col(POS) - block * size
@@ -143,9 +149,7 @@ def over_rows(
         copies.append(F.when(offset >= size - back, F.struct((home + 1).alias(BLOCK), F.lit(False).alias(OWN))))
     if ahead:
         copies.append(F.when(offset < ahead, F.struct((home - 1).alias(BLOCK), F.lit(False).alias(OWN))))
-    spread = series.df.select("*", F.inline(F.array_compact(F.array(*copies))))
-    done = in_groups(spread, build(series.window(BLOCK)))
-    return series.put(done.filter(OWN).drop(BLOCK, OWN))
+    return series.df.select("*", F.inline(F.array_compact(F.array(*copies))))
 
 
 # more functions than this in one window make its generated code too long to be compiled

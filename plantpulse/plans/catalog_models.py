@@ -28,7 +28,8 @@ ADVICE_SQL = """concat_ws(' | ',
 
 # Fixed value: size of the forest of the batch job.
 TREES = 50
-FEATURES = ["T_Supply", "T_Return", "T_Outdoor", "RH_Return", "Power"]
+# trees of the leaf-wise learner in the queries
+ROUNDS = 20
 LABELLED_SQL = """labelled as (select *, cast(failure_window > 0 as int) as failure_imminent from (
   select *, sum(is_failure) over (partition by unit_id order by ts, reading_id
     rows between 23 preceding and current row) as failure_window
@@ -47,12 +48,12 @@ def training(spark, sf):
 
 # --- J: training sets -----------------------------------------------------------
 
-@query("time_split", sql("""select reading_id, failure_imminent,
+@query("time_split", sql(f"""select reading_id, failure_imminent,
   case when i < floor(n * (1 - 0.2)) then 'train' else 'test' end as split
   from (select *, row_number() over (order by ts, reading_id) - 1 as i, count(*) over () as n from labelled
-        where T_Supply is not null and RH_Return is not null)""", LABELLED_SQL))
+        where {' and '.join(f'{c} is not null' for c in SENSORS)})""", LABELLED_SQL))
 def time_split(spark, sf):
-    return learning.time_split(labelled(spark, sf), FEATURES).select("reading_id", "failure_imminent", "split")
+    return learning.time_split(labelled(spark, sf), SENSORS).select("reading_id", "failure_imminent", "split")
 
 
 @query("undersample", sql("""select reading_id, is_failure from (select *,
@@ -82,11 +83,14 @@ def rf_classifier(spark, sf):
 
 @query("gbt_classifier")
 def gbt_classifier(spark, sf):
-    """Test scores of boosted trees with the positive class scaled."""
-    df = training(spark, sf)
-    model = learning.train_classifier(df.filter("split = 'train'"), SENSORS, "xgboost")
-    scored = learning.score(df.filter("split = 'test'"), model)
-    return rounded(learning.classifier_metrics(scored, "failure_imminent"))
+    """Test scores of both kinds of boosted trees: level-wise with the positive class scaled, and leaf-wise."""
+    df, out = training(spark, sf), None
+    for kind, params in (("xgboost", {}), ("lightgbm", {"rounds": ROUNDS})):
+        model = learning.train_classifier(df.filter("split = 'train'"), SENSORS, kind, **params)
+        scored = learning.score(df.filter("split = 'test'"), model)
+        rows = learning.classifier_metrics(scored, "failure_imminent").withColumn("model", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out)
 
 
 def _metrics_sql() -> str:
@@ -139,7 +143,8 @@ def ts_cross_validate(spark, sf):
 def train_ensemble(spark, sf):
     """Test AUC of each of the three models of the ensemble."""
     df = training(spark, sf)
-    models = learning.train_ensemble(df.filter("split = 'train'"), SENSORS)
+    models = learning.train_ensemble(df.filter("split = 'train'"), SENSORS, {
+        "rf": learning.random_forest, "xgb": learning.boosted_trees, "lgb": lambda: learning.leafwise_trees(rounds=ROUNDS)})
     out, test = None, df.filter("split = 'test'")
     for name, model in models.items():
         scored = learning.score(test, model)
@@ -177,7 +182,22 @@ def linear_baseline(spark, sf):
     return rounded(out, slope=8, intercept=8, r2_score=9)
 
 
-@query("demand_predict")
+# normal equations of three centred inputs, solved by determinants
+SOLVED_SQL = """moments as (select avg(T_Supply) as ma, avg(T_Outdoor) as mb, avg(RH_Return) as mc, avg(Power) as my,
+  var_pop(T_Supply) as aa, var_pop(T_Outdoor) as bb, var_pop(RH_Return) as cc, covar_pop(T_Supply, T_Outdoor) as ab,
+  covar_pop(T_Supply, RH_Return) as ac, covar_pop(T_Outdoor, RH_Return) as bc, covar_pop(T_Supply, Power) as ay,
+  covar_pop(T_Outdoor, Power) as by_, covar_pop(RH_Return, Power) as cy
+  from sensor_readings where T_Supply is not null and T_Outdoor is not null and RH_Return is not null and Power is not null),
+solved as (select ma, mb, mc, my,
+  (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det as ka,
+  (aa * (by_ * cc - cy * bc) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det as kb,
+  (aa * (bb * cy - bc * by_) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det as kc
+  from (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det from moments))"""
+PREDICTED = ("my + ka * (coalesce(T_Supply, 0) - ma) + kb * (coalesce(T_Outdoor, 0) - mb) "
+             "+ kc * (coalesce(RH_Return, 0) - mc)")
+
+
+@query("demand_predict", sql(f"select reading_id, {r(PREDICTED, 'predicted_power')} from sensor_readings, solved", SOLVED_SQL))
 def demand_predict(spark, sf):
     """Predicted power of every reading from a fit on several sensors."""
     df, inputs = base(spark, sf, *SENSORS), ["T_Supply", "T_Outdoor", "RH_Return"]
@@ -199,7 +219,7 @@ def training_history(spark, sf):
     """One row per trained model, appended to a history table and read back."""
     path = session.new_folder(spark, "history")
     history = learning.timed_training(
-        training(spark, sf), SENSORS, {"random_forest": {"trees": TREES}, "lightgbm": {}})
+        training(spark, sf), SENSORS, {"random_forest": {"trees": TREES}, "lightgbm": {"rounds": ROUNDS}})
     tables.append_log(history, path, ts="trained_at")
     return rounded(tables.read_log(spark, path).select("model_name", "model_type", "accuracy", "roc_auc", "features"))
 

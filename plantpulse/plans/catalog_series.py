@@ -12,7 +12,6 @@ from plantpulse.plans.features import engineer_features
 from plantpulse.plans.registry import ALERTS_SQL, ORDERED_SQL, RUNS_SQL, query, r, rounded, sql
 from plantpulse.schema import SENSORS
 
-PAIR = ["T_Supply", "Power"]
 W = "partition by unit_id order by ts, reading_id"
 FIVE = ["T_Supply", "T_Return", "T_Saturation", "T_Outdoor", "Power"]
 
@@ -36,26 +35,26 @@ def _rolling(c: str) -> list[str]:
     return out
 
 
-@query("rolling_stats", sql("select reading_id, " + ", ".join(x for c in PAIR for x in _rolling(c)) + " from sensor_readings"))
+@query("rolling_stats", sql("select reading_id, " + ", ".join(x for c in SENSORS for x in _rolling(c)) + " from sensor_readings"))
 def rolling_stats(spark, sf):
-    out = windows.add_rolling_features(base(spark, sf, *PAIR), PAIR)
-    means = {f"roll_{c}_mean_{n}": 10 for c in PAIR for n in (4, 24, 96)}
-    return rounded(trim(out).drop(*PAIR), **means)
+    out = windows.add_rolling_features(base(spark, sf, *SENSORS), SENSORS)
+    means = {f"roll_{c}_mean_{n}": 8 if c == "Energy" else 10 for c in SENSORS for n in (4, 24, 96)}
+    return rounded(trim(out).drop(*SENSORS), **means)
 
 
 @query("lag_features", sql("select reading_id, " + ", ".join(
-    r(f"lag({c}, {n}) over ({W})", f"lag_{c}_{n}") for c in PAIR for n in (4, 24, 96)) + " from sensor_readings"))
+    r(f"lag({c}, {n}) over ({W})", f"lag_{c}_{n}") for c in SENSORS for n in (4, 24, 96)) + " from sensor_readings"))
 def lag_features(spark, sf):
-    out = windows.add_lag_features(base(spark, sf, *PAIR), PAIR)
-    return rounded(out.select("reading_id", *[f"lag_{c}_{n}" for c in PAIR for n in (4, 24, 96)]))
+    out = windows.add_lag_features(base(spark, sf, *SENSORS), SENSORS)
+    return rounded(out.select("reading_id", *[f"lag_{c}_{n}" for c in SENSORS for n in (4, 24, 96)]))
 
 
 @query("lag_diff", sql("select reading_id, " + ", ".join(
-    r(f"{c} - lag({c}, {n}) over ({W})", f"lag_{c}_diff_{n}") for c in PAIR for n in (4, 24, 96))
+    r(f"{c} - lag({c}, {n}) over ({W})", f"lag_{c}_diff_{n}") for c in SENSORS for n in (4, 24, 96))
     + " from sensor_readings"))
 def lag_diff(spark, sf):
-    out = windows.add_lag_features(base(spark, sf, *PAIR), PAIR)
-    return rounded(out.select("reading_id", *[f"lag_{c}_diff_{n}" for c in PAIR for n in (4, 24, 96)]))
+    out = windows.add_lag_features(base(spark, sf, *SENSORS), SENSORS)
+    return rounded(out.select("reading_id", *[f"lag_{c}_diff_{n}" for c in SENSORS for n in (4, 24, 96)]))
 
 
 def _ema_sql(c: str) -> str:
@@ -75,17 +74,16 @@ def _ema_sql(c: str) -> str:
 
 
 @query("ema", sql("select a.reading_id, " + ", ".join(
-    r(f"{t}.y{s}", f"ema_{c}_{s}", 8) for t, c in (("a", "T_Supply"), ("b", "Power")) for s in (12, 24, 48))
-    + " from ema_T_Supply a join ema_Power b using (reading_id)",
-    ORDERED_SQL, _ema_sql("T_Supply"), _ema_sql("Power"), recursive=True))
+    r(f"ema_{c}.y{s}", f"ema_{c}_{s}", 8) for c in SENSORS for s in (12, 24, 48))
+    + f" from ordered a {' '.join(f'join ema_{c} using (reading_id)' for c in SENSORS)}",
+    ORDERED_SQL, *[_ema_sql(c) for c in SENSORS], recursive=True))
 def ema(spark, sf):
-    out = windows.add_ema_features(base(spark, sf, *PAIR), PAIR)
-    return rounded(trim(out).drop(*PAIR), 8)
+    out = windows.add_ema_features(base(spark, sf, *SENSORS), SENSORS)
+    return rounded(trim(out).drop(*SENSORS), 8)
 
 
-ROC = ["T_Supply", "T_Return"]
 FILLED_SQL = "filled as (select reading_id, unit_id, ts, " + ", ".join(
-    f"last_value({c} ignore nulls) over ({W} rows unbounded preceding) as {c}" for c in ROC) + " from sensor_readings)"
+    f"last_value({c} ignore nulls) over ({W} rows unbounded preceding) as {c}" for c in SENSORS) + " from sensor_readings)"
 
 
 def _roc(c: str, n: int) -> str:
@@ -94,11 +92,11 @@ def _roc(c: str, n: int) -> str:
             f"cast('-inf' as double) end else round({c} / nullif({then}, 0) - 1, 8) + 0e0 end as roc_{c}_{n}")
 
 
-@query("rate_of_change", sql("select reading_id, " + ", ".join(_roc(c, n) for c in ROC for n in (4, 24))
+@query("rate_of_change", sql("select reading_id, " + ", ".join(_roc(c, n) for c in SENSORS for n in (4, 24))
                              + " from filled", FILLED_SQL))
 def rate_of_change(spark, sf):
-    out = windows.add_rate_of_change(base(spark, sf, *ROC), ROC)
-    return rounded(trim(out).drop(*ROC), 8)
+    out = windows.add_rate_of_change(base(spark, sf, *SENSORS), SENSORS)
+    return rounded(trim(out).drop(*SENSORS), 8)
 
 
 def _ma(n: int) -> str:
@@ -175,11 +173,10 @@ def _mw(c: str, k: float) -> str:
     return (f"cast(coalesce(abs({c} - avg({c}) {NEAR}) > {k}::double * stddev_samp({c}) {NEAR}, false) as int)")
 
 
-@query("moving_threshold", sql(f"""select *, T_Supply_is_anomaly_mw + Power_is_anomaly_mw as mw_anomaly_count
-  from (select reading_id, {_mw('T_Supply', 2.0)} as T_Supply_is_anomaly_mw, {_mw('Power', 2.0)} as Power_is_anomaly_mw
-  from sensor_readings)"""))
+@query("moving_threshold", sql(f"""select *, {' + '.join(f'{c}_is_anomaly_mw' for c in SENSORS)} as mw_anomaly_count
+  from (select reading_id, {', '.join(f'{_mw(c, 2.0)} as {c}_is_anomaly_mw' for c in SENSORS)} from sensor_readings)"""))
 def moving_threshold(spark, sf):
-    return trim(windows.moving_window_threshold(base(spark, sf, *PAIR), PAIR, 24, 2.0)).drop(*PAIR)
+    return trim(windows.moving_window_threshold(base(spark, sf, *SENSORS), SENSORS, 24, 2.0)).drop(*SENSORS)
 
 
 @query("consumption_anomaly", sql(f"""select reading_id, {r('m', 'power_rolling_mean', 10)}, {r('s', 'power_rolling_std')},

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 
 from plantpulse.functions.calendar import add_time_features
 from plantpulse.functions.thermal import thermal_domain
-from plantpulse.operators.order import READINGS, SeriesSpec, lay_out, over_rows
-from plantpulse.operators.windows import (
-    LAGS, PERIODS, SPANS, WINDOWS, counter_exprs, crossover_exprs, ema, lag_exprs, rate_of_change,
-    rolling_exprs, run_lengths,
-)
+from plantpulse.operators.bounded import Plan, bounded_features
+from plantpulse.operators.order import READINGS, SeriesSpec, lay_out
+from plantpulse.operators.windows import LAGS, PERIODS, SPANS, WINDOWS, ema, run_lengths
 from plantpulse.schema import numeric_columns
 
 
@@ -22,21 +20,16 @@ def engineer_features(
 
     The numeric list is taken after the calendar columns were added, so those
     are windowed too. Averages go first, while rows are narrow; all bounded
-    frames then share one window over one shuffle.
+    frames then share one ordered pass in Arrow batches over one shuffle.
     """
     timed = add_time_features(df, spec.order)
     names = numeric_cols or numeric_columns(timed, exclude=[*spec.keys, *spec.sort])
-    crossed = names[:3]
-    bounded = [rolling_exprs(names, windows), lag_exprs(names, lags)]
-    bounded += [crossover_exprs(c) for c in crossed]
-    if "Energy" in timed.columns:
-        bounded.append(counter_exprs())
     series = ema(lay_out(timed, spec, heavy=True), names, spans)
-    series = rate_of_change(series, names, periods)
     if "Power" in timed.columns:
         series = run_lengths(series)
-    reach = max([*windows, *lags, 24])
-    series = over_rows(series, lambda w: {k: e for make in bounded for k, e in make(w).items()}, back=reach)
+    series = bounded_features(series, Plan(
+        tuple(names), tuple(windows), tuple(lags), tuple(periods), crossed=tuple(names[:3]),
+        counter="Energy" if "Energy" in timed.columns else None))
     out = series.frame().withColumns(thermal_domain(timed.columns))
     return out.select(*_in_order(timed.columns, out.columns))
 
