@@ -97,15 +97,22 @@ def _strong(tag: Column) -> Column:
 def records_of(pages: DataFrame) -> DataFrame:
     """Crawl records that follow from a table of pages (page_id, url, html).
 
-    Every page was fetched in full at minute page_id, and asked for again a day after the last page, in
-    the same order. The second answer was "not modified" and carries the etag of the page asked for, as a
-    weak one. It is left out for every 7th page, and for every 11th the server names another one.
+    Every page was fetched in full at minute 2 * page_id and asked for once more: a minute before that fetch, a minute
+    after it, or a quarter of the table's span of ids later, as page_id modulo 3 is 0, 1 or 2. So revisits
+    lie before, between and after the fetches of their URL, and meet the fetch of another page, or none.
+    The second answer was "not modified". It carries the etag of the page asked for, as a weak one; it is left out
+    for every 7th page, and for every 11th the server names another one. Every 5th page has a last-modified
+    value, shared by runs of 40 ids, in both answers. A missing page_id gives records without id and time.
     """
-    start, day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.lit(10_000_000)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    span = pages.agg(F.max("page_id") - F.min("page_id")).first()[0] or 0
+    later = F.lit(2 * (span // 4))
+    step = F.when(F.col("page_id") % 3 == 0, -1).when(F.col("page_id") % 3 == 1, 1).otherwise(later + 1)
 
     def at(minute: Column) -> Column:
-        return start + F.make_dt_interval(mins=minute)
+        day = F.floor(minute / 1440)
+        return start + F.make_dt_interval(days=day.cast("int"), mins=(minute - day * 1440).cast("int"))
 
     common = {"content-type": F.lit("text/html"), "server": F.lit("crawl")}
 
@@ -115,17 +122,20 @@ def records_of(pages: DataFrame) -> DataFrame:
             F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in pairs.items()]),
             lambda e: e["v"].isNotNull()))
 
+    changed = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("part "), F.floor(F.col("page_id") / 40).cast("string")))
     first = pages.select(
-        (F.col("page_id") * 2).alias("record_id"), "url", at(F.col("page_id")).alias("ts"),
+        (F.col("page_id") * 2).alias("record_id"), "url", at(F.col("page_id") * 2).alias("ts"),
         F.lit("response").alias("kind"), F.lit(200).alias("status"),
-        header_map(etag=tag, content_length=F.octet_length("html"), cache_control=F.lit("no-cache")).alias("headers"),
+        header_map(etag=tag, content_length=F.octet_length("html"), cache_control=F.lit("no-cache"),
+                   last_modified=changed).alias("headers"),
         F.col("html").alias("body"))
     held = F.when(F.col("page_id") % 7 == 0, None).when(F.col("page_id") % 11 == 0, F.lit('"changed"')).otherwise(
         F.concat(F.lit("W/"), tag))
     second = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", at(F.col("page_id") + day).alias("ts"),
+        (F.col("page_id") * 2 + 1).alias("record_id"), "url", at(F.col("page_id") * 2 + step).alias("ts"),
         F.lit(NOT_MODIFIED).alias("kind"), F.lit(304).alias("status"),
-        header_map(etag=held, cache_control=F.lit("max-age=60"), content_length=F.lit("0")).alias("headers"),
+        header_map(etag=held, cache_control=F.lit("max-age=60"), content_length=F.lit("0"),
+                   last_modified=changed).alias("headers"),
         F.lit(None).cast("string").alias("body"))
     return first.unionByName(second)
 
@@ -149,19 +159,23 @@ parts as (select page_id, html,
     lambda p: p <> '' and lower(split_part(p, '=', 1)) not in ({_TRACK}))), '&') as query from bare),
 p as (select page_id, html, md5(coalesce(html, '')) as tag,
   host || path || case when query <> '' then '?' || query else '' end as canonical_url from parts),
-latest as (select canonical_url, max(page_id) as page_id from p group by canonical_url),
-r as (select p.page_id, p.canonical_url, p.tag as asked, o.page_id as found, o.tag, o.html,
-  case when p.page_id % 7 = 0 then null when p.page_id % 11 = 0 then 'changed' else p.tag end as held
-  from p join latest l on l.canonical_url = p.canonical_url join p o on o.page_id = l.page_id),
-judged as (select *, case when held is null then 'unvalidated' when held = tag then 'resolved'
-  else 'conflict' end as outcome from r)
+p2 as (select *, case when page_id % 5 = 0 then 'part ' || cast(page_id // 40 as varchar) end as modified from p),
+fetches as (select canonical_url, 2 * page_id as minute, page_id, tag, modified, html from p2),
+revisits as (select canonical_url, page_id, modified,
+  case when page_id % 7 = 0 then null when page_id % 11 = 0 then '"changed"' else 'W/"' || tag || '"' end as held,
+  2 * page_id + case page_id % 3 when 0 then -1 when 1 then 1 else 1 + 2 * (select (max(page_id) - min(page_id)) // 4 from p) end
+    as minute from p2),
+r as (select v.page_id, v.canonical_url, v.held, v.modified, f.page_id as found, f.tag, f.modified as stored, f.html,
+  replace(v.held, 'W/', '') = '"' || f.tag || '"' as same_tag, v.modified = f.modified as same_time
+  from revisits v asof left join fetches f on v.canonical_url = f.canonical_url and v.minute > f.minute),
+judged as (select *, case when found is null then 'missing' when not coalesce(same_tag, true) or not coalesce(same_time, true)
+  then 'conflict' when coalesce(same_tag, false) or coalesce(same_time, false) then 'resolved' else 'unvalidated' end as outcome from r)
 select page_id * 2 + 1 as record_id, canonical_url, found * 2 as response_id, outcome,
-  case when outcome = 'conflict'
-       then 'cache-control=max-age=60;content-length=0;content-type=text/html;etag=' ||
-            case when held = 'changed' then '"changed"' else 'W/"' || held || '"' end || ';server=crawl'
-       else 'cache-control=max-age=60;content-length=' || octet_length(encode(html)) ||
-            ';content-type=text/html;etag=' ||
-            case when outcome = 'resolved' then 'W/"' || held || '"' else '"' || tag || '"' end || ';server=crawl' end as headers,
-  case when outcome <> 'conflict' then md5(html) end as body_md5,
-  cast(case when outcome <> 'conflict' then len(html) else 0 end as bigint) as body_chars
+  case when outcome in ('conflict', 'missing')
+       then concat_ws(';', 'cache-control=max-age=60;content-length=0;content-type=text/html', 'etag=' || held,
+            'last-modified=' || modified, 'server=crawl')
+       else concat_ws(';', 'cache-control=max-age=60;content-length=' || octet_length(encode(html)) || ';content-type=text/html',
+            'etag=' || coalesce(held, '"' || tag || '"'), 'last-modified=' || coalesce(modified, stored), 'server=crawl') end as headers,
+  case when outcome in ('resolved', 'unvalidated') then md5(html) end as body_md5,
+  cast(case when outcome in ('resolved', 'unvalidated') then len(html) else 0 end as bigint) as body_chars
 from judged"""

@@ -84,3 +84,22 @@ def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "http://a.org", None), (2, None, "x"), (None, "http://b.org", "y"), (3, "http://a.org", "z")],
                                   "page_id long, url string, html string")
     assert warc.digest(warc.resolve(warc.records_of(pages))).count() == 4
+
+
+def test_records_of_pages_have_every_outcome(spark, sf):
+    """Revisits lie before, between and after fetches; each one's response is the latest earlier fetch of its URL."""
+    pages = [(k, f"http://h.org/{k % 9}" if k % 2 else f"http://h.org/only{k}", f"text {k // 18}") for k in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = [r.asDict() for r in warc.records_of(df).collect()]
+    got = {r.record_id: r for r in warc.resolve(warc.records_of(df)).collect()}
+    assert {r.outcome for r in got.values()} == {"missing", "resolved", "unvalidated", "conflict"}
+    assert any(r["kind"] == warc.NOT_MODIFIED and "last-modified" in r["headers"] for r in rows)
+    fetches = [r for r in rows if r["kind"] == "response"]
+    for r in rows:
+        if r["kind"] == warc.NOT_MODIFIED:
+            before = [f for f in fetches if f["url"] == r["url"] and f["ts"] < r["ts"]]
+            want = max(before, key=lambda f: f["ts"])["record_id"] if before else None
+            assert got[r["record_id"]].response_id == want
+    later = [r for r in rows if r["kind"] == warc.NOT_MODIFIED and any(
+        f["url"] == r["url"] and f["ts"] > r["ts"] for f in fetches) and got[r["record_id"]].response_id is not None]
+    assert len(later) > 20
