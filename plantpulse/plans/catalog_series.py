@@ -74,12 +74,12 @@ def _ema_sql(c: str) -> str:
 
 
 @query("ema", sql("select a.reading_id, " + ", ".join(
-    r(f"ema_{c}.y{s}", f"ema_{c}_{s}", 8) for c in SENSORS for s in (12, 24, 48))
+    r(f"ema_{c}.y{s}", f"ema_{c}_{s}", 6 if c == "Energy" else 8) for c in SENSORS for s in (12, 24, 48))
     + f" from ordered a {' '.join(f'join ema_{c} using (reading_id)' for c in SENSORS)}",
     ORDERED_SQL, *[_ema_sql(c) for c in SENSORS], recursive=True))
 def ema(spark, sf):
     out = windows.add_ema_features(base(spark, sf, *SENSORS), SENSORS)
-    return rounded(trim(out).drop(*SENSORS), 8)
+    return rounded(trim(out).drop(*SENSORS), 8, **{f"ema_Energy_{s}": 6 for s in (12, 24, 48)})
 
 
 FILLED_SQL = "filled as (select reading_id, unit_id, ts, " + ", ".join(
