@@ -35,6 +35,7 @@ class Plan:
     counter: str | None = None
     short: int = 4
     long: int = 24
+    rolled: str = "roll"
 
     @property
     def reach(self) -> int:
@@ -46,7 +47,7 @@ class Plan:
         """(name, type) of every added column; least and largest values, lags and differences keep the column's type."""
         out = []
         for c in self.columns:
-            out += [(f"roll_{c}_{s}_{n}", "double" if s in ("mean", "std") else kinds[c])
+            out += [(f"{self.rolled}_{c}_{s}_{n}", "double" if s in ("mean", "std") else kinds[c])
                     for s in STATS for n in self.windows]
             for n in self.lags:
                 out += [(f"lag_{c}_{n}", kinds[c]), (f"lag_{c}_diff_{n}", kinds[c])]
@@ -138,7 +139,7 @@ def _pass(batches: Iterator[pa.RecordBatch], plan: Plan, names: list[str], outpu
             for c in plan.columns:
                 for w in plan.windows:
                     for s, v in zip(STATS, trailing(x[c], spot, w)):
-                        value[f"roll_{c}_{s}_{w}"] = v[old:]
+                        value[f"{plan.rolled}_{c}_{s}_{w}"] = v[old:]
                 for w in plan.lags:
                     then = shifted(x[c], spot, w, np.nan)
                     value[f"lag_{c}_{w}"], value[f"lag_{c}_diff_{w}"] = then[old:], (x[c] - then)[old:]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantpulse.operators.bounded import Plan, bounded_features
 from plantpulse.operators.order import (
     HERE, READINGS, Series, SeriesSpec, in_groups, last_seen, lay_out, next_seen, over_rows, with_row_number,
 )
@@ -51,9 +52,9 @@ def crossover_exprs(column, short=4, long=24, prefix="ma"):
 def add_rolling_features(
     df: DataFrame, columns: list[str], windows=WINDOWS, prefix="roll", spec: SeriesSpec = READINGS,
 ) -> DataFrame:
-    """Trailing mean, std, min and max; missing readings are skipped."""
-    build = rolling_exprs(columns, windows, prefix)
-    return over_rows(lay_out(df, spec, heavy=True), build, back=max(windows) - 1).frame()
+    """Trailing mean, std, min and max; missing readings are skipped. All columns in one pass over Arrow batches."""
+    plan = Plan(tuple(columns), windows=tuple(windows), rolled=prefix)
+    return bounded_features(lay_out(df, spec, heavy=True), plan).frame()
 
 
 def add_lag_features(

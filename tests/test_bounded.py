@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantpulse.operators import bounded, windows
-from plantpulse.operators.order import READINGS, lay_out
+from plantpulse.operators.order import READINGS, lay_out, over_rows
 from tests.helpers import same
 
 NAMES = ["T_Supply", "RH_Return", "Power", "hour"]
@@ -15,7 +15,7 @@ PLAN = bounded.Plan(tuple(NAMES), (1, 4, 9), (1, 7), (2, 5), ("Power", "T_Supply
 
 
 def by_windows(df, spec, names=NAMES):
-    out = windows.add_rolling_features(df, names, (1, 4, 9), spec=spec)
+    out = over_rows(lay_out(df, spec), windows.rolling_exprs(names, (1, 4, 9)), back=8).frame()
     out = windows.add_lag_features(out, names, (1, 7), spec=spec)
     out = windows.add_rate_of_change(out, names, (2, 5), spec=spec)
     for c in PLAN.crossed:
