@@ -19,40 +19,54 @@ EMPTY_LINES = r"\n(?:[\x20\t\x0B\f#*/;%!'<>|-]*\n)+"
 LEADING_MARKS = rf"(^|[\n{GAP}])[\x20\t\x0B\f]*[;!]+"
 NOT_PLAIN = "[^a-z0-9]+"
 
+# a company's abbreviation ends no sentence where a small letter follows
+ABBREVIATION = r"(Inc|Ltd|Corp|Co)\.([\x20\t\n\x0B\f#*/;%!'<>|-]+[a-z])"
+
 # Licence names as notices write them, with their SPDX identifiers.
 NAMES = {
-    "mit license": "MIT", "mit licence": "MIT",
+    "mit license": "MIT", "mit licence": "MIT", "mit no attribution license": "MIT-0",
     "apache license version 2 0": "Apache-2.0", "apache license 2 0": "Apache-2.0",
     "apache 2 0 license": "Apache-2.0", "apache license": "Apache-2.0",
     "bsd 2 clause license": "BSD-2-Clause", "2 clause bsd license": "BSD-2-Clause",
     "bsd 3 clause license": "BSD-3-Clause", "3 clause bsd license": "BSD-3-Clause",
-    "isc license": "ISC", "unlicense": "Unlicense", "zlib license": "Zlib",
-    "gnu general public license version 2": "GPL-2.0-only",
-    "gnu general public license version 3": "GPL-3.0-only",
-    "gnu general public license v2 0": "GPL-2.0-only", "gnu general public license v3 0": "GPL-3.0-only",
-    "gnu lesser general public license version 2 1": "LGPL-2.1-only",
-    "gnu lesser general public license version 3": "LGPL-3.0-only",
-    "gnu affero general public license version 3": "AGPL-3.0-only",
+    "bsd 4 clause license": "BSD-4-Clause", "bsd zero clause license": "0BSD",
+    "isc license": "ISC", "unlicense": "Unlicense", "zlib license": "Zlib", "postgresql license": "PostgreSQL",
     "mozilla public license version 2 0": "MPL-2.0", "mozilla public license 2 0": "MPL-2.0",
+    "mozilla public license v 2 0": "MPL-2.0", "mozilla public license version 1 1": "MPL-1.1",
+    "eclipse public license v 2 0": "EPL-2.0", "eclipse public license v2 0": "EPL-2.0",
+    "eclipse public license version 2 0": "EPL-2.0", "eclipse public license v 1 0": "EPL-1.0",
+    "eclipse public license v1 0": "EPL-1.0", "eclipse public license version 1 0": "EPL-1.0",
+    "boost software license version 1 0": "BSL-1.0", "sil open font license version 1 1": "OFL-1.1",
+    "artistic license 2 0": "Artistic-2.0", "european union public licence v 1 2": "EUPL-1.2",
     "cc0 1 0": "CC0-1.0", "creative commons zero": "CC0-1.0",
 }
 # Creative Commons names follow a pattern: parts and version
+CC_WORDS = {"by": "attribution", "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}
+CC_REACH = {"2 0": "generic", "2 5": "generic", "3 0": "unported", "4 0": "international"}
+CC_TITLES = {}
 for _parts in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
-    for _version in ("2 0", "2 5", "3 0", "4 0"):
+    for _version, _reach in CC_REACH.items():
         _spdx = f"CC-{_parts.upper().replace(' ', '-')}-{_version.replace(' ', '.')}"
+        _words = " ".join(CC_WORDS[x] for x in _parts.split())
         NAMES[f"cc {_parts} {_version}"] = _spdx
         NAMES[f"cc {_parts} {_version} license"] = _spdx
         NAMES[f"creative commons {_parts} {_version} license"] = _spdx
-# The sentences that notices put around a name.
-NOTICES = [
-    "licensed under {}", "licensed under the {}", "released under {}", "released under the {}",
-    "distributed under {}", "distributed under the {}", "available under the {}",
-    "this work is licensed under {}", "this work is licensed under the {}", "this work is licensed under a {}",
-    "this software is licensed under the {}", "this software is released under the {}",
-    "this file is licensed under the {}", "this project is licensed under the {}",
-    "this project is licensed under the terms of the {}", "this program is licensed under the {}",
-    "this document is licensed under the {}",
-]
+        NAMES[f"creative commons {_words} {_version} license"] = _spdx
+        NAMES[f"creative commons {_words} {_version} {_reach} license"] = _spdx
+        CC_TITLES[f"{_words} {_version} {_reach}"] = _spdx
+# The licences of one family, with versions and the dates that head their texts.
+GNU = {
+    "gpl": ("GPL", "gnu general public license", {"1": "february 1989", "2": "june 1991", "3": "29 june 2007"}),
+    "library": ("LGPL", "gnu library general public license", {"2": "june 1991"}),
+    "lgpl": ("LGPL", "gnu lesser general public license", {"2": "", "2 1": "february 1999", "3": "29 june 2007"}),
+    "agpl": ("AGPL", "gnu affero general public license", {"3": "19 november 2007"}),
+}
+TERMS = "you can redistribute it and or modify it under the terms of"
+PUBLISHED = "as published by the free software foundation"
+# a notice is this and a name
+NOTICE = (r"^(?:this (?:work|software|file|project|program|document|library|package|code|font software|site) is )?"
+          r"(?:licensed|released|distributed|available|made available|published) under "
+          r"(?:the terms of )?(?:the |a )?(.+)$")
 # Sentences of the licence texts themselves.
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
@@ -60,6 +74,10 @@ SENTENCES = {
                  "without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
                  "copies of the software and to permit persons to whom the software is furnished to do so subject to "
                  "the following conditions",
+    "mit-0-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+                   "associated documentation files the software to deal in the software without restriction including "
+                   "without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+                   "copies of the software and to permit persons to whom the software is furnished to do so",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or "
                   "substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not "
@@ -67,12 +85,21 @@ SENTENCES = {
     "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other "
                      "liability whether in an action of contract tort or otherwise arising from out of or in "
                      "connection with the software or the use or other dealings in the software",
+    "json-good": "the software shall be used for good not evil",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is "
                  "hereby granted provided that the above copyright notice and this permission notice appear in all "
                  "copies",
+    "isc-grant-and": "permission to use copy modify and distribute this software for any purpose with or without fee is "
+                     "hereby granted provided that the above copyright notice and this permission notice appear in all "
+                     "copies",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+                  "hereby granted",
     "apache-header": "licensed under the apache license version 2 0 the license",
     "apache-use": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
+    "apache-title": "apache license",
+    "apache-dated": "version 2 0 january 2004",
+    "apache-head": "apache license version 2 0 january 2004 http www apache org licenses",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted "
                  "provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and "
@@ -80,32 +107,136 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions "
                   "and the following disclaimer in the documentation and or other materials provided with the "
                   "distribution",
+    "bsd-advert": "all advertising materials mentioning features or use of this software must display the following "
+                  "acknowledgement",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse "
                    "or promote products derived from this software without specific prior written permission",
-    "gpl-free": "this program is free software",
-    "gpl-2-later": "you can redistribute it and or modify it under the terms of the gnu general public license as "
-                   "published by the free software foundation either version 2 of the license or at your option any "
-                   "later version",
-    "gpl-3-later": "you can redistribute it and or modify it under the terms of the gnu general public license as "
-                   "published by the free software foundation either version 3 of the license or at your option any "
-                   "later version",
+    "bsd-clear": "no express or implied licenses to any party s patent rights are granted by this license",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial "
+                  "applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the "
+                 "software and accompanying documentation covered by this license the software to use reproduce "
+                 "display distribute execute and transmit the software and to prepare derivative works of the "
+                 "software and to permit third parties to whom the software is furnished to do so all subject to the "
+                 "following",
+    "postgresql-grant": "permission to use copy modify and distribute this software and its documentation for any "
+                        "purpose without fee and without a written agreement is hereby granted provided that the above "
+                        "copyright notice and this paragraph and the following two paragraphs appear in all copies",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2-title": "mozilla public license version 2 0",
+    "mpl-11-title": "mozilla public license version 1 1",
+    "epl-2-title": "eclipse public license v 2 0",
+    "epl-1-title": "eclipse public license v 1 0",
+    "bsl-title": "boost software license version 1 0 august 17th 2003",
+    "ofl-title": "sil open font license version 1 1 26 february 2007",
+    "artistic-title": "the artistic license 2 0",
+    "eupl-title": "european union public licence v 1 2",
+    "cc0-title": "cc0 1 0 universal",
+    "wtfpl-title": "do what the fuck you want to public license",
     "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "gnu-appendix": "how to apply these terms to your new programs",
+    "gnu-appendix-libraries": "how to apply these terms to your new libraries",
 }
-# A licence text is recognised by its sentences in order, with no other known one between.
+# Sentences with a gap (a holder's name): start, middle and end; each may be empty.
+GAPPED = [
+    ("bsd-endorse", "neither the name ", "", " may be used to endorse or promote products derived from this software "
+                                             "without specific prior written permission"),
+    ("bsd-endorse", "the name ", "", " may not be used to endorse or promote products derived from this software "
+                                     "without specific prior written permission"),
+    ("bsd-endorse", "the names ", "", " may not be used to endorse or promote products derived from this software "
+                                      "without specific prior written permission"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following ",
+     "", "ment"),
+    ("mit-liability", "in no event shall ", "", " be liable for any claim damages or other liability whether in an "
+                      "action of contract tort or otherwise arising from out of or in connection with the software or "
+                      "the use or other dealings in the software"),
+    ("x11-promote", "except as contained in this notice the name", " shall not be used in advertising or otherwise to "
+                    "promote the sale use or other dealings in this software without prior written authorization ", ""),
+]
+# A licence text is recognised by its sentences in order, with no other known one between. A rule
+# without a licence forbids the shorter ones within it.
 SEQUENCES = {
     "mit-text": ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
     "mit-grant-only": ("MIT", ["mit-grant"]),
+    "mit-0-text": ("MIT-0", ["mit-0-grant"]),
+    "json-text": ("JSON", ["mit-grant", "mit-notice", "json-good", "mit-as-is", "mit-liability"]),
+    "json-grant-only": ("JSON", ["mit-grant", "mit-notice", "json-good"]),
+    "x11-text": ("X11", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability", "x11-promote"]),
     "isc-text": ("ISC", ["isc-grant"]),
+    "isc-text-and": ("ISC", ["isc-grant-and"]),
+    "0bsd-text": ("0BSD", ["0bsd-grant"]),
     "apache-header": ("Apache-2.0", ["apache-header", "apache-use", "apache-copy"]),
     "apache-header-start": ("Apache-2.0", ["apache-header"]),
+    "apache-text": ("Apache-2.0", ["apache-title", "apache-dated"]),
+    "apache-text-head": ("Apache-2.0", ["apache-head"]),
     "bsd-2-text": ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     "bsd-3-text": ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    "gpl-2-header": ("GPL-2.0-or-later", ["gpl-free", "gpl-2-later"]),
-    "gpl-3-header": ("GPL-3.0-or-later", ["gpl-free", "gpl-3-later"]),
+    "bsd-3-clear-text": ("BSD-3-Clause-Clear", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-clear"]),
+    "bsd-4-text": ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
+    "bsd-4-start": ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert"]),
+    "zlib-text": ("Zlib", ["zlib-grant"]),
+    "bsl-text": ("BSL-1.0", ["bsl-grant"]),
+    "postgresql-text": ("PostgreSQL", ["postgresql-grant"]),
     "mpl-2-header": ("MPL-2.0", ["mpl-form"]),
+    "mpl-2-text": ("MPL-2.0", ["mpl-2-title"]),
+    "mpl-11-text": ("MPL-1.1", ["mpl-11-title"]),
+    "epl-2-text": ("EPL-2.0", ["epl-2-title"]),
+    "epl-1-text": ("EPL-1.0", ["epl-1-title"]),
+    "bsl-head": ("BSL-1.0", ["bsl-title"]),
+    "ofl-text": ("OFL-1.1", ["ofl-title"]),
+    "artistic-text": ("Artistic-2.0", ["artistic-title"]),
+    "eupl-text": ("EUPL-1.2", ["eupl-title"]),
+    "cc0-text": ("CC0-1.0", ["cc0-title"]),
+    "wtfpl-text": ("WTFPL", ["wtfpl-title"]),
     "unlicense-text": ("Unlicense", ["unlicense-domain"]),
 }
+# An SPDX tag: identifiers joined by operators, with brackets.
+SPDX_TAG = "SPDX-License-Identifier:"
+_SPDX_ID = r"(?:\([\x20\t]*)*[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?(?:[\x20\t]*\))*"
+SPDX = rf"{SPDX_TAG}[\x20\t]*({_SPDX_ID}(?:[\x20\t]+(?:AND|OR|WITH)[\x20\t]+{_SPDX_ID})*)"
+SPDX_RULE = "spdx-expression"
+# what is no licence in an expression: brackets, and an exception with its operator
+SPDX_ASIDE = r"[()]|[\x20\t]WITH[\x20\t]+[^\x20\t)]+"
+SPDX_AND_OR = r"[\x20\t]+(?:AND|OR)[\x20\t]+"
+
+
+def spdx_version(version: str) -> str:
+    return version.replace(" ", ".") if " " in version else f"{version}.0"
+
+
+def _gnu_parts() -> tuple[dict[str, str], dict[str, str], dict[str, tuple[str, list[str]]]]:
+    """Names, sentences (text -> identifier) and rules of the family, by its common wordings."""
+    names, known, rules = {}, {}, {}
+    for key, (stem, name, versions) in GNU.items():
+        known[f"{TERMS} the {name} {PUBLISHED}"] = f"{key}-terms"
+        known[name] = f"{key}-title"
+        for v, date in versions.items():
+            spdx, tag = f"{stem}-{spdx_version(v)}", f"{key}-{v.replace(' ', '.')}"
+            dotted = [v] if " " in v else [v, f"{v} 0"]
+            for alias in (name, f"gnu {stem.lower()}", stem.lower()):
+                for form in [f"{w} {x}" for x in dotted for w in ("version", "v")] + [f"v{x}" for x in dotted] + [f"{x}" for x in dotted]:
+                    names.setdefault(f"{alias} {form}", f"{spdx}-only")
+                    names.setdefault(f"{alias} {form} or later", f"{spdx}-or-later")
+            later, version = f"later-{v.replace(' ', '.')}", f"version-{v.replace(' ', '.')}"
+            known[f"either version {v} of the license or at your option any later version"] = later
+            known[f"version {v} of the license"] = version
+            known[f"{TERMS} the {name} {PUBLISHED} either version {v} of the license or at your option any later version"] = f"{tag}-later"
+            for text in (f"the {name} {PUBLISHED} version {v}", f"the {name} {PUBLISHED} version {v} of the license",
+                         f"the {name} version {v} {PUBLISHED}", f"version {v} of the {name} {PUBLISHED}"):
+                known[f"{TERMS} {text}"] = f"{tag}-only"
+            forms = {"later": (f"{spdx}-or-later", [[f"{key}-terms", later], [f"{tag}-later"]]),
+                     "only": (f"{spdx}-only", [[f"{key}-terms", version], [f"{tag}-only"]])}
+            for form, (license, sequences) in forms.items():
+                for n, ids in enumerate(sequences):
+                    rules[f"{tag}-{form}-{n + 1}"] = (license, ids)
+                    for end in ("", "-libraries"):  # a sample header at the end of the licence's own text
+                        rules[f"{tag}-{form}-{n + 1}-sample{end}"] = ("", [f"gnu-appendix{end}", *ids])
+            if date:
+                known[f"{name} version {v} {date}"] = f"{tag}-head"
+                known[f"version {v} {date}"] = f"dated-{v.replace(' ', '.')}-{date.replace(' ', '-')}"
+                rules[f"{tag}-text"] = (f"{spdx}-only", [f"{key}-title", known[f"version {v} {date}"]])
+                rules[f"{tag}-text-head"] = (f"{spdx}-only", [f"{tag}-head"])
+    return names, known, rules
 
 
 @dataclass(frozen=True)
@@ -115,26 +246,36 @@ class Rule:
     sentences: tuple[str, ...]
 
 
+def known_names() -> dict[str, str]:
+    """Licence name as a notice writes it -> SPDX identifier."""
+    return {**_gnu_parts()[0], **NAMES}
+
+
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence -> identifier; a notice's identifier names its licence."""
-    found = {text: name for name, text in SENTENCES.items()}
-    for name, spdx in NAMES.items():
-        for notice in NOTICES:
-            found.setdefault(notice.format(name), f"notice-{spdx}")
-    found["spdx license identifier"] = "spdx-tag"
-    for spdx in sorted(set(NAMES.values())):
-        found[re.sub(NOT_PLAIN, " ", spdx.lower())] = f"spdx-{spdx}"
-    return found
+    """Normalised sentence without gaps -> identifier."""
+    titles = {title: f"title-{spdx}" for title, spdx in CC_TITLES.items()}
+    return {**titles, **_gnu_parts()[1], **{text: name for name, text in SENTENCES.items()}}
 
 
 def license_rules() -> list[Rule]:
     """Ordered rules; where one's sequence lies within another's, the longer stands first."""
-    rules = [Rule(name, license, tuple(ids)) for name, (license, ids) in SEQUENCES.items()]
-    for spdx in sorted(set(NAMES.values())):
-        rules += [Rule(f"notice-{spdx}", spdx, (f"notice-{spdx}",)), Rule(f"tag-{spdx}", spdx, ("spdx-tag", f"spdx-{spdx}"))]
+    rules = [Rule(name, license, tuple(ids)) for name, (license, ids) in {**SEQUENCES, **_gnu_parts()[2]}.items()]
+    rules += [Rule(f"title-{spdx}", spdx, (f"title-{spdx}",)) for spdx in CC_TITLES.values()]
+    rules += [Rule(f"notice-{spdx}", spdx, (f"notice-{spdx}",)) for spdx in sorted(set(known_names().values()))]
     return sorted(rules, key=lambda r: (-len(r.sentences), r.name))
 
 
+def spdx_identifiers() -> dict[str, str]:
+    """Identifiers in lower case -> as SPDX writes them now; the family's short ones had no ending before."""
+    found = {r.license.lower(): r.license for r in license_rules() if r.license}
+    for stem, _, versions in GNU.values():
+        for v in versions:
+            spdx = f"{stem}-{spdx_version(v)}"
+            found |= {spdx.lower(): f"{spdx}-only", f"{spdx.lower()}+": f"{spdx}-or-later",
+                      f"{spdx.lower()}-only": f"{spdx}-only", f"{spdx.lower()}-or-later": f"{spdx}-or-later"}
+    return found
+
+
 def _within(inner: tuple[str, ...], outer: tuple[str, ...]) -> bool:
     return any(outer[i:i + len(inner)] == inner for i in range(len(outer) - len(inner) + 1))
 
@@ -144,12 +285,42 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOT_PLAIN, " "))
 
 
-def _hits(text: Column, cut: str, known: dict[str, str]) -> Column:
+def _lookup(pairs: dict[str, str], key: Column) -> Column:
+    """The value of a key in a fixed table, null where it has none."""
+    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.when(key.isin(list(pairs)), F.try_element_at(table, key))
+
+
+def _identifier(sentence: Column, known: dict[str, str], names: dict[str, str]) -> Column:
+    """A known sentence's identifier: of a whole one, of one with a gap, or of a notice with its licence."""
+    gapped = []
+    for id, start, middle, end in GAPPED:
+        test = sentence.startswith(start) & sentence.endswith(end)
+        test &= F.char_length(sentence) > len(start) + len(middle) + len(end)
+        gapped.append(F.when(test & sentence.contains(middle) if middle else test, F.lit(id)))
+    named = F.when(sentence.contains(" under "), F.regexp_extract(sentence, NOTICE, 1))
+    return F.coalesce(_lookup(known, sentence), *gapped, F.concat(F.lit("notice-"), _lookup(names, named)))
+
+
+def _hits(text: Column, cut: str, known: dict[str, str], names: dict[str, str]) -> Column:
     """Number and identifier of the known sentences of a text."""
     numbered = F.transform(F.split(text, cut, -1), lambda s, i: F.struct(i.alias("number"), normal(s).alias("sentence")))
-    hits = F.filter(numbered, lambda s: s["sentence"].isin(list(known)))
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.transform(hits, lambda s: F.struct(s["number"].alias("number"), F.element_at(names, s["sentence"]).alias("id")))
+    named = F.transform(numbered, lambda s: F.struct(
+        s["number"].alias("number"), _identifier(s["sentence"], known, names).alias("id")))
+    return F.filter(named, lambda s: s["id"].isNotNull())
+
+
+def _expressions(text: Column) -> Column:
+    """The SPDX expressions of a text, with single spaces."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: F.regexp_replace(x, r"[\x20\t]+", " "))
+    return F.when(text.contains(SPDX_TAG), found).otherwise(F.array().cast("array<string>"))
+
+
+def _expression_licenses(expressions: Column) -> Column:
+    """The licences that expressions name; unknown identifiers stay as they are written."""
+    ids = F.flatten(F.transform(expressions, lambda x: F.split(F.trim(F.regexp_replace(x, SPDX_ASIDE, "")), SPDX_AND_OR)))
+    ids = F.transform(ids, lambda x: F.trim(x))
+    return F.transform(ids, lambda x: F.coalesce(_lookup(spdx_identifiers(), F.lower(x)), x))
 
 
 def _without(view: Column, outer: Rule) -> Column:
@@ -187,84 +358,125 @@ def _matches(rule: Rule, rules: list[Rule], views: list[Column]) -> Column:
     return tests[0] | tests[1]
 
 
-def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """doc_id, sentences and wrapped (number and identifier of each known sentence), rules and licenses found.
+def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule] | None = None,
+         names: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, sentences and wrapped (number and identifier of each known sentence), expressions, rules and licenses.
 
     `sentences` are cut at line ends and after marks; `wrapped` are cut in the text with single line ends
     as spaces, for licence texts that are broken into lines; lines of white space or comment marks only part
     them. Carriage returns count as line ends. Each is normalised and looked up among the
     known ones. A rule matches where its identifiers follow one another in one of the two sequences
     of known sentences, whatever unknown text lies between; where its identifiers lie within those of a
-    longer rule at the same place it does not match there. Everything happens next to the row: no shuffle, and a hot source or many
+    longer rule at the same place it does not match there; a rule without a licence only forbids the shorter ones.
+    Sentences may have a gap for a holder's name; a notice is any wording of `NOTICE` before a known name. Tags
+    give their SPDX expression and its identifiers; those that no rule knows are reported as written, exceptions
+    (WITH) are part of the expression only. Everything happens next to the row: no shuffle, and a hot source or many
     copies cost no more than other rows. Null and empty texts give empty arrays, repeated rows give
     one row each, a missing doc_id is kept, other columns are not read, an empty table gives no rows.
     """
     known = known_sentences() if known is None else known
     rules = license_rules() if rules is None else rules
+    names = known_names() if names is None else names
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    text = F.regexp_replace(text, ABBREVIATION, "$1$2")
     joined = F.regexp_replace(F.regexp_replace(text, EMPTY_LINES, GAP), LEADING_MARKS, "$1")
     joined = F.replace(joined, F.lit("\n"), F.lit(" "))
-    found = docs.select("doc_id", _hits(text, CUT, known).alias("sentences"),
-                        _hits(joined, CUT_WRAPPED, known).alias("wrapped"))
+    found = docs.select("doc_id", _hits(text, CUT, known, names).alias("sentences"),
+                        _hits(joined, CUT_WRAPPED, known, names).alias("wrapped"), _expressions(text).alias("expressions"))
     for name in ("sentences", "wrapped"):
         found = found.withColumn(f"__{name}", F.array_join(F.transform(name, lambda s: F.concat(F.lit(" "), s["id"], F.lit(" "))), ""))
     views = [F.col("__sentences"), F.col("__wrapped")]
     matches = [F.when(_matches(rule, rules, views), F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.license).alias("license")))
-               for rule in rules]
+               for rule in rules if rule.license]
     # most documents have no known sentence: their rules are not tried
     tried = F.when((views[0] != "") | (views[1] != ""), F.array_compact(F.array(*matches)))
     found = found.withColumn("__matches", F.coalesce(tried, F.array().cast("array<struct<rule:string,license:string>>")))
+    tagged = F.when(F.size("expressions") > 0, F.array(F.lit(SPDX_RULE))).otherwise(F.array().cast("array<string>"))
+    licenses = F.concat(F.transform("__matches", lambda m: m["license"]), _expression_licenses(F.col("expressions")))
     return found.select(
-        "doc_id", "sentences", "wrapped", F.transform("__matches", lambda m: m["rule"]).alias("rules"),
-        F.array_sort(F.array_distinct(F.transform("__matches", lambda m: m["license"]))).alias("licenses"))
+        "doc_id", "sentences", "wrapped", "expressions",
+        F.concat(F.transform("__matches", lambda m: m["rule"]), tagged).alias("rules"),
+        F.array_sort(F.array_distinct(licenses)).alias("licenses"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The scan as plain columns: number:identifier of the sentences, rules and licences, each comma-joined."""
+    """The scan as plain columns: number:identifier of the sentences, expressions, rules and licences, comma-joined."""
     def listed(name: str) -> Column:
         return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["number"].cast("string"), s["id"])), ",")
 
     return found.select(
         "doc_id", F.size("sentences").cast("long").alias("n_sentences"), listed("sentences").alias("sentences"),
-        listed("wrapped").alias("wrapped"), F.array_join("rules", ",").alias("rules"),
+        listed("wrapped").alias("wrapped"), F.array_join("expressions", ",").alias("expressions"), F.array_join("rules", ",").alias("rules"),
         F.array_join("licenses", ",").alias("licenses"))
 
 
+def _sql_match(rule: Rule, rules: list[Rule]) -> str:
+    """`_matches` in SQL over the columns a and b."""
+    def times(view: str, r: Rule) -> str:
+        return f"((length({view}) - length(replace({view}, '{_sequence(r)}', ''))) / {len(_sequence(r))})"
+
+    longer = [r for r in rules if len(r.sentences) > len(rule.sentences) and _within(rule.sentences, r.sentences)]
+    left, hidden = ["a", "b"], ["0", "0"]
+    for outer in sorted(longer, key=lambda r: -len(r.sentences)):
+        counts = [times(v, outer) for v in left]
+        hidden = [f"{hidden[n]} + greatest({counts[1 - n]} - {counts[n]}, 0)" for n in (0, 1)]
+        left = [f"replace({v}, '{_sequence(outer)}', ' . ')" for v in left]
+    return " or ".join(f"{times(left[n], rule)} > {hidden[n]}" for n in (0, 1))
+
+
 def _oracle() -> str:
-    """SQL for `digest`: the sentences as rows, the known ones as a table, the rules as LIKE patterns."""
-    known = ",\n".join(f"('{s}', '{i}')" for s, i in known_sentences().items())
-    rules = license_rules()
-    table = ",\n".join(f"({n}, '{r.name}', '{r.license}', ' {' '.join(r.sentences)} ', {len(r.sentences)})"
-                       for n, r in enumerate(rules))
+    """SQL for `digest`: the sentences as rows, known ones and names as tables, the rules as tests of joined identifiers."""
+    def table(pairs: dict[str, str]) -> str:
+        return ",\n".join(f"('{k}', '{v}')" for k, v in pairs.items())
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
     # the engine's expressions look neither ahead nor back: a mark before white space is marked with the cut sign
     def cut(text: str, sign: str) -> str:
         marked = f"regexp_replace({text}, '([.!?;:])[ \\t\\n\\x0B\\f\\r]+', '\\1' || {sign}, 'g')"
         return f"string_split_regex({marked}, {sign} || '+')"
 
-    joined = "replace(regexp_replace(text, '\\n{2,}', chr(1), 'g'), chr(10), ' ')"
-    return f"""with known(sentence, id) as (values {known}),
-rules(n, rule, license, ids, size) as (values {table}),
-d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+    gaps = "\n".join(f"when starts_with(s, '{a}') and ends_with(s, '{z}') and contains(s, '{m}') "
+                     f"and length(s) > {len(a + m + z)} then '{id}'" for id, a, m, z in GAPPED)
+    rules = license_rules()
+    tests = ",\n".join(f"case when {_sql_match(r, rules)} then {{'rule': '{r.name}', 'license': '{r.license}'}} end"
+                       for r in rules if r.license)
+    return f"""with known(sentence, id) as (values {table(known_sentences())}),
+names(name, spdx) as (values {table(known_names())}),
+written(lower_id, spdx) as (values {table(spdx_identifiers())}),
+d as (select row_number() over () as k, doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'),
+  {quoted(ABBREVIATION)}, '\\1\\2', 'g') as text from documents),
+j as (select k, replace(regexp_replace(regexp_replace(text, {quoted(EMPTY_LINES)}, chr(1), 'g'),
+  {quoted(LEADING_MARKS)}, '\\1', 'g'), chr(10), ' ') as text from d),
 views as (select k, 0 as view, {cut("text", "chr(10)")} as parts from d
-  union all select k, 1, {cut(joined, "chr(1)")} from d),
+  union all select k, 1, {cut("text", "chr(1)")} from j),
 cut as (select k, view, generate_subscripts(parts, 1) - 1 as number, unnest(parts) as part from views),
-hits as (select c.k, c.view, c.number, s.id from cut c join known s
-  on trim(regexp_replace(lower(c.part), '[^a-z0-9]+', ' ', 'g')) = s.sentence),
+plain as (select k, view, number, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) as s from cut),
+hits as (select p.k, p.view, p.number, coalesce(w.id, case {gaps} end, 'notice-' || n.spdx) as id
+  from plain p left join known w on p.s = w.sentence
+  left join names n on contains(p.s, ' under ') and regexp_extract(p.s, {quoted(NOTICE)}, 1) = n.name),
+found as (select * from hits where id is not null),
 per_view as (select k, view, count(*) as n, string_agg(number || ':' || id, ',' order by number) as sentences,
-  string_agg(id, ' ' order by number) as ids from hits group by k, view),
+  string_agg(' ' || id || ' ', '' order by number) as ids from found group by k, view),
 seq as (select k, coalesce(max(n) filter (where view = 0), 0) as n,
   coalesce(max(sentences) filter (where view = 0), '') as sentences,
   coalesce(max(sentences) filter (where view = 1), '') as wrapped,
-  ' ' || coalesce(max(ids) filter (where view = 0), '') || ' | ' || coalesce(max(ids) filter (where view = 1), '') || ' ' as ids
+  coalesce(max(ids) filter (where view = 0), '') as a, coalesce(max(ids) filter (where view = 1), '') as b
   from per_view group by k),
-matched as (select s.k, r.* from seq s join rules r on contains(s.ids, r.ids)),
-best as (select * from matched m where not exists (select 1 from matched o
-  where o.k = m.k and o.size > m.size and contains(o.ids, m.ids))),
-per as (select k, string_agg(rule, ',' order by n) as rules,
-  array_to_string(list_sort(list_distinct(list(license))), ',') as licenses from best group by k)
+matched as (select k, list_filter([{tests}], lambda m: m is not null) as m from seq),
+tags as (select k, list_transform(regexp_extract_all(text, {quoted(SPDX)}, 1),
+  lambda x: regexp_replace(x, '[ \\t]+', ' ', 'g')) as expressions from d where contains(text, '{SPDX_TAG}')),
+tokens as (select k, trim(unnest(flatten(list_transform(expressions, lambda x: string_split_regex(
+  trim(regexp_replace(x, {quoted(SPDX_ASIDE)}, '', 'g')), {quoted(SPDX_AND_OR)}))))) as token from tags),
+named as (select k, list(coalesce(spdx, token)) as ids from tokens left join written on lower(token) = lower_id group by k)
 select doc_id, coalesce(seq.n, 0) as n_sentences, coalesce(sentences, '') as sentences, coalesce(wrapped, '') as wrapped,
-  coalesce(rules, '') as rules, coalesce(licenses, '') as licenses
-from d left join seq using (k) left join per using (k)"""
+  coalesce(array_to_string(expressions, ','), '') as expressions,
+  array_to_string(list_concat(coalesce(list_transform(m, lambda x: x.rule), []),
+    case when len(expressions) > 0 then ['{SPDX_RULE}'] else [] end), ',') as rules,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(list_transform(m, lambda x: x.license), []),
+    coalesce(ids, [])))), ',') as licenses
+from d left join seq using (k) left join matched using (k) left join tags using (k) left join named using (k)"""
 
 
 ORACLE = _oracle()
