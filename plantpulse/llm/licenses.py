@@ -253,21 +253,23 @@ def known_names() -> dict[str, str]:
 
 def known_sentences() -> dict[str, str]:
     """Normalised sentence without gaps -> identifier."""
-    titles = {title: f"title-{spdx}" for title, spdx in CC_TITLES.items()}
+    titles = {title: f"notice-{spdx}" for title, spdx in CC_TITLES.items()}
     return {**titles, **_gnu_parts()[1], **{text: name for name, text in SENTENCES.items()}}
 
 
 def license_rules() -> list[Rule]:
-    """Ordered rules; where one's sequence lies within another's, the longer stands first."""
+    """Ordered rules; where one's sequence lies within another's, the longer stands first.
+
+    A notice or the title of a licence's text, whose identifier holds the licence, is a rule of its own and not listed.
+    """
     rules = [Rule(name, license, tuple(ids)) for name, (license, ids) in {**SEQUENCES, **_gnu_parts()[2]}.items()]
-    rules += [Rule(f"title-{spdx}", spdx, (f"title-{spdx}",)) for spdx in CC_TITLES.values()]
-    rules += [Rule(f"notice-{spdx}", spdx, (f"notice-{spdx}",)) for spdx in sorted(set(known_names().values()))]
     return sorted(rules, key=lambda r: (-len(r.sentences), r.name))
 
 
 def spdx_identifiers() -> dict[str, str]:
     """Identifiers in lower case -> as SPDX writes them now; the family's short ones had no ending before."""
-    found = {r.license.lower(): r.license for r in license_rules() if r.license}
+    licenses = [r.license for r in license_rules() if r.license] + list(known_names().values()) + list(CC_TITLES.values())
+    found = {spdx.lower(): spdx for spdx in licenses}
     for stem, _, versions in GNU.values():
         for v in versions:
             spdx = f"{stem}-{spdx_version(v)}"
@@ -280,34 +282,37 @@ def _within(inner: tuple[str, ...], outer: tuple[str, ...]) -> bool:
     return any(outer[i:i + len(inner)] == inner for i in range(len(outer) - len(inner) + 1))
 
 
-def normal(sentence: Column) -> Column:
-    """Lower case; every run of other characters than a-z and 0-9 is one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_PLAIN, " "))
+def _quoted(text: str) -> str:
+    """A literal that the engine takes as it is written."""
+    return "r'" + text + "'" if "'" not in text else 'r"' + text + '"'
 
 
-def _lookup(pairs: dict[str, str], key: Column) -> Column:
+def _lookup(pairs: dict[str, str], key: str) -> str:
     """The value of a key in a fixed table, null where it has none."""
-    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    return F.when(key.isin(list(pairs)), F.try_element_at(table, key))
+    table = ", ".join(_quoted(x) for pair in pairs.items() for x in pair)
+    return f"case when {key} in ({', '.join(map(_quoted, pairs))}) then try_element_at(map({table}), {key}) end"
 
 
-def _identifier(sentence: Column, known: dict[str, str], names: dict[str, str]) -> Column:
+def _identifier(sentence: str, known: dict[str, str], names: dict[str, str]) -> str:
     """A known sentence's identifier: of a whole one, of one with a gap, or of a notice with its licence."""
-    gapped = []
-    for id, start, middle, end in GAPPED:
-        test = sentence.startswith(start) & sentence.endswith(end)
-        test &= F.char_length(sentence) > len(start) + len(middle) + len(end)
-        gapped.append(F.when(test & sentence.contains(middle) if middle else test, F.lit(id)))
-    named = F.when(sentence.contains(" under "), F.regexp_extract(sentence, NOTICE, 1))
-    return F.coalesce(_lookup(known, sentence), *gapped, F.concat(F.lit("notice-"), _lookup(names, named)))
+    gapped = " ".join(
+        f"when startswith({sentence}, '{start}') and endswith({sentence}, '{end}') and contains({sentence}, '{middle}') "
+        f"and char_length({sentence}) > {len(start + middle + end)} then '{id}'" for id, start, middle, end in GAPPED)
+    name = f"regexp_extract({sentence}, {_quoted(NOTICE)}, 1)"
+    notice = f"case when contains({sentence}, ' under ') then concat('notice-', {_lookup(names, name)}) end"
+    return f"coalesce({_lookup(known, sentence)}, case {gapped} end, {notice})"
 
 
-def _hits(text: Column, cut: str, known: dict[str, str], names: dict[str, str]) -> Column:
-    """Number and identifier of the known sentences of a text."""
-    numbered = F.transform(F.split(text, cut, -1), lambda s, i: F.struct(i.alias("number"), normal(s).alias("sentence")))
-    named = F.transform(numbered, lambda s: F.struct(
-        s["number"].alias("number"), _identifier(s["sentence"], known, names).alias("id")))
-    return F.filter(named, lambda s: s["id"].isNotNull())
+def _hits(text: str, cut: str, known: dict[str, str], names: dict[str, str]) -> Column:
+    """Number and identifier of the known sentences of a column of texts.
+
+    Sentences are normalised: lower case, and every run of other characters than a-z and 0-9 is one space. The
+    tables are written as SQL, as a column for each of their entries would take the driver many seconds.
+    """
+    normal = f"trim(regexp_replace(lower(s), '{NOT_PLAIN}', ' '))"
+    numbered = f"transform(split({text}, {_quoted(cut)}, -1), (s, i) -> struct(i as number, {normal} as sentence))"
+    named = f"transform({numbered}, s -> struct(s.number as number, {_identifier('s.sentence', known, names)} as id))"
+    return F.expr(f"filter({named}, s -> s.id is not null)")
 
 
 def _expressions(text: Column) -> Column:
@@ -319,43 +324,30 @@ def _expressions(text: Column) -> Column:
 def _expression_licenses(expressions: Column) -> Column:
     """The licences that expressions name; unknown identifiers stay as they are written."""
     ids = F.flatten(F.transform(expressions, lambda x: F.split(F.trim(F.regexp_replace(x, SPDX_ASIDE, "")), SPDX_AND_OR)))
-    ids = F.transform(ids, lambda x: F.trim(x))
-    return F.transform(ids, lambda x: F.coalesce(_lookup(spdx_identifiers(), F.lower(x)), x))
-
-
-def _without(view: Column, outer: Rule) -> Column:
-    """A view's identifiers with a sign for each place where a rule's sequence stands."""
-    return F.replace(view, F.lit(_sequence(outer)), F.lit(" . "))
+    table = spdx_identifiers()
+    pairs = F.expr(f"map({', '.join(_quoted(x) for pair in table.items() for x in pair)})")
+    return F.transform(ids, lambda x: F.coalesce(F.try_element_at(pairs, F.lower(F.trim(x))), F.trim(x)))
 
 
 def _sequence(rule: Rule) -> str:
     return "".join(f" {s} " for s in rule.sentences)
 
 
-def _times(view: Column, rule: Rule) -> Column:
-    gone = F.char_length(view) - F.char_length(F.replace(view, F.lit(_sequence(rule)), F.lit("")))
-    return gone / len(_sequence(rule))
-
-
-def _matches(rule: Rule, rules: list[Rule], views: list[Column]) -> Column:
-    """Does the rule's sequence stand in a view outside the longer rules that contain it?
+def _match(rule: Rule, rules: list[Rule], views: tuple[str, str]) -> str:
+    """Does the rule's sequence stand in a view outside the longer rules that contain it? As SQL.
 
     A longer text that only the other view has whole may show in part here: as many places do not count.
     """
+    def times(view: str, r: Rule) -> str:
+        return f"((length({view}) - length(replace({view}, '{_sequence(r)}', ''))) / {len(_sequence(r))})"
+
     longer = [r for r in rules if len(r.sentences) > len(rule.sentences) and _within(rule.sentences, r.sentences)]
-    longer.sort(key=lambda r: -len(r.sentences))
-    left, times = list(views), []
-    for outer in longer:
-        times.append([_times(v, outer) for v in left])
-        left = [_without(v, outer) for v in left]
-    tests = []
-    for n, view in enumerate(left):
-        test = F.contains(view, F.lit(_sequence(rule)))
-        if longer:
-            hidden = sum((F.greatest(t[1 - n] - t[n], F.lit(0.0)) for t in times), F.lit(0.0))
-            test &= _times(view, rule) > hidden
-        tests.append(test)
-    return tests[0] | tests[1]
+    left, hidden = list(views), ["0", "0"]
+    for outer in sorted(longer, key=lambda r: -len(r.sentences)):
+        counts = [times(v, outer) for v in left]
+        hidden = [f"{hidden[n]} + greatest({counts[1 - n]} - {counts[n]}, 0)" for n in (0, 1)]
+        left = [f"replace({v}, '{_sequence(outer)}', ' . ')" for v in left]
+    return " or ".join(f"{times(left[n], rule)} > {hidden[n]}" for n in (0, 1))
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule] | None = None,
@@ -378,25 +370,29 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule]
     rules = license_rules() if rules is None else rules
     names = known_names() if names is None else names
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    text = F.regexp_replace(text, ABBREVIATION, "$1$2")
-    joined = F.regexp_replace(F.regexp_replace(text, EMPTY_LINES, GAP), LEADING_MARKS, "$1")
-    joined = F.replace(joined, F.lit("\n"), F.lit(" "))
-    found = docs.select("doc_id", _hits(text, CUT, known, names).alias("sentences"),
-                        _hits(joined, CUT_WRAPPED, known, names).alias("wrapped"), _expressions(text).alias("expressions"))
-    for name in ("sentences", "wrapped"):
-        found = found.withColumn(f"__{name}", F.array_join(F.transform(name, lambda s: F.concat(F.lit(" "), s["id"], F.lit(" "))), ""))
-    views = [F.col("__sentences"), F.col("__wrapped")]
-    matches = [F.when(_matches(rule, rules, views), F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.license).alias("license")))
-               for rule in rules if rule.license]
+    plain = docs.select("doc_id", F.regexp_replace(text, ABBREVIATION, "$1$2").alias("__text"))
+    joined = F.regexp_replace(F.regexp_replace("__text", EMPTY_LINES, GAP), LEADING_MARKS, "$1")
+    joined = plain.withColumn("__joined", F.replace(joined, F.lit("\n"), F.lit(" ")))
+    found = joined.select("doc_id", _hits("__text", CUT, known, names).alias("sentences"),
+                          _hits("__joined", CUT_WRAPPED, known, names).alias("wrapped"),
+                          _expressions(F.col("__text")).alias("expressions"))
+    views = ("__sentences", "__wrapped")
+    for view in views:
+        ids = F.transform(view[2:], lambda s: F.concat(F.lit(" "), s["id"], F.lit(" ")))
+        found = found.withColumn(view, F.array_join(ids, ""))
+    none = "cast(array() as array<struct<rule:string,license:string>>)"
+    matches = ", ".join(f"if({_match(r, rules, views)}, struct('{r.name}' as rule, '{r.license}' as license), null)"
+                        for r in rules if r.license)
+    notices = ("transform(array_sort(array_distinct(filter(concat(sentences.id, wrapped.id), x -> x like 'notice-%'))), "
+               "x -> struct(x as rule, substring(x, 8) as license))")
     # most documents have no known sentence: their rules are not tried
-    tried = F.when((views[0] != "") | (views[1] != ""), F.array_compact(F.array(*matches)))
-    found = found.withColumn("__matches", F.coalesce(tried, F.array().cast("array<struct<rule:string,license:string>>")))
+    tried = f"concat(array_compact(array({matches})), {notices})" if matches else notices
+    found = found.withColumn("__matches", F.expr(f"if(size(sentences) + size(wrapped) > 0, {tried}, {none})"))
     tagged = F.when(F.size("expressions") > 0, F.array(F.lit(SPDX_RULE))).otherwise(F.array().cast("array<string>"))
-    licenses = F.concat(F.transform("__matches", lambda m: m["license"]), _expression_licenses(F.col("expressions")))
-    return found.select(
-        "doc_id", "sentences", "wrapped", "expressions",
-        F.concat(F.transform("__matches", lambda m: m["rule"]), tagged).alias("rules"),
-        F.array_sort(F.array_distinct(licenses)).alias("licenses"))
+    licenses = F.concat(F.col("__matches.license"), _expression_licenses(F.col("expressions")))
+    return found.select("doc_id", "sentences", "wrapped", "expressions",
+                        F.concat(F.col("__matches.rule"), tagged).alias("rules"),
+                        F.array_sort(F.array_distinct(licenses)).alias("licenses"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -410,20 +406,6 @@ def digest(found: DataFrame) -> DataFrame:
         F.array_join("licenses", ",").alias("licenses"))
 
 
-def _sql_match(rule: Rule, rules: list[Rule]) -> str:
-    """`_matches` in SQL over the columns a and b."""
-    def times(view: str, r: Rule) -> str:
-        return f"((length({view}) - length(replace({view}, '{_sequence(r)}', ''))) / {len(_sequence(r))})"
-
-    longer = [r for r in rules if len(r.sentences) > len(rule.sentences) and _within(rule.sentences, r.sentences)]
-    left, hidden = ["a", "b"], ["0", "0"]
-    for outer in sorted(longer, key=lambda r: -len(r.sentences)):
-        counts = [times(v, outer) for v in left]
-        hidden = [f"{hidden[n]} + greatest({counts[1 - n]} - {counts[n]}, 0)" for n in (0, 1)]
-        left = [f"replace({v}, '{_sequence(outer)}', ' . ')" for v in left]
-    return " or ".join(f"{times(left[n], rule)} > {hidden[n]}" for n in (0, 1))
-
-
 def _oracle() -> str:
     """SQL for `digest`: the sentences as rows, known ones and names as tables, the rules as tests of joined identifiers."""
     def table(pairs: dict[str, str]) -> str:
@@ -440,7 +422,7 @@ def _oracle() -> str:
     gaps = "\n".join(f"when starts_with(s, '{a}') and ends_with(s, '{z}') and contains(s, '{m}') "
                      f"and length(s) > {len(a + m + z)} then '{id}'" for id, a, m, z in GAPPED)
     rules = license_rules()
-    tests = ",\n".join(f"case when {_sql_match(r, rules)} then {{'rule': '{r.name}', 'license': '{r.license}'}} end"
+    tests = ",\n".join(f"case when {_match(r, rules, ("a", "b"))} then {{'rule': '{r.name}', 'license': '{r.license}'}} end"
                        for r in rules if r.license)
     return f"""with known(sentence, id) as (values {table(known_sentences())}),
 names(name, spdx) as (values {table(known_names())}),
@@ -464,7 +446,10 @@ seq as (select k, coalesce(max(n) filter (where view = 0), 0) as n,
   coalesce(max(sentences) filter (where view = 1), '') as wrapped,
   coalesce(max(ids) filter (where view = 0), '') as a, coalesce(max(ids) filter (where view = 1), '') as b
   from per_view group by k),
-matched as (select k, list_filter([{tests}], lambda m: m is not null) as m from seq),
+notices as (select k, list({{'rule': id, 'license': substring(id, 8)}} order by id) as m
+  from (select distinct k, id from found where id like 'notice-%') group by k),
+matched as (select k, list_concat(list_filter([{tests}], lambda m: m is not null), coalesce(n.m, [])) as m
+  from seq left join notices n using (k)),
 tags as (select k, list_transform(regexp_extract_all(text, {quoted(SPDX)}, 1),
   lambda x: regexp_replace(x, '[ \\t]+', ' ', 'g')) as expressions from d where contains(text, '{SPDX_TAG}')),
 tokens as (select k, trim(unnest(flatten(list_transform(expressions, lambda x: string_split_regex(
