@@ -30,13 +30,14 @@ def csv_scan(spark, sf):
     return rounded(tables.read_csv(spark, path, df.schema))
 
 
-@query("csv_scan_untyped", sql(f"""select reading_id::double as reading_id, ts, {ALL_R},
-  {r('reading_id * 0.5e0', 'Extra')}, 'u' || unit_id as unit from sensor_readings"""))
+@query("csv_scan_untyped", sql(f"""select reading_id::bigint as reading_id, ts, {ALL_R},
+  {r('reading_id * 0.5e0', 'Extra')}, 'u' || unit_id as unit, reading_id % 3 = 0 as third from sensor_readings"""))
 def csv_scan_untyped(spark, sf):
     """Without a schema: sensors by name, other columns by their cells."""
     path = session.new_folder(spark, "csv_drop")
     df = fx.sensor_readings(spark, sf).withColumns({
-        "Extra": F.col("reading_id") * 0.5, "unit": F.concat(F.lit("u"), F.col("unit_id").cast("string"))}).drop("unit_id")
+        "Extra": F.col("reading_id") * 0.5, "unit": F.concat(F.lit("u"), F.col("unit_id").cast("string")),
+        "third": F.col("reading_id") % 3 == 0}).drop("unit_id")
     tables.write_csv(df, path)
     out = tables.read_csv(spark, path, date_column="ts")
     return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))

@@ -12,14 +12,18 @@ from plantpulse.schema import TIME, nan_to_null, sensor_schema
 from plantpulse.sources import log
 from plantpulse.sources.log import exists
 
+# types of a column without a schema, the narrowest first
+CELL_TYPES = ("boolean", "bigint", "double")
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ";",
              date_column: str = TIME, parse_dates: bool = True) -> DataFrame:
     """Delimited scan; times become UTC, NaN becomes missing.
 
     With a schema the files are scanned once. Without one the known sensors are typed by name, and every
-    other column is a number if all of its cells are, which one counting pass over all cells decides;
-    otherwise it stays text. Cells of a sensor that are no number become missing; `bad_cells` counts them.
+    other column is boolean, integer or double, the first of them that all of its cells are, which one counting
+    pass decides; a missing cell is neither boolean nor integer, but may be a double. Otherwise, and
+    without a filled cell, a column stays text. Cells of a sensor that are no number become missing; `bad_cells` counts them.
     """
     if schema is not None:
         return nan_to_null(_text_reader(spark, sep).schema(schema).csv(path))
@@ -27,9 +31,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     known = {f.name: f.dataType for f in sensor_schema().fields if f.name != TIME}
     others = [c for c in df.columns if c not in known and c != date_column]
     if others:
-        row = df.agg(*[F.count_if(_unreadable(c, "double")).alias(c) for c in others],
+        row = df.agg(*[F.count_if(~_reads_as(c, kind)).alias(f"{c} {kind}")
+                       for c in others for kind in CELL_TYPES],
                      *[F.count(c).alias(f"{c} filled") for c in others]).first()
-        known |= {c: T.DoubleType() for c in others if row[c] == 0 and row[f"{c} filled"]}
+        for c in others:
+            fits = [kind for kind in CELL_TYPES if row[f"{c} {kind}"] == 0]
+            if fits and row[f"{c} filled"]:
+                known[c] = fits[0]
     typed = df.select(*[F.col(c).try_cast(known[c]).alias(c) if c in known else F.col(c) for c in df.columns])
     if parse_dates and date_column in df.columns:
         typed = typed.withColumn(date_column, F.try_to_timestamp(F.col(date_column)))
@@ -54,6 +62,13 @@ def _unreadable(column: str, kind: T.DataType | str):
     return F.col(column).isNotNull() & F.col(column).try_cast(kind).isNull()
 
 
+def _reads_as(column: str, kind: str):
+    cell = F.col(column)
+    if kind == "boolean":  # not the other words and digits that a cast takes
+        return F.coalesce(F.lower(F.trim(cell)).isin("true", "false"), F.lit(False))
+    return cell.try_cast(kind).isNotNull() | (cell.isNull() if kind == "double" else F.lit(False))
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     df.write.mode("overwrite").options(

@@ -115,3 +115,14 @@ def test_a_model_of_a_run_is_saved_once(spark, tmp_path):
     assert len(paths) == 1 and [dict(r.metrics) for r in store.models().collect()] == [{"v": 0.0}]
     store.save(model, "m", "k", {"v": 9.0}, ["a"], run="r2")
     assert [dict(r.metrics) for r in store.models().collect()] == [{"v": 9.0}]
+
+
+def test_types_of_cells(spark, tmp_path):
+    path = write(tmp_path / "a", "flag;mixed;whole;big;part;words;digits;gaps;none\n"
+                 "True;true;1;9223372036854775807;1;yes;1;true;\n"
+                 "false;7; -2;9223372036854775808;;no;0;;\n")
+    out = tables.read_csv(spark, path)
+    assert dict(out.dtypes) == {"flag": "boolean", "mixed": "string", "whole": "bigint", "big": "double", "part": "double",
+                                "words": "string", "digits": "bigint", "gaps": "string", "none": "string"}
+    got = {tuple(r) for r in out.select("flag", "whole", "part", "digits", "gaps").collect()}
+    assert got == {(True, 1, 1.0, 1, "true"), (False, -2, None, 0, None)}
