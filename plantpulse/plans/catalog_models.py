@@ -202,6 +202,19 @@ def demand_predict(spark, sf):
     return rounded(learning.demand_predict(model, df, inputs).select("reading_id", "predicted_power"))
 
 
+RESIDUAL_SQL = """residuals as (select Power, Power - (my + ka * (T_Supply - ma) + kb * (T_Outdoor - mb) + kc * (RH_Return - mc)) as gap
+  from sensor_readings, solved
+  where T_Supply is not null and T_Outdoor is not null and RH_Return is not null and Power is not null)"""
+
+
+@query("linear_baseline_several", sql(f"""select {r('avg(gap * gap)', 'mse')}, {r('sqrt(avg(gap * gap))', 'rmse')},
+  {r('1 - avg(gap * gap) / var_pop(Power)', 'r2_score', 9)} from residuals""", SOLVED_SQL, RESIDUAL_SQL))
+def linear_baseline_several(spark, sf):
+    """Quality of a fit on several sensors, on the complete rows."""
+    _, metrics = learning.linear_baseline(fx.sensor_readings(spark, sf), ["T_Supply", "T_Outdoor", "RH_Return"])
+    return rounded(metrics, r2_score=9)
+
+
 @query("setpoint_recommend", sql(f"""select {r('slope', 'slope', 9)}, {r('intercept', 'intercept')}, i::int as i,
   {r('lo + i * (hi - lo) / 9', 'outdoor')}, printf('outdoor_%.1fC', lo + i * (hi - lo) / 9) as label,
   {r('intercept + slope * (lo + i * (hi - lo) / 9)', 'setpoint')}

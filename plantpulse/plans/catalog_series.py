@@ -426,6 +426,17 @@ def reconstruction_flags(spark, sf):
     return rounded(anomaly.error_flags(scored.select("vec_id", "mse")))
 
 
+@query("reconstruction_threshold", sql(f"""select reading_id, {r('mse', 'mse')},
+  {r('(select quantile_cont(mse, 0.95) from errors)', 'threshold')},
+  cast(coalesce(mse > (select quantile_cont(mse, 0.95) from errors), false) as int) as is_anomaly from errors""",
+  "errors as (select reading_id, (T_Return - T_Supply) * (T_Return - T_Supply) as mse from sensor_readings)"))
+def reconstruction_threshold(spark, sf):
+    """The threshold step on given errors: the supply as a guess of the return."""
+    gap = F.col("T_Return") - F.col("T_Supply")
+    errors = base(spark, sf, "T_Supply", "T_Return").select("reading_id", (gap * gap).alias("mse"))
+    return rounded(anomaly.error_flags(errors))
+
+
 ENSEMBLE_SQL = f"""counted as (select reading_id, {' + '.join(_zflag(c) for c in FIVE)} as z,
   {' + '.join(_iflag(c) for c in FIVE)} as i from sensor_readings, zs, qs)"""
 
