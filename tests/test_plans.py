@@ -37,9 +37,15 @@ def test_row_operators_never_gather_all_rows(name, spark, sf):
 
 def test_one_window_one_shuffle(spark, readings, sf):
     df = fx.sensor_readings(spark, sf)
-    text = final(windows.add_rolling_features(df, ["T_Supply", "Power", "Energy"]))
+    text = final(windows.add_lag_features(df, ["T_Supply", "Power", "Energy"]))
     assert len(re.findall(r"\bWindow \[", text)) == 1
-    physical = plan(windows.add_rolling_features(df, ["T_Supply", "Power", "Energy"]))
+    physical = plan(windows.add_lag_features(df, ["T_Supply", "Power", "Energy"]))
+    assert len(re.findall(r"Exchange hashpartitioning", physical)) == 1
+
+
+def test_rolling_takes_one_pass_and_one_shuffle(spark, sf):
+    physical = plan(windows.add_rolling_features(fx.sensor_readings(spark, sf), ["T_Supply", "Power", "Energy"]))
+    assert len(re.findall(r"MapInArrow", physical)) == 1 and "Window" not in physical
     assert len(re.findall(r"Exchange hashpartitioning", physical)) == 1
 
 
