@@ -184,6 +184,10 @@ def next_seen(series: Series, values: dict[str, Column]) -> Series:
 def _seen(series: Series, values: dict[str, Column], start: int, end: int, forward: bool) -> Series:
     pick = F.last if forward else F.first
     if not series.blocked:
+        if not forward:
+            df = series.df.withColumn("__place", F.row_number().over(series.window()))
+            done = in_groups(df, {n: F.last(v, True).over(_backwards(series)) for n, v in values.items()})
+            return series.put(done.drop("__place"))
         w = series.window().rowsBetween(start, end)
         return series.put(in_groups(series.df, {n: pick(v, True).over(w) for n, v in values.items()}))
     raw = {f"__v{i}": v for i, v in enumerate(values.values())}
@@ -199,13 +203,26 @@ def _seen(series: Series, values: dict[str, Column], start: int, end: int, forwa
     ends = ends.select(
         *[F.col(k).alias(f"__e_{k}") for k in keys],
         *[pick(v, True).over(beyond).alias(c) for v, c in carry.items()])
-    w = series.window(BLOCK).rowsBetween(start, end)
-    local = df.withColumns({n: pick(v, True).over(w) for n, v in zip(values, raw)})
+    if forward:
+        w = series.window(BLOCK).rowsBetween(start, end)
+    else:
+        df = df.withColumn("__place", F.row_number().over(series.window(BLOCK)))
+        w = _backwards(series, BLOCK)
+    local = df.withColumns({n: F.last(v, True).over(w) for n, v in zip(values, raw)}).drop("__place")
     joined = local.join(ends, [F.col(k).eqNullSafe(F.col(f"__e_{k}")) for k in keys], "left")
     joined = joined.withColumns({n: F.coalesce(F.col(n), F.col(carry[v])) for n, v in zip(values, raw)})
     return series.put(joined.drop(BLOCK, *raw, *carry.values(), *[f"__e_{k}" for k in keys]))
 
 
+def _backwards(series: Series, *more: str) -> WindowSpec:
+    """The rows from the last one down to the current one, by their place `__place`.
+
+    A frame that runs from the row to the end of its partition is read anew for each row; this one grows.
+    """
+    parts = [*series.spec.keys, *more] or [F.lit(0)]
+    return Window.partitionBy(*parts).orderBy(F.col("__place").desc()).rowsBetween(FIRST, HERE)
+
+
 def with_position(df: DataFrame, spec: SeriesSpec, name: str) -> DataFrame:
     """Exact 0-based position within the series, as a new column."""
     return with_row_number(lay_out(df, spec), name).frame()
