@@ -71,3 +71,11 @@ def test_leaves_that_predict_the_same_become_one():
     assert leaves.any() and ((tree["value"][a] > 0.5) != (tree["value"][b] > 0.5))[leaves].all()
     share = [y[randomforest.walked(tree, cells) == k].mean() for k in np.flatnonzero(tree["feature"] < 0)]
     np.testing.assert_allclose(share, tree["value"][tree["feature"] < 0])
+
+
+def test_bins_part_the_weight():
+    """A rare class with most of the weight gets most of the bins."""
+    x = np.arange(1000.0)
+    found = randomforest.cuts(x, np.where(x < 50, 19.0, 1.0), 31)
+    assert len(found) == 31 and 14 <= (found < 50).sum() <= 16
+    np.testing.assert_array_equal(randomforest.cuts(np.array([1.0, 3.0, 3.0]), np.ones(3), 31), [2.0])
