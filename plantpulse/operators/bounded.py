@@ -25,12 +25,16 @@ KINDS = {"tinyint": (pa.int8(), T.ByteType()), "smallint": (pa.int16(), T.ShortT
 
 @dataclass(frozen=True)
 class Plan:
-    """What to compute: windows, lags and periods over `columns`, crossovers of some, the rate of a counter."""
+    """What to compute: windows, lags, periods and spans of averages over `columns`, crossovers of some, the rate of a counter.
+
+    Exponential averages look back over the whole series, so they are computed for whole series only, not for blocks.
+    """
 
     columns: tuple[str, ...]
     windows: tuple[int, ...] = ()
     lags: tuple[int, ...] = ()
     periods: tuple[int, ...] = ()
+    spans: tuple[int, ...] = ()
     crossed: tuple[str, ...] = ()
     counter: str | None = None
     short: int = 4
@@ -51,6 +55,7 @@ class Plan:
                     for s in STATS for n in self.windows]
             for n in self.lags:
                 out += [(f"lag_{c}_{n}", kinds[c]), (f"lag_{c}_diff_{n}", kinds[c])]
+            out += [(f"ema_{c}_{n}", "double" if n > 1 else kinds[c]) for n in self.spans]
             out += [(f"roc_{c}_{n}", "double") for n in self.periods]
         for c in self.crossed:
             out += [(f"ma_{c}_{s}", "double") for s in (
@@ -70,25 +75,54 @@ def shifted(x: np.ndarray, place: np.ndarray, n: int, blank: float) -> np.ndarra
     return out
 
 
-def trailing(x: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Mean, sample deviation, least and largest of the last n rows; missing values (NaN) are skipped.
+def joined(a: tuple, b: tuple, k: int, place: np.ndarray) -> tuple:
+    """Frames a of the last k rows, each with the frame b that ends just before it; see `trailing` for what a frame holds."""
+    if k >= len(place):
+        return a
+    inside = place[k:] >= k
+    (n1, s1, q1, lo1, hi1), (n2, s2, q2, lo2, hi2) = (v[k:] for v in a), (v[:-k] for v in b)
+    n2, s2, q2 = (np.where(inside, v, 0.0) for v in (n2, s2, q2))
+    n = n1 + n2
+    both = n1 * n2
+    gap = s1 / n1 - s2 / n2
+    q = q1 + q2 + np.where(both > 0, gap * gap * (both / n), 0.0)
+    new = (n, s1 + s2, q, np.minimum(lo1, np.where(inside, lo2, np.inf)), np.maximum(hi1, np.where(inside, hi2, -np.inf)))
+    return tuple(np.concatenate([old[:k], v]) for old, v in zip(a, new))
+
 
-    Sums are taken over each window by itself, first for the mean and then for the squares about it, so a constant
-    window has no deviation and a large value leaves no trace in later windows.
+def trailing_all(x: np.ndarray, place: np.ndarray, sizes: tuple[int, ...]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each size mean, sample deviation, least and largest of the last so many rows; missing values (NaN) are skipped.
+
+    A frame holds its known values' count, sum, squares about their mean, least and largest. Frames of 1, 2, 4, ... rows
+    come from two of half the length, and a size is put together from those, so a row costs log(size) steps. Frames are
+    only ever added, so a large value leaves no trace in later windows; a constant window has no deviation.
     """
-    inside = np.arange(n - 1, -1, -1)[None, :] <= place[:, None]
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
-    known = inside & ~np.isnan(wide)
-    count = known.sum(axis=1)
-    values = np.where(known, wide, 0.0)
+    gone = np.isnan(x)
+    zero = np.zeros(len(x))
+    out: dict[int, tuple | None] = {n: None for n in sizes}
     with np.errstate(all="ignore"):
-        mean = values.sum(axis=1) / count
-        gap = np.where(known, values - mean[:, None], 0.0)
-        std = np.sqrt((gap * gap).sum(axis=1) / (count - 1))
-    least, most = np.where(known, wide, np.inf).min(axis=1), np.where(known, wide, -np.inf).max(axis=1)
+        frame, rows = (np.where(gone, 0.0, 1.0), np.where(gone, 0.0, x), zero, np.where(gone, np.inf, x), np.where(gone, -np.inf, x)), 1
+        while True:
+            for n in out:
+                if n & rows:  # the rows of the lower bits are the later ones
+                    out[n] = frame if out[n] is None else joined(out[n], frame, n % rows, place)
+            if 2 * rows > max(sizes, default=0):
+                break
+            frame, rows = joined(frame, frame, rows, place), 2 * rows
+        return {n: _statistics(*f) for n, f in out.items()}
+
+
+def _statistics(count, total, squares, least, most) -> tuple[np.ndarray, ...]:
+    mean = total / count
+    std = np.sqrt(np.where(least == most, 0.0, squares) / (count - 1))
     none = count == 0
     return tuple(np.where(bad, np.nan, v) for v, bad in (
-        (mean, none), (std, count < 2), (least, none), (most, none)))
+        (mean, none), (std, (count < 2) | ~np.isfinite(mean)), (least, none), (most, none)))
+
+
+def trailing(x: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """`trailing_all` of one size."""
+    return trailing_all(x, place, (n,))[n]
 
 
 def filled(x: np.ndarray, place: np.ndarray, before: float) -> np.ndarray:
@@ -101,6 +135,42 @@ def filled(x: np.ndarray, place: np.ndarray, before: float) -> np.ndarray:
     return np.where(np.isnan(out) & (start < 0), before, out)
 
 
+class _Averages:
+    """Exponential averages y = (k*y + a*x) / (k + a) with k = (1-a)^gap, row after row for all columns and spans at once."""
+
+    def __init__(self, columns: int, spans: tuple[int, ...]):
+        self.alphas = [2.0 / (s + 1.0) if s > 1 else 1.0 for s in spans]
+        # weights of the old value by the rows since; one below exp(-150) is lost in double precision anyway
+        self.kept = [(1.0 - a) ** np.arange(2 if a == 1.0 else int(150 / -np.log(1.0 - a)) + 2) for a in self.alphas]
+        # values after the last row, and how many rows ago the last known value was (0: never)
+        self.now, self.ago = np.zeros((columns, len(spans))), np.zeros(columns, np.int64)
+
+    def run(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """x: (rows, columns) with NaN for missing values; place: row number in the series. (rows, columns, spans)."""
+        known, at = ~np.isnan(x), np.arange(len(x))[:, None]
+        start = at - place[:, None]  # below 0 for a series that has begun in an earlier batch
+        last = np.maximum.accumulate(np.where(known, at, -1), axis=0)
+        last = np.vstack([np.full((1, x.shape[1]), -1), last[:-1]])
+        gap = np.where(last >= np.maximum(start, 0), at - last, np.where((start < 0) & (self.ago > 0), at + self.ago, 0))
+        value, first = np.where(known, x, 0.0), known & (gap == 0)
+        decay, out = np.empty((*x.shape, len(self.alphas))), np.empty((*x.shape, len(self.alphas)))
+        for j, (alpha, kept) in enumerate(zip(self.alphas, self.kept)):
+            k = kept[np.minimum(gap, len(kept) - 1)]
+            decay[..., j] = np.where(known, np.where(first, 0.0, k / (k + alpha)), 1.0)
+            out[..., j] = np.where(first, value, value * alpha / (k + alpha))
+        new, y = (place == 0).tolist(), self.now
+        with np.errstate(invalid="ignore"):
+            for i, (d, row) in enumerate(zip(decay, out)):
+                if not new[i]:
+                    row += d * y
+                y = row
+        self.now = y.copy()
+        since = np.where(known[-1], 1, np.where(gap[-1] > 0, gap[-1] + 1, 0))
+        self.ago = since
+        out[~(known | (gap > 0))] = np.nan
+        return out
+
+
 def ratio(now: np.ndarray, then: np.ndarray) -> np.ndarray:
     """now / then - 1; infinite with the sign of now over 0, missing for 0 over 0."""
     with np.errstate(all="ignore"):
@@ -115,6 +185,7 @@ def _pass(batches: Iterator[pa.RecordBatch], plan: Plan, names: list[str], outpu
     """The added columns of rows that come sorted by series; `carried` says that filled columns are given."""
     # of the open series: its group, rows so far, last rows of each column, last value of each column
     group, rows, tail, fill = None, 0, {}, {}
+    averages = _Averages(len(plan.columns), plan.spans)
     needed = [*plan.columns, *[f"__f_{c}" for c in plan.columns if carried and plan.periods]]
     needed += [c for c in (*plan.crossed, plan.counter) if c and c not in needed]
     for whole in batches:
@@ -131,15 +202,19 @@ def _pass(batches: Iterator[pa.RecordBatch], plan: Plan, names: list[str], outpu
             if same:
                 place[starts < 0] = rows + np.arange(int((starts < 0).sum()))
             old = min(plan.reach, rows) if same else 0
-            x, value = {}, {}
+            x, value, means = {}, {}, {}
             for c in needed:
                 raw = batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
                 x[c] = np.concatenate([tail[c][len(tail[c]) - old:], raw]) if old else raw
             spot = np.concatenate([np.arange(rows - old, rows), place]) if old else place
             for c in plan.columns:
+                # the crossovers of a column share its frames
+                ends = (plan.short, plan.long) if c in plan.crossed else ()
+                found = trailing_all(x[c], spot, tuple({*plan.windows, *ends}))
                 for w in plan.windows:
-                    for s, v in zip(STATS, trailing(x[c], spot, w)):
+                    for s, v in zip(STATS, found[w]):
                         value[f"{plan.rolled}_{c}_{s}_{w}"] = v[old:]
+                means |= {(c, w): found[w][0][old:] for w in ends}
                 for w in plan.lags:
                     then = shifted(x[c], spot, w, np.nan)
                     value[f"lag_{c}_{w}"], value[f"lag_{c}_diff_{w}"] = then[old:], (x[c] - then)[old:]
@@ -153,8 +228,15 @@ def _pass(batches: Iterator[pa.RecordBatch], plan: Plan, names: list[str], outpu
                         fill[c] = f[-1]
                     for w in plan.periods:
                         value[f"roc_{c}_{w}"] = ratio(f, shifted(f, spot, w, np.nan))[old:]
+            if plan.spans:
+                smooth = averages.run(np.column_stack([x[c][old:] for c in plan.columns]), place)
+                value |= {f"ema_{c}_{s}": np.ascontiguousarray(smooth[:, i, j])
+                          for i, c in enumerate(plan.columns) for j, s in enumerate(plan.spans)}
             for c in plan.crossed:
-                fast, slow = (trailing(x[c], spot, w)[0][old:] for w in (plan.short, plan.long))
+                if c not in plan.columns:
+                    found = trailing_all(x[c], spot, (plan.short, plan.long))
+                    means |= {(c, w): found[w][0][old:] for w in found}
+                fast, slow = means[c, plan.short], means[c, plan.long]
                 for s, v in ((f"short_{plan.short}", fast), (f"long_{plan.long}", slow),
                              (f"crossover_{plan.short}_{plan.long}", fast - slow)):
                     value[f"ma_{c}_{s}"] = v
@@ -181,6 +263,8 @@ def bounded_features(series: Series, plan: Plan) -> Series:
     values that a change needs are carried over their blocks first. NaN counts as missing; whole numbers are
     exact up to 2^53.
     """
+    if series.blocked and plan.spans:
+        raise ValueError("averages over blocks of a key need a scan first")
     kinds = dict(series.df.dtypes)
     outputs = plan.outputs(kinds)
     carried = bool(series.blocked and plan.periods)

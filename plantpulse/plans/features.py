@@ -19,16 +19,18 @@ def engineer_features(
     """All feature steps over one layout of the series.
 
     The numeric list is taken after the calendar columns were added, so those
-    are windowed too. Averages go first, while rows are narrow; all bounded
-    frames then share one ordered pass in Arrow batches over one shuffle.
+    are windowed too. All bounded frames and the averages share one ordered pass in
+    Arrow batches over one shuffle; where a key is cut into blocks, the averages are scanned first.
     """
     timed = add_time_features(df, spec.order)
     names = numeric_cols or numeric_columns(timed, exclude=[*spec.keys, *spec.sort])
-    series = ema(lay_out(timed, spec, heavy=True), names, spans)
+    series = lay_out(timed, spec, heavy=True)
+    if series.blocked:
+        series, spans = ema(series, names, spans), ()
     if "Power" in timed.columns:
         series = run_lengths(series)
     series = bounded_features(series, Plan(
-        tuple(names), tuple(windows), tuple(lags), tuple(periods), crossed=tuple(names[:3]),
+        tuple(names), tuple(windows), tuple(lags), tuple(periods), tuple(spans), crossed=tuple(names[:3]),
         counter="Energy" if "Energy" in timed.columns else None))
     out = series.frame().withColumns(thermal_domain(timed.columns))
     return out.select(*_in_order(timed.columns, out.columns))
