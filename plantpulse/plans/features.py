@@ -30,7 +30,7 @@ def engineer_features(
     if "Power" in timed.columns:
         series = run_lengths(series)
     series = bounded_features(series, Plan(
-        tuple(names), tuple(windows), tuple(lags), tuple(periods), tuple(spans), crossed=tuple(names[:3]),
+        tuple(names), tuple(windows), tuple(lags), tuple(periods), spans=tuple(spans), crossed=tuple(names[:3]),
         counter="Energy" if "Energy" in timed.columns else None))
     out = series.frame().withColumns(thermal_domain(timed.columns))
     return out.select(*_in_order(timed.columns, out.columns))
