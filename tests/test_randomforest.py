@@ -60,6 +60,16 @@ def test_depth_and_single_tree(spark):
     assert len(np.unique(chances(df, model)[:, 1])) <= 4
 
 
+def test_rests_without_a_cut(spark):
+    """Rows of one bin stay one leaf, also where a task finishes them."""
+    df = spark.createDataFrame([(float(k % 2), int(k % 10 < 3 * (k % 2))) for k in range(4000)], "a double, y int")
+    model = learning.train_classifier(df, ["a"], "random_forest", "y", trees=2, max_depth=5, rowsAtATask=2000)
+    scored = learning.score(df, model).groupBy("a").agg(F.min("probability").alias("p"), F.max("probability").alias("q")).collect()
+    chance = {r.a: (r.p, r.q) for r in scored}
+    assert chance[0.0] == (0.0, 0.0) and chance[1.0][0] == chance[1.0][1] > 0.5
+    np.testing.assert_array_equal(model.stages[-1].featureImportances.toArray(), [1.0])
+
+
 def test_leaves_that_predict_the_same_become_one():
     rng = np.random.default_rng(5)
     cells, y = rng.integers(0, 8, (400, 3)).astype(np.uint8), (rng.uniform(size=400) < 0.2).astype(np.int64)
