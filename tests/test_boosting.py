@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from plantpulse.operators import boosting, learning
+from plantpulse.plans import catalog_models
 from plantpulse.sources.models import ModelStore
 
 NAMES = [f"x{k}" for k in range(8)]
@@ -131,3 +132,19 @@ def test_one_class_missing_values_and_no_rows(spark):
     assert all(t["feature"] == [-1] for t in single["trees"])
     with pytest.raises(ValueError):
         boosting.boost(rows.limit(0), 1, 4, 0.5, 8, 5, 0.0)
+
+
+def test_the_queries_fit_all_trees(spark, sf, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(*args):
+        raise Seen(*args)
+
+    for query, step in ((catalog_models.train_ensemble, "train_ensemble"), (catalog_models.training_history, "timed_training")):
+        monkeypatch.setattr(learning, step, seen)
+        with pytest.raises(Seen) as call:
+            query(spark, sf)
+        given = call.value.args[2]
+        learner = given["lgb"]() if "lgb" in given else learning.KINDS["lightgbm"][0](**given["lightgbm"])
+        assert learner.settings["rounds"] == 100 and learner.settings["most_leaves"] == 31
