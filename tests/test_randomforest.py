@@ -89,3 +89,55 @@ def test_bins_part_the_weight():
     found = randomforest.cuts(x, np.where(x < 50, 19.0, 1.0), 31)
     assert len(found) == 31 and 14 <= (found < 50).sum() <= 16
     np.testing.assert_array_equal(randomforest.cuts(np.array([1.0, 3.0, 3.0]), np.ones(3), 31), [2.0])
+
+
+def test_few_rows_are_cut_as_by_their_histograms():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(2, 40, 300)
+    node, count = np.repeat(np.arange(300), sizes), sizes.sum()
+    cells, y = rng.integers(0, 6, (count, 5)).astype(np.uint8), rng.integers(0, 2, count)
+    w = rng.integers(1, 9, count).astype(float)
+    chosen = randomforest.subsets(np.arange(300, dtype=np.uint64), 5, 3)
+    base = np.arange(count) * 5
+    whole = randomforest.best_splits(randomforest.histograms(cells.ravel(), base, y, w, node, chosen, 6), chosen)
+    few = randomforest.few_splits(cells.ravel(), base, y, w, sizes, chosen)
+    cut = whole[0] > 0
+    assert cut.sum() > 200
+    for a, b in zip(whole, few):
+        np.testing.assert_array_equal(a[cut], b[cut])
+    np.testing.assert_array_equal(few[0][~cut], 0)
+
+
+def test_the_order_of_the_rows_does_not_matter_at_all():
+    rng = np.random.default_rng(7)
+    cells, y = rng.integers(0, 30, (5000, 4)).astype(np.uint8), rng.integers(0, 2, 5000)
+    w = np.where(y == 1, 1 / 3, 0.1) * rng.integers(1, 4, 5000) * rng.uniform(0.5, 1, 5000)
+    order = rng.permutation(5000)
+    (one, gain), (other, again) = (randomforest.grow(cells[o], y[o], w[o], 3, 25, 4, 2, 32) for o in (np.arange(5000), order))
+    for k in one:
+        np.testing.assert_array_equal(one[k], other[k])
+    np.testing.assert_array_equal(gain, again)
+
+
+def test_rows_travel_in_runs_and_blocks_do_not_matter(spark, monkeypatch):
+    """What is dealt to the tasks is a row for each block and node, not one for each row and tree."""
+    df, asked = rule(spark), []
+    repartition = type(df).repartition
+
+    def watched(frame, *columns):
+        if "root" in columns and "b" in frame.columns:
+            asked.append(frame.count())
+        return repartition(frame, *columns)
+
+    whole = chances(df, fitted(df, rowsAtATask=400))
+    monkeypatch.setattr(type(df), "repartition", watched)
+    model = fitted(df, rowsAtATask=400)
+    learning.score(df, model).count()
+    tops = randomforest.json.loads(model.stages[-1].getOrDefault("about"))["tops"]
+    roots = sum(max(t["root"]) >= 0 and len([r for r in t["root"] if r >= 0]) for t in tops)
+    blocks = df.rdd.getNumPartitions()
+    assert len(asked) == 2 and asked[0] <= blocks * roots and asked[1] <= blocks * (roots + 1) < 8 * 3000
+    monkeypatch.setattr(randomforest, "ROWS_AT_ONCE", 1)
+    monkeypatch.setattr(randomforest, "NODES_A_ROW", 3)
+    monkeypatch.setattr(randomforest, "FEW_ROWS", 0)
+    np.testing.assert_allclose(chances(df, fitted(df, rowsAtATask=400)), whole, atol=1e-9)
