@@ -19,7 +19,9 @@ def planted(spark):
     rng = np.random.default_rng(1)
     x = rng.random((4000, 8))
     data = pd.DataFrame(x, columns=NAMES).assign(y=(x > 0.25).all(axis=1).astype(int))
-    return data, spark.createDataFrame(data).repartition(4).cache()
+    df = spark.createDataFrame(data).repartition(4).cache()
+    yield data, df
+    df.unpersist()
 
 
 def fitted(df, label="y", **params):
@@ -148,3 +150,24 @@ def test_the_queries_fit_all_trees(spark, sf, monkeypatch):
         given = call.value.args[2]
         learner = given["lgb"]() if "lgb" in given else learning.KINDS["lightgbm"][0](**given["lightgbm"])
         assert learner.settings["rounds"] == 100 and learner.settings["most_leaves"] == 31
+
+
+def test_histograms_count_the_smaller_children_only_and_nothing_stays(spark, planted, monkeypatch):
+    """Each pass below the root counts at most half of the rows; the blocks are let go."""
+    _, df = planted
+    seen, count = [], boosting._histograms
+
+    def watched(blocks, shape, wanted, bins):
+        out = count(blocks, shape, wanted, bins)
+        seen.append((wanted, sum(v[0, :, 2].sum() for v in out.values())))
+        return out
+
+    df.count()  # the cached table itself
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(boosting, "_histograms", watched)
+    monkeypatch.setattr(boosting, "TREES_PER_STAGE", 2)
+    monkeypatch.setattr(boosting, "MANY_TASKS", 1)
+    fitted(df, rounds=5, leaves=8)
+    assert [n for wanted, n in seen if wanted == [0]] == [4000] * 5
+    assert all(n <= 2000 for wanted, n in seen if wanted != [0]) and len(seen) > 10
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held

@@ -27,11 +27,13 @@ def by_windows(df, spec, names=NAMES):
 @pytest.fixture(scope="module")
 def frame(readings):
     """Gaps, zeroes, a hot unit, one without a key, a constant run and whole numbers."""
-    return readings.select(
+    df = readings.select(
         "reading_id", F.when(F.col("reading_id") % 3 == 0, F.lit(0)).when(F.col("unit_id") != 2, F.col("unit_id")).alias("unit_id"),
         "ts", "T_Supply", F.when(F.col("reading_id") % 10 < 6, F.col("RH_Return")).alias("RH_Return"),
         F.when(F.col("reading_id") < 300, 0.1).otherwise(F.col("Power")).alias("Power"), "Energy",
         F.when(F.col("reading_id") % 5 > 0, F.hour("ts")).alias("hour")).cache()
+    yield df
+    df.unpersist()
 
 
 @pytest.mark.parametrize("batch", [7, 64, 4096])

@@ -17,7 +17,9 @@ def planted(spark):
     x = rng.random((3000, 5))
     x[:, 3] = (x[:, 3] * 6).round()
     noisy = (x[:, 0] + x[:, 1] * x[:, 2] + 0.1 * x[:, 3] + 0.3 * rng.normal(size=3000) > 1.1).astype(int)
-    return spark.createDataFrame(pd.DataFrame(x, columns=NAMES).assign(y=noisy)).repartition(4).cache()
+    df = spark.createDataFrame(pd.DataFrame(x, columns=NAMES).assign(y=noisy)).repartition(4).cache()
+    yield df
+    df.unpersist()
 
 
 def nodes(tree, node=0):
