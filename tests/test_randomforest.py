@@ -91,6 +91,28 @@ def test_bins_part_the_weight():
     np.testing.assert_array_equal(randomforest.cuts(np.array([1.0, 3.0, 3.0]), np.ones(3), 31), [2.0])
 
 
+def test_leaves_of_equal_shares_have_equal_values():
+    """Also in trees of other weight: rows of equal chances stay tied."""
+    cells, y = np.array([[0], [0], [0], [1]], np.uint8), np.array([0, 0, 1, 1])
+    values = []
+    for copies in (1, 7, 1001):
+        w = np.where(y == 1, 0.7 / 3, 1 / 9)
+        tree, _ = randomforest.grow(np.repeat(cells, copies, axis=0), np.repeat(y, copies), np.repeat(w, copies), 1, 0, 1, 1, 2)
+        values.append(tree["value"][0])
+    np.testing.assert_allclose(values, (1.4 / 3) / (1.4 / 3 + 2 / 9), rtol=1e-14)
+
+
+def test_cuts_of_equal_gain_stay_tied_however_often_rows_are_drawn():
+    """Two rows drawn once weigh as much as one drawn twice; the first feature is taken."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        w = np.full(6, rng.uniform(0.1, 9))
+        x, y = np.array([0, 0, 1, 1, 1, 1]), np.array([1, 1, 1, 1, 1, 0])
+        cells, times = np.column_stack([x, [1, 1, 0, 1, 1, 1]]).astype(np.uint8), np.array([1, 1, 2, 1, 1, 3], np.uint8)
+        tree, _ = randomforest.grow(cells, y, w, 1, 1, 2, 2, 2, times)
+        assert tree["feature"][0] == 0
+
+
 def test_few_rows_are_cut_as_by_their_histograms():
     rng = np.random.default_rng(6)
     sizes = rng.integers(2, 40, 300)
@@ -108,15 +130,16 @@ def test_few_rows_are_cut_as_by_their_histograms():
     np.testing.assert_array_equal(few[0][~cut], 0)
 
 
-def test_the_order_of_the_rows_does_not_matter_at_all():
+def test_the_order_of_the_rows_does_not_matter():
     rng = np.random.default_rng(7)
     cells, y = rng.integers(0, 30, (5000, 4)).astype(np.uint8), rng.integers(0, 2, 5000)
     w = np.where(y == 1, 1 / 3, 0.1) * rng.integers(1, 4, 5000) * rng.uniform(0.5, 1, 5000)
     order = rng.permutation(5000)
     (one, gain), (other, again) = (randomforest.grow(cells[o], y[o], w[o], 3, 25, 4, 2, 32) for o in (np.arange(5000), order))
-    for k in one:
+    for k in ("feature", "cut", "left", "right"):
         np.testing.assert_array_equal(one[k], other[k])
-    np.testing.assert_array_equal(gain, again)
+    np.testing.assert_allclose(one["value"], other["value"], rtol=1e-12)
+    np.testing.assert_allclose(gain, again, rtol=1e-12)
 
 
 def test_rows_travel_in_runs_and_blocks_do_not_matter(spark, monkeypatch):
