@@ -108,7 +108,7 @@ def test_cuts_of_equal_gain_stay_tied_however_often_rows_are_drawn():
     for _ in range(40):
         w = np.full(6, rng.uniform(0.1, 9))
         x, y = np.array([0, 0, 1, 1, 1, 1]), np.array([1, 1, 1, 1, 1, 0])
-        cells, times = np.column_stack([x, [1, 1, 0, 1, 1, 1]]).astype(np.uint8), np.array([1, 1, 2, 1, 1, 3], np.uint8)
+        cells, times = np.column_stack([x, [1, 1, 0, 1, 1, 1]]).astype(np.uint8), np.array([1, 1, 2, 1, 1, 6], np.uint8)
         tree, _ = randomforest.grow(cells, y, w, 1, 1, 2, 2, 2, times)
         assert tree["feature"][0] == 0
 
